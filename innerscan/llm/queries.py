@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from . import fingerprints, line_dedup, mixing, oracle
+from . import chat, fingerprints, line_dedup, mixing, oracle, packing, toxicity
 
 
 def queries() -> dict:
     return {
+        "op1_packing": packing.op1_packing,
         "op5_line_dedup": line_dedup.op5_line_dedup,
         "op7_mixing": mixing.op7_mixing,
+        "op8_toxicity": toxicity.op8_toxicity,
+        "op9_chat": chat.op9_chat,
         "op10_fingerprints": fingerprints.op10_fingerprints,
     }
 
