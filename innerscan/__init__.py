@@ -1,0 +1,8 @@
+"""Inner product search and training-data operators on Spark DataFrames."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Kernels travel to executors by value, so a cluster needs no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

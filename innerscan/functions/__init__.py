@@ -1,0 +1 @@
+from .vectors import *  # noqa: F403

@@ -1,9 +1,297 @@
-"""Registered queries of the core engine."""
+"""Registered queries of the engine over the ``embeddings`` table.
+
+Queries are the vectors of the first 20 ids; the base is the rest, each
+vector scaled by 1 + (id mod 16) / 8, for norms that differ.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from . import oracle
+from .functions import vectors as V
+from .operators import graph, metrics, partition, search, srp, topk
+from .oracle import K, LINKS, UB, WIDTH
+from .plans import index
+from .sources import hold_out, prefix_sample as prefix
+
+DIM = 64
+SMALL = dict(search_min=50, ub=UB)
+
+
+def embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+
+
+def fixture(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(base, queries)."""
+    q, base = hold_out(embeddings(spark, sf_dir), 20)
+    queries = q.select(F.col("vec_id").alias("qid"), V.as_double(F.col("embedding")).alias("qv"))
+    by = F.lit(1) + (F.col("vec_id") % 16) / F.lit(8.0)
+    return base.select("vec_id", V.scale(F.col("embedding"), by).alias("embedding")), queries
+
+
+def r6(df: DataFrame, *cols: str) -> DataFrame:
+    return df.withColumns({c: F.round(c, 6) for c in cols})
+
+
+def hashed(spark, sf_dir):
+    base, q = fixture(spark, sf_dir)
+    hashes = srp.srp_hash(base, DIM)
+    chunks = partition.norm_chunks(base)
+    return base, q, hashes, chunks, srp.hash_tables(hashes, chunks)
+
+
+def query_hashes(q: DataFrame) -> DataFrame:
+    return srp.srp_hash(q, DIM, "qid", "qv")
+
+
+def exact_topk_ip(spark, d):
+    base, q = fixture(spark, d)
+    return r6(topk.exact_topk(base, q, K), "ip")
+
+
+def exact_topk_sql(spark, d):
+    """The same by DataFrame functions only: a nested-loop join with the queries, then a limited rank."""
+    base, q = fixture(spark, d)
+    scored = base.join(q, F.lit(True)).select("qid", "vec_id", V.inner_product(F.col("embedding"), F.col("qv")).alias("ip"))
+    return r6(topk.rank_by_ip(scored, K).select("qid", "rank", "vec_id", "ip"), "ip")
+
+
+def norm_pruned_topk(spark, d):
+    base, q = fixture(spark, d)
+    return r6(search.norm_pruned_topk(base, partition.norm_chunks(base), q, K), "ip")
+
+
+def norms(spark, d):
+    base, _ = fixture(spark, d)
+    return r6(partition.with_norms(base).select("vec_id", "sq_norm", "norm"), "sq_norm", "norm")
+
+
+def norm_range(spark, d):
+    return r6(partition.norm_range(fixture(spark, d)[0]), "max_sq_norm", "min_sq_norm", "norm_range")
+
+
+def query_normalize(spark, d):
+    u = fixture(spark, d)[0].select(F.col("vec_id").alias("qid"), V.normalize(F.col("embedding")).alias("u"))
+    total = F.aggregate("u", F.lit(0.0), lambda s, x: s + x)
+    return r6(u.select("qid", total.alias("total"), V.squared_norm(F.col("u")).alias("unit")), "total", "unit")
+
+
+def distance(f):
+    def run(spark, d):
+        base, q = fixture(spark, d)
+        met = base.join(q.where(F.col("qid") < 5), F.lit(True))
+        return met.select("qid", "vec_id", F.round(f(F.col("embedding"), F.col("qv")), 6).alias("dist"))
+
+    return run
+
+
+def prefix_sample(spark, d):
+    return prefix(embeddings(spark, d), 1).select("vec_id", "label")
+
+
+def query_holdout(spark, d):
+    q, base = hold_out(embeddings(spark, d), 20)
+    return q.select("vec_id", F.lit("query").alias("side")).union(base.select("vec_id", F.lit("base").alias("side")))
+
+
+def norm_chunks(spark, d):
+    return r6(partition.norm_chunks(fixture(spark, d)[0]), "sq_norm")
+
+
+def chunk_stats(spark, d):
+    return r6(partition.chunk_stats(partition.norm_chunks(fixture(spark, d)[0])), "max_sq_norm")
+
+
+def chunk_pairs(spark, d):
+    return partition.chunk_pairs(partition.chunk_stats(partition.norm_chunks(fixture(spark, d)[0])), LINKS)
+
+
+def srp_hash(spark, d):
+    return srp.srp_hash(fixture(spark, d)[0], DIM)
+
+
+def srp_tables(spark, d):
+    return hashed(spark, d)[4].select("chunk", "tbl", "h", "pos", "vec_id", "slot")
+
+
+def srp_tables_single(spark, d):
+    base, _ = fixture(spark, d)
+    ids = topk.rank_by_ip(base.select(F.lit(0).alias("qid"), "vec_id", F.lit(0.0).alias("ip")), 2**31 - 1)
+    one = ids.select("vec_id", F.lit(0).alias("chunk"), (F.col("rank") - 1).alias("pos"))
+    return srp.hash_tables(srp.srp_hash(base, DIM), one).select("tbl", "h", "pos", "vec_id", "slot")
+
+
+def near_ids(spark, d):
+    h = srp.srp_hash(fixture(spark, d)[0], DIM).select("vec_id", F.array("h0", "h1", "h2", "h3").alias("h"))
+    a = h.select(F.col("vec_id").alias("a_id"), F.col("h").alias("a"), F.explode(F.sequence(F.col("vec_id") + 1, F.col("vec_id") + 3)).alias("b_id"))
+    return a.join(h.select(F.col("vec_id").alias("b_id"), F.col("h").alias("b")), "b_id")
+
+
+def hamming(spark, d):
+    a, b = F.col("a"), F.col("b")
+    return near_ids(spark, d).select("a_id", "b_id", V.hamming(a, b).alias("diff"), V.hash_distance(a, b, 2).alias("diff_low"))
+
+
+def bit_sets(spark, d):
+    a, b = F.col("a"), F.col("b")
+    return near_ids(spark, d).select("a_id", "b_id", V.union_bits(a, b).alias("union_bits"), V.common_bits(a, b).alias("common_bits"), V.bit_count_of(a).alias("a_bits"))
+
+
+def jaccard_bits(spark, d):
+    return r6(near_ids(spark, d).select("a_id", "b_id", V.jaccard_distance(F.col("a"), F.col("b")).alias("dist")), "dist")
+
+
+def est_ip(spark, d):
+    base, q = fixture(spark, d)
+    words = lambda p: F.array(*[F.col(f"h{i}") for i in range(4)]).alias(p)
+    h = srp.srp_hash(base, DIM).select("vec_id", words("b")).join(partition.with_norms(base).select("vec_id", "norm"), "vec_id")
+    met = h.join(query_hashes(q).select("qid", words("a")), F.lit(True))
+    return met.select("qid", "vec_id", F.round(V.estimated_ip(V.hamming(F.col("a"), F.col("b")), F.col("norm")), 6).alias("est"))
+
+
+def norm_predicate(spark, d):
+    """Rows that the norm bound of each query's k-th best product leaves."""
+    base, q = fixture(spark, d)
+    kth = topk.exact_topk(base, q, K).where(F.col("rank") == K).select("qid", F.col("ip").alias("kth"))
+    return partition.with_norms(base).select("norm").join(kth, V.may_reach(F.col("norm"), F.col("kth"))).groupBy("qid").agg(F.count("*").alias("kept"))
+
+
+def lsh_window_graph(spark, d, directed=True):
+    base, _, _, _, tables = hashed(spark, d)
+    return r6(graph.hash_band_join(tables, base, WIDTH, 16, directed), "ip")
+
+
+def norm_band_graph(spark, d):
+    base, _ = fixture(spark, d)
+    return r6(graph.norm_band_join(partition.norm_chunks(base), base, 16), "ip")
+
+
+def cross_chunk_join(spark, d):
+    base, _, _, chunks, tables = hashed(spark, d)
+    pairs = partition.chunk_pairs(partition.chunk_stats(chunks), LINKS)
+    return r6(graph.cross_chunk_join(tables, pairs, base, WIDTH).select("src", "dst", "block1", "block2", "ip"), "ip")
+
+
+def cross_chunk_edges(spark, d):
+    base, _, _, chunks, tables = hashed(spark, d)
+    pairs = partition.chunk_pairs(partition.chunk_stats(chunks), LINKS)
+    edges = graph.hash_band_join(tables, base, WIDTH, 16)
+    return r6(graph.expand_cross_edges(graph.cross_chunk_join(tables, pairs, base, WIDTH), edges, chunks, base, LINKS), "ip")
+
+
+def graph_refine(spark, d):
+    base, _, _, _, tables = hashed(spark, d)
+    return r6(graph.refine(graph.hash_band_join(tables, base, WIDTH, 16), base, 8, 16), "ip")
+
+
+def srp_seeds(spark, d):
+    _, q, _, _, tables = hashed(spark, d)
+    return srp.srp_seeds(tables, query_hashes(q), UB)
+
+
+def seed_levels(spark, d):
+    _, q, _, _, tables = hashed(spark, d)
+    long = query_hashes(q).select("qid", F.posexplode(F.array("h0", "h1", "h2", "h3")).alias("tbl", "hq"))
+    met = tables.join(long, "tbl").withColumn("level", srp.window_level(F.col("h"), F.col("hq")))
+    return metrics.candidate_counts(met).select("qid", "chunk", "level", "upto")
+
+
+def entry_point(spark, d):
+    _, q, _, _, tables = hashed(spark, d)
+    return srp.entry_point(tables, query_hashes(q))
+
+
+def lsh_only_topk(spark, d):
+    base, q, _, _, tables = hashed(spark, d)
+    return r6(search.lsh_topk(srp.srp_seeds(tables, query_hashes(q), UB), base, q, K), "ip")
+
+
+def recall_ratio(spark, d):
+    base, q, _, _, tables = hashed(spark, d)
+    got = search.lsh_topk(srp.srp_seeds(tables, query_hashes(q), UB), base, q, K)
+    return r6(metrics.recall_ratio(got, topk.exact_topk(base, q, K), K), "recall", "ratio", "k_ratio")
+
+
+def small_index(base):
+    return index.build_index(base, index.IndexParams(build_min=32, width=WIDTH, degree=8, max_degree=16), DIM)
+
+
+def searched(**options):
+    def run(spark, d):
+        base, q = fixture(spark, d)
+        return r6(search.search(small_index(base), q, K, **(SMALL | options)), "ip")
+
+    return run
+
+
+def stream_topk(spark, d):
+    """Queries that arrive as a stream, answered batch by batch."""
+    import uuid
+
+    from .streaming.search import stream_topk as start
+
+    base, q = fixture(spark, d)
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        import tempfile
+
+        root = tempfile.mkdtemp(prefix="innerscan-")
+    root = f"{root.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    q.write.parquet(f"{root}/in")
+    arriving = spark.readStream.schema("qid bigint, qv array<double>").option("maxFilesPerTrigger", 8).parquet(f"{root}/in")
+    running = start(arriving, base, K, f"{root}/out", f"{root}/offsets")
+    running.processAllAvailable()
+    running.stop()
+    return r6(spark.read.parquet(f"{root}/out").select("qid", "rank", "vec_id", "ip"), "ip")
 
 
 def queries() -> dict:
-    return {}
+    return {
+        "exact_topk_ip": exact_topk_ip,
+        "exact_topk_sql": exact_topk_sql,
+        "norm_pruned_topk": norm_pruned_topk,
+        "norms": norms,
+        "norm_range": norm_range,
+        "query_normalize": query_normalize,
+        "neg_inner_product": distance(V.negative_inner_product),
+        "dist_l2": distance(V.l2_squared),
+        "dist_l1": distance(V.l1),
+        "dist_linf": distance(V.linf),
+        "prefix_sample": prefix_sample,
+        "query_holdout": query_holdout,
+        "norm_chunks": norm_chunks,
+        "chunk_stats": chunk_stats,
+        "chunk_pairs": chunk_pairs,
+        "srp_hash": srp_hash,
+        "srp_tables": srp_tables,
+        "srp_tables_single": srp_tables_single,
+        "hamming": hamming,
+        "bit_sets": bit_sets,
+        "jaccard_bits": jaccard_bits,
+        "est_ip": est_ip,
+        "norm_predicate": norm_predicate,
+        "lsh_window_graph": lsh_window_graph,
+        "lsh_window_graph_both": lambda s, d: lsh_window_graph(s, d, False),
+        "norm_band_graph": norm_band_graph,
+        "cross_chunk_join": cross_chunk_join,
+        "cross_chunk_edges": cross_chunk_edges,
+        "graph_refine": graph_refine,
+        "srp_seeds": srp_seeds,
+        "seed_levels": seed_levels,
+        "entry_point": entry_point,
+        "lsh_only_topk": lsh_only_topk,
+        "recall_ratio": recall_ratio,
+        "exhaustive_beam_topk": searched(search_min=0, ub=10**9, norm_prune=False, z=None, stop_by_norm=False),
+        "pruned_beam_topk": searched(),
+        "norm_pruned_beam_topk": searched(z=None),
+        "beam_topk": searched(entry="top", norm_prune=False, z=None),
+        "lsh_graphless_topk": searched(entry="lsh"),
+        "stream_topk": stream_topk,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return oracle.oracle_sql()
