@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import chat, fingerprints, line_dedup, mixing, oracle, packing, toxicity
+from . import chat, fingerprints, line_dedup, mixing, near_dedup, oracle, packing, pii, toxicity
 
 
 def queries() -> dict:
     return {
         "op1_packing": packing.op1_packing,
+        "op2_pii": pii.op2_pii,
         "op5_line_dedup": line_dedup.op5_line_dedup,
+        "op6_minhash": near_dedup.op6_minhash,
         "op7_mixing": mixing.op7_mixing,
         "op8_toxicity": toxicity.op8_toxicity,
         "op9_chat": chat.op9_chat,
