@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import chat, fingerprints, line_dedup, mixing, near_dedup, oracle, packing, pii, toxicity
+from . import chat, fingerprints, line_dedup, mixing, near_dedup, oracle, packing, pii, substring_dedup, toxicity
 
 
 def queries() -> dict:
     return {
         "op1_packing": packing.op1_packing,
         "op2_pii": pii.op2_pii,
+        "op3_substring_dedup": substring_dedup.op3_substring_dedup,
         "op5_line_dedup": line_dedup.op5_line_dedup,
         "op6_minhash": near_dedup.op6_minhash,
         "op7_mixing": mixing.op7_mixing,
