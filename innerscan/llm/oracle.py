@@ -54,3 +54,24 @@ SELECT doc_id, size, source_size, target,
        CAST(whole * size + greatest(0, least(budget - whole * source_size - before, size)) AS BIGINT) AS taken
 FROM run
 """
+
+BM25 = r"""
+WITH words AS (
+  SELECT doc_id, trim(w, '.,;:!?"''()[]') AS t FROM (
+    SELECT doc_id, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+')) AS w FROM documents)
+), tf AS (
+  SELECT doc_id, t, count(*) AS tf FROM words WHERE t <> '' GROUP BY doc_id, t
+), len AS (
+  SELECT d.doc_id, coalesce(sum(tf), 0) AS dl FROM documents d LEFT JOIN tf USING (doc_id) GROUP BY d.doc_id
+), total AS (
+  SELECT count(*) AS n, sum(dl) / count(*) AS average FROM len
+), idf AS (
+  SELECT t, ln(1 + (n - count(*) + 0.5::DOUBLE) / (count(*) + 0.5::DOUBLE)) AS idf FROM tf, total GROUP BY t, n
+), scored AS (
+  SELECT q.doc_id AS query_id, d.doc_id, round(sum(idf * d.tf * 2.2::DOUBLE / (d.tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / average))), 6) AS score
+  FROM (SELECT doc_id, t FROM tf WHERE doc_id % 20 = 0) q JOIN tf d USING (t) JOIN idf USING (t) JOIN len ON len.doc_id = d.doc_id, total
+  GROUP BY q.doc_id, d.doc_id
+)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS INT) AS rank, doc_id, score
+FROM scored QUALIFY rank <= 10
+"""

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, fingerprints, line_dedup, mixing, near_dedup, oracle, packing, pii, substring_dedup, toxicity
+from . import bm25, chat, fingerprints, line_dedup, mixing, near_dedup, oracle, packing, pii, substring_dedup, toxicity
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op1_packing": packing.op1_packing,
         "op2_pii": pii.op2_pii,
         "op3_substring_dedup": substring_dedup.op3_substring_dedup,
+        "op4_bm25": bm25.op4_bm25,
         "op5_line_dedup": line_dedup.op5_line_dedup,
         "op6_minhash": near_dedup.op6_minhash,
         "op7_mixing": mixing.op7_mixing,
@@ -21,6 +22,7 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op4_bm25": oracle.BM25,
         "op5_line_dedup": oracle.LINE_DEDUP,
         "op7_mixing": oracle.MIXING,
     }
