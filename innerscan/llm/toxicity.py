@@ -17,18 +17,19 @@ from .common import materialize, table
 MAX_LABELLED = 20_000
 #: Features of a model at most.
 MAX_FEATURES = 4_000
-MIN_DOCS = 5
-PUNCTUATION = ".,;:!?\"'()[]{}<>«»¡¿…-_*/\\|"
+#: Standard errors that a feature's log odds are above 0 by at least, and the log odds.
+MIN_Z, MIN_ODDS = 3.0, 2.0
+PUNCTUATION = ".,;:!?\"'()[]{}<>«»¡¿…-_*/\\|#$%&"
 CACHE_WORDS = 400_000
 SCORED = "doc_id bigint, severity double, grade int, p_toxic double, evidence bigint"
 
 
 def features(word: str) -> tuple[str, ...]:
-    """A word, lower-cased and without punctuation at its ends, and its beginnings of four and five characters."""
+    """A word, lower-cased and without punctuation at its ends, and its beginnings of three to seven characters."""
     w = word.strip(PUNCTUATION)
     if not w:
         return ()
-    return (w, "4:" + w[:4], "5:" + w[:5]) if len(w) >= 5 else (w,)
+    return (w, *[f"{n}:{w[:n]}" for n in range(3, 8) if len(w) >= n])
 
 
 def words(text: str | None) -> Counter:
@@ -122,7 +123,7 @@ def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED,
     names = [
         r["feature"]
         for r in feature_rows(sample)
-        .where((F.col("bad") >= MIN_DOCS) & (odds > 2.0))
+        .where((odds > MIN_ODDS) & (odds > MIN_Z * F.sqrt(1 / (F.col("bad") + 0.5) + 1 / (F.col("good") + 0.5))))
         .orderBy((odds * F.log1p(F.col("bad"))).desc(), "feature")
         .limit(max_features)
         .collect()
