@@ -120,3 +120,13 @@ def global_rank(df: DataFrame, order: Sequence[Column], rank: str) -> DataFrame:
         .withColumn(rank, F.col("__before") + F.col("__rn") - 1)
         .drop(part, "__rn", "__before")
     )
+
+
+def whole_rows(df: DataFrame) -> DataFrame:
+    """All columns as one, ``__row``, so that no name clashes with a helper's."""
+    return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("__row"))
+
+
+def unwrapped(df: DataFrame, columns: Sequence[str], **replaced: Column) -> DataFrame:
+    """The columns of ``__row`` again, some replaced."""
+    return df.select(*[(replaced[c] if c in replaced else F.col("__row")[c]).alias(c) for c in columns])

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import MIN_LONG, ascii_lower, bucket_of, materialize, range_bounds, shared_dir, shuffle_partitions, table, ws_strip
+from .common import MIN_LONG, ascii_lower, bucket_of, materialize, range_bounds, shared_dir, shuffle_partitions, table, unwrapped, whole_rows, ws_strip
 
 SEED = 0x5EED
 
@@ -129,14 +129,18 @@ def dedup_lines(
         .agg(F.collect_set("h1").alias("__drops"))
     )
     dropped = lambda x: (F.length(x) >= min_chars) & F.array_contains(F.col("__drops"), hashed(line_key(x)))
-    joined = docs.withColumn("__own", own).join(drops, F.col("__own") == F.col("__id"), "left").withColumn("__lines", lines(F.col(text_col)))
+    text = F.col("__row")[text_col]
+    joined = whole_rows(docs).withColumn("__own", F.coalesce(F.col("__row")[id_col].cast("long"), F.lit(MIN_LONG))).join(drops, F.col("__own") == F.col("__id"), "left")
+    joined = joined.withColumn("__lines", lines(text))
     kept = joined.withColumn("__kept", F.when(F.col("__drops").isNull(), F.col("__lines")).otherwise(F.filter("__lines", lambda x: ~dropped(x))))
-    rest = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
-    return kept.select(
-        *[F.array_join("__kept", "\n").alias(c) if c == text_col else F.col(c) for c in rest],
-        F.size("__lines").cast("long").alias("n_lines"),
-        (F.size("__lines") - F.size("__kept")).cast("long").alias("n_dropped"),
+    done = kept.select(
+        "__row",
+        F.array_join("__kept", "\n").alias("__text"),
+        F.size("__lines").cast("long").alias("__n"),
+        (F.size("__lines") - F.size("__kept")).cast("long").alias("__dropped"),
     )
+    columns = [*[c for c in docs.columns if c not in ("n_lines", "n_dropped")], "n_lines", "n_dropped"]
+    return unwrapped(done, columns, **{text_col: F.col("__text"), "n_lines": F.col("__n"), "n_dropped": F.col("__dropped")})
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import global_rank, materialize, table, word_count, ws_strip
+from .common import global_rank, materialize, table, unwrapped, whole_rows, word_count, ws_strip
 
 #: Documents of one source that one bucket of keys holds at about.
 BUCKET_ROWS = 50_000
@@ -123,12 +123,13 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
         F.array_repeat(F.lit(-1), whole),
         F.when(cut > 0, F.array(cut)).otherwise(F.array().cast("array<int>")),
     )
-    words = F.split(F.col(text_col), WORD_STARTS)
+    whole_text = F.col("__row")[text_col]
+    words = F.split(whole_text, WORD_STARTS)
     lead = F.when(ws_strip(words[0]) == "", 1).otherwise(0)
     head = F.array_join(F.slice(words, F.lit(1), F.col("__copy") + lead), "")
-    text = F.when(F.col("__copy") < 0, F.col(text_col)).otherwise(head)
-    kept = docs.join(plan, F.col(id_col).eqNullSafe(F.col("__id"))).withColumn("__copy", F.explode(copies))
-    return kept.withColumn(text_col, text).select(*docs.columns)
+    text = F.when(F.col("__copy") < 0, whole_text).otherwise(head)
+    kept = whole_rows(docs).join(plan, F.col("__row")[id_col].eqNullSafe(F.col("__id"))).withColumn("__copy", F.explode(copies))
+    return unwrapped(kept, docs.columns, **{text_col: text})
 
 
 def op7_mixing(spark, sf_dir: str) -> DataFrame:

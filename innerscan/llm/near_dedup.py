@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import MIN_LONG, materialize, table
+from .common import MIN_LONG, materialize, table, unwrapped, whole_rows
 
 SHINGLE = 5
 BANDS, ROWS = 30, 6
@@ -265,7 +265,7 @@ def near_duplicates(
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     """One document of each component: the rows of ``docs`` with its smallest id, all columns kept."""
     kept = near_duplicates(docs, id_col=id_col, **options).where("kept").select(F.col("doc_id").alias("__kept")).distinct()
-    return docs.join(kept, F.col(id_col).eqNullSafe(F.col("__kept")), "left_semi")
+    return unwrapped(whole_rows(docs).join(kept, F.col("__row")[id_col].eqNullSafe(F.col("__kept")), "left_semi"), docs.columns)
 
 
 def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

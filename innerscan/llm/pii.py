@@ -47,7 +47,7 @@ def luhn(s: Column) -> Column:
 def valid(kind: str, value: Column) -> Column:
     if kind == "ip":
         part = lambda p: F.ltrim(p, F.lit("0"))
-        return F.forall(F.split(value, r"\."), lambda p: (F.length(part(p)) <= 3) & (F.coalesce(F.when(F.length(part(p)) <= 3, part(p)).cast("int"), F.lit(0)) <= 255))
+        return F.forall(F.split(value, r"\."), lambda p: (F.length(part(p)) <= 3) & (F.coalesce(part(p).try_cast("int"), F.lit(0)) <= 255))
     if kind == "card":
         return F.length(digits(value)).between(12, 19) & F.when(F.length(digits(value)).between(12, 19), luhn(digits(value))).otherwise(False)
     if kind == "phone":
