@@ -65,7 +65,7 @@ def main() -> None:
     )
     spark.sparkContext.setLogLevel("ERROR")
     queries = core.queries()
-    queries["norms"](spark, SF).count()
+    queries["exact_topk_ip"](spark, SF).count()  # starts the JVM code and the Python workers
     times = {name: seconds(lambda n=name: queries[n](spark, SF)) for name in CORE}
     more, quality = searches(spark)
     times |= more
