@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.vectors import inner_product
+from ..storage import written
 from .topk import trim
 
 MAX_DEGREE, DEGREE, WIDTH = 48, 24, 10
@@ -99,7 +100,7 @@ def refine(edges: DataFrame, base: DataFrame, degree: int = DEGREE, max_degree:
     for _ in range(rounds):
         two = out.select("src", F.col("dst").alias("mid")).join(out.select(F.col("src").alias("mid"), "dst"), "mid").select("src", "dst")
         new = two.where(F.col("src") != F.col("dst")).distinct().join(out, ["src", "dst"], "left_anti")
-        best = trim(out.unionByName(score(new, base).select("src", "dst", "ip")), degree).select("src", "dst", "ip").persist()
+        best = written(trim(out.unionByName(score(new, base).select("src", "dst", "ip")), degree).select("src", "dst", "ip"))
         both = best.union(best.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "ip"))
         out = trim(both, max_degree).select("src", "dst", "ip")
     return out

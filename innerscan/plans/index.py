@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.vectors import as_double, squared_norm
 from ..operators import graph, partition, srp
+from ..storage import written
 
 
 @dataclass
@@ -49,27 +50,28 @@ def build_index(base: DataFrame, p: IndexParams = IndexParams(), dim: int | None
     bad = base.where(F.size("embedding") != dim).limit(1).count()
     if bad:
         raise ValueError(f"vectors of a dimension other than {dim}")
-    chunks = partition.norm_chunks(base, p.ratio, p.min_size)
+    chunks = written(partition.norm_chunks(base, p.ratio, p.min_size))
     sizes = chunks.groupBy("chunk").agg(F.count("*").alias("n"))
     shards = F.ceil(F.col("n") / p.shard_rows).cast("int")
-    placed = chunks.join(sizes, "chunk").withColumn("shard", F.pmod(F.xxhash64("vec_id"), shards).cast("int")).persist()
+    placed = chunks.join(sizes, "chunk").withColumn("shard", F.pmod(F.xxhash64("vec_id"), shards).cast("int"))
+    placed = written(placed)
     hashes = srp.srp_hash(base, dim, tables=p.tables, bits=p.bits, seed=p.seed)
     for i in range(p.tables, 4):
         hashes = hashes.withColumn(f"h{i}", F.lit(0))
-    hashes = hashes.persist()  # a Python kernel that four joins read
+    hashes = written(hashes)
     local = placed.withColumn("chunk", F.col("chunk") * 100_000 + F.col("shard"))
     big, small = local.where(F.col("n") >= p.build_min), local.where(F.col("n") < p.build_min)
     tables = srp.hash_tables(hashes, big.select("vec_id", "chunk", "pos"), p.tables)
-    edges = graph.hash_band_join(tables, base, p.width, p.max_degree).persist()
+    edges = written(graph.hash_band_join(tables, base, p.width, p.max_degree))
     if p.rounds:
         edges = graph.refine(edges, base, p.degree, p.max_degree, p.rounds)
     edges = edges.unionByName(graph.norm_band_join(small.select("vec_id", "chunk", "pos"), base, p.max_degree))
+    edges = written(edges)
     if p.normal_edges:
         all_tables = srp.hash_tables(hashes, placed.select("vec_id", "chunk", "pos"), p.tables)
         pairs = partition.chunk_pairs(sizes, p.links)
         cross = graph.cross_chunk_join(all_tables, pairs, base, p.width)
         edges = edges.unionByName(graph.expand_cross_edges(cross, edges, chunks, base, p.links).select("src", "dst", "ip"))
-    edges = edges.persist()
     nbrs = edges.groupBy(F.col("src").alias("vec_id")).agg(F.sort_array(F.collect_set("dst")).alias("nbrs"))
     out = base.join(placed.select("vec_id", "chunk", "shard", "sq_norm"), "vec_id").join(hashes, "vec_id").join(nbrs, "vec_id", "left")
     return out.select("chunk", "shard", "vec_id", F.sqrt("sq_norm").alias("norm"), "h0", "h1", "h2", "h3", "nbrs", "embedding")

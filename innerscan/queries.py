@@ -231,15 +231,11 @@ def stream_topk(spark, d):
     """Queries that arrive as a stream, answered batch by batch."""
     import uuid
 
+    from .storage import shared_dir
     from .streaming.search import stream_topk as start
 
     base, q = fixture(spark, d)
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        import tempfile
-
-        root = tempfile.mkdtemp(prefix="innerscan-")
-    root = f"{root.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    root = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
     q.write.parquet(f"{root}/in")
     arriving = spark.readStream.schema("qid bigint, qv array<double>").option("maxFilesPerTrigger", 8).parquet(f"{root}/in")
     running = start(arriving, base, K, f"{root}/out", f"{root}/offsets")
