@@ -75,3 +75,42 @@ WITH words AS (
 SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS INT) AS rank, doc_id, score
 FROM scored QUALIFY rank <= 10
 """
+
+MINHASH = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws
+  FROM documents
+), sh AS (
+  SELECT DISTINCT doc_id, array_to_string(ws[i:i + 4], ' ') AS s
+  FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 4, 1) + 1)) AS i FROM w WHERE len(ws) > 0)
+), n AS (
+  SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id
+), pairs AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id
+), links AS (
+  SELECT x, y FROM pairs JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * c >= 85 * (a.n + b.n - c)
+), reach AS (
+  SELECT doc_id AS x, doc_id AS y FROM documents UNION SELECT reach.x, links.y FROM reach JOIN links ON reach.y = links.x
+)
+SELECT d.doc_id, coalesce(any_value(n), 0) AS n_shingles, min(y) AS component_id, d.doc_id = min(y) AS kept
+FROM documents d JOIN reach ON reach.x = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id GROUP BY d.doc_id
+"""
+
+SUBSTRINGS = r"""
+WITH hx AS (
+  SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents
+), bytes AS (
+  SELECT doc_id, p, substr(h, 2 * p - 1, 2) AS b, CASE WHEN 2 * p + 98 <= length(h) THEN substr(h, 2 * p - 1, 100) END AS g
+  FROM (SELECT doc_id, h, unnest(range(1, length(h) // 2 + 1)) AS p FROM hx)
+), firsts AS (
+  SELECT g, min(doc_id) AS d0 FROM bytes WHERE g IS NOT NULL GROUP BY g
+), judged AS (
+  SELECT doc_id, p, b, max(CASE WHEN d0 < doc_id THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY p ROWS BETWEEN 49 PRECEDING AND CURRENT ROW) AS gone
+  FROM bytes LEFT JOIN firsts USING (g)
+), runs AS (
+  SELECT *, CASE WHEN gone = 1 AND coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY p), 0) = 0 THEN 1 ELSE 0 END AS begins FROM judged
+)
+SELECT doc_id, count(b) AS n_bytes, CAST(coalesce(sum(gone), 0) AS BIGINT) AS n_removed, CAST(coalesce(sum(begins), 0) AS BIGINT) AS n_spans,
+       sha256(unhex(coalesce(string_agg(b, '' ORDER BY p) FILTER (gone = 0), ''))) AS kept_sha256
+FROM (SELECT doc_id FROM documents) LEFT JOIN runs USING (doc_id) GROUP BY doc_id
+"""

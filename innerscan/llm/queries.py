@@ -24,5 +24,6 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op4_bm25": oracle.BM25,
         "op5_line_dedup": oracle.LINE_DEDUP,
+        "op6_minhash": oracle.MINHASH,
         "op7_mixing": oracle.MIXING,
     }
