@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -130,17 +132,20 @@ def link(messages: DataFrame) -> DataFrame:
 def roots(parents: DataFrame) -> DataFrame:
     """(c, t, root, hops): the first ancestor of each message, by pointer jumping: rounds grow with the log of the depth.
 
-    Parents come before their replies, so there is no cycle.
+    Parents come before their replies, so there is no cycle.  A message that
+    has reached its first ancestor takes no part in later rounds.
     """
-    now = materialize(parents.select("c", "t", F.col("parent").alias("root"), F.lit(1).alias("hops")), "roots")
+    active, done = materialize(parents.select("c", "t", F.col("parent").alias("root"), F.lit(1).alias("hops")), "roots"), []
     while True:
-        up = now.select(F.col("c").alias("uc"), F.col("t").alias("ut"), F.col("root").alias("up"), F.col("hops").alias("more"))
-        jumped = now.join(up, (F.col("root.c") == F.col("uc")) & (F.col("root.t") == F.col("ut")), "left")
+        known = reduce(DataFrame.unionByName, [active, *done])
+        up = known.select(F.col("c").alias("uc"), F.col("t").alias("ut"), F.col("root").alias("up"), F.col("hops").alias("more"))
+        jumped = active.join(up, (F.col("root.c") == F.col("uc")) & (F.col("root.t") == F.col("ut")), "left")
         jumped = jumped.select("c", "t", F.coalesce("up", "root").alias("root"), (F.col("hops") + F.coalesce("more", F.lit(0))).alias("hops"), F.col("up").isNotNull().alias("moved"))
-        now = materialize(jumped, "roots")
-        if not now.where("moved").limit(1).count():
-            return now.drop("moved")
-        now = now.drop("moved")
+        jumped = materialize(jumped, "roots")
+        done.append(jumped.where("not moved").drop("moved"))
+        active = jumped.where("moved").drop("moved")
+        if not active.limit(1).count():
+            return reduce(DataFrame.unionByName, done)
 
 
 def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
