@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import gc
 import math
 import tempfile
+import time
 import uuid
 from collections.abc import Sequence
 
@@ -51,6 +53,14 @@ def materialize(df: DataFrame, name: str = "t", partition_by: Sequence[str] = ()
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Let go of what is no longer referred to, so that the files of finished shuffles are deleted now, not some time later."""
+    for _ in range(2):  # the driver's Python lets go of the JVM's objects in the first round
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

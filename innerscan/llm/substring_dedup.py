@@ -9,6 +9,7 @@ built in one task, and its passages are streamed through it.
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 
@@ -18,20 +19,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import MIN_LONG, materialize, table
+from .common import MIN_LONG, materialize, new_path, release, shuffle_partitions, table
 from .near_dedup import U, mix64
 
 LENGTH = 50
 #: An anchor is the least hash of the KEY-byte strings in a LENGTH-byte string; WINDOW of them.
 KEY = 26
 WINDOW = LENGTH - KEY + 1
+HALF = WINDOW // 2
 #: Keys that one task compares, and contexts that one index holds, at about.
 BUCKET_KEYS, INDEX_CONTEXTS = 1_000_000, 30_000
 #: The filter of repeated keys is broadcast; it never has more bits than 2 to this power (32 MB).
 FILTER_BITS = 28
 #: Above this share of set bits the filter passes too much and repeated keys are joined exactly.
 FULL = 0.05
-FLUSH_KEYS, FLUSH_ROWS = 1_000_000, 20_000
+FLUSH_KEYS, FLUSH_ROWS, KNOWN_CONTEXTS = 1_000_000, 20_000, 200_000
 
 
 def slide(x: np.ndarray, width: int, f) -> np.ndarray:
@@ -43,10 +45,16 @@ def slide(x: np.ndarray, width: int, f) -> np.ndarray:
     return f(out[: len(out) - (width - done)], out[width - done :]) if done < width else out
 
 
-def anchors(b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(positions, keys): every LENGTH-byte string has the anchor that its content chooses, wherever it stands."""
+def anchors(b: np.ndarray, out: list[tuple[int, int]] = ()) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(positions, keys, sides): every LENGTH-byte string has the anchor that its content chooses, wherever it stands.
+
+    Strings that start in one of the ranges ``out`` choose none.  ``sides``
+    are, for each anchor, hashes of its key with the HALF bytes before it and
+    with the HALF + 1 after it, 0 where they are not there: a string around an
+    anchor holds the one or the other.
+    """
     if len(b) < LENGTH:
-        return np.zeros(0, np.int64), np.zeros(0, U)
+        return np.zeros(0, np.int64), np.zeros(0, U), np.zeros((0, 2), U)
     base, h = 0x9E3779B97F4A7C15, {1: b.astype(U) + U(1)}
     power = lambda k: U(pow(base, k, 2**64))
     for k in (1, 2, 4, 8):
@@ -55,18 +63,81 @@ def anchors(b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     key = (h[16][:n] * power(8) + h[8][16 : 16 + n]) * power(2) + h[2][24 : 24 + n]
     key = mix64(key)
     least = slide(key, WINDOW, np.minimum)
+    for start, stop in out:
+        least[start:stop] = 0
     pad = np.zeros(WINDOW - 1, U)
     at = np.flatnonzero(slide(np.concatenate([pad, least, pad]), WINDOW, np.maximum) == key)
-    return at, key[at]
+    near, sides = key[at], np.zeros((len(at), 2), U)
+    left, right = at >= HALF, at + KEY + HALF + 1 <= len(b)
+    a = at[left] - HALF
+    sides[left, 0] = mix64((near[left] ^ h[8][a]) * U(base) + h[4][a + 8])
+    a = at[right] + KEY
+    sides[right, 1] = mix64((near[right] + h[8][a]) * U(base) + h[4][a + 8] * U(257) + h[1][a + 12])
+    return at, near, sides
+
+
+def passes(bitmap: np.ndarray, keys: np.ndarray, bits: int) -> np.ndarray:
+    slot = (keys >> U(64 - bits)).astype(np.int64)
+    return (bitmap[slot >> 3] >> (slot & 7).astype(np.uint8) & 1).astype(bool)
 
 
 def octets(text: str | None) -> bytes:
     return (text or "").encode("utf-8", "surrogatepass")
 
 
-def repeated_filter(base: DataFrame, buckets: int, bits: int) -> np.ndarray:
+def units(data: bytes) -> Iterator[tuple[int, int]]:
+    """[start, stop) of parts such that every LENGTH-byte string lies in exactly one, judged by its first line break.
+
+    Even parts are the lines; odd ones are a line break with the bytes around
+    it that strings with it as their first can have.
+    """
+    at = 0
+    while True:
+        p = data.find(b"\n", at)
+        if p < 0:
+            yield at, len(data)
+            return
+        yield at, p
+        yield max(at, p - LENGTH + 1), min(len(data), p + LENGTH)
+        at = p + 1
+
+
+def unit_rows(base: DataFrame) -> DataFrame:
+    """(doc_id, th, unit, no): the hashed parts of at least LENGTH bytes of each text."""
+    schema = pa.schema([("doc_id", pa.int64()), ("th", pa.int64()), ("unit", pa.binary()), ("no", pa.int32())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in (batch.slice(i, 1_000) for i in range(0, batch.num_rows, 1_000)):
+                row, unit, no = [], [], []
+                for i in range(part.num_rows):
+                    data = octets(part.column(2)[i].as_py())
+                    for j, (a, b) in enumerate(units(data)):
+                        if b - a >= LENGTH:
+                            row.append(i)
+                            unit.append(hashlib.blake2b(data[a:b], digest_size=16).digest())
+                            no.append(j)
+                at = pa.array(row, pa.int64())
+                yield pa.RecordBatch.from_arrays([part.column(0).take(at), part.column(1).take(at), pa.array(unit, pa.binary()), pa.array(no, pa.int32())], schema=schema)
+
+    return base.select("doc_id", "th", "text").mapInArrow(run, "doc_id bigint, th bigint, unit binary, no int")
+
+
+def known_parts(data: bytes, later: list[int] | None) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
+    """(spans, ranges of string starts) of the parts whose numbers are in ``later``."""
+    if not later:
+        return [], []
+    want = set(later)
+    spans = [x for j, x in enumerate(units(data)) if j in want]
+    return spans, [(a, b - LENGTH + 1) for a, b in spans]
+
+
+def repeated_filter(base: DataFrame, buckets: int, bits: int, known=None) -> np.ndarray:
     """A bit for each prefix of ``bits`` bits of the keys that several documents hold.
 
+    With ``known``, a broadcast filter of keys, the sides of the anchors that
+    pass it take the place of keys.
+
     A batch sends each key once, with a mark if two of its documents hold it;
     buckets of keys are compared, and each returns its part of the bits.
     """
@@ -74,6 +145,7 @@ def repeated_filter(base: DataFrame, buckets: int, bits: int) -> np.ndarray:
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pd.DataFrame]:
         held, size = [], 0
+        before = None if known is None else np.frombuffer(known.value, np.uint8)
 
         def flush():
             keys, count = np.unique(np.concatenate(held), return_counts=True)
@@ -87,8 +159,12 @@ def repeated_filter(base: DataFrame, buckets: int, bits: int) -> np.ndarray:
             return pa.RecordBatch.from_arrays(list(table_.values()), names=list(table_))
 
         for batch in batches:
-            for text in batch.column(0):
-                keys = np.unique(anchors(np.frombuffer(octets(text.as_py()), np.uint8))[1])
+            for text, later in zip(batch.column(0), batch.column(1)):
+                data = octets(text.as_py())
+                _, keys, sides = anchors(np.frombuffer(data, np.uint8), known_parts(data, later.as_py())[1])
+                if before is not None:
+                    keys = sides[passes(before, keys, bits)].ravel()
+                keys = np.unique(keys[keys > 0])
                 if len(keys):
                     held.append(keys)
                     size += len(keys)
@@ -110,7 +186,7 @@ def repeated_filter(base: DataFrame, buckets: int, bits: int) -> np.ndarray:
         own[(keys[many] >> U(64 - bits)).astype(np.int64) - bucket * len(own)] = True
         return pd.DataFrame({"bucket": [bucket], "bits": [np.packbits(own, bitorder="little").tobytes()]})
 
-    sent = base.select("text").mapInArrow(emit, "bucket int, keys binary, marks binary")
+    sent = base.select("text", "later").mapInArrow(emit, "bucket int, keys binary, marks binary")
     out = np.zeros((1 << bits) // 8, np.uint8)
     part = len(out) // buckets
     for row in sent.groupBy("bucket").applyInPandas(meet, "bucket int, bits binary").toLocalIterator():
@@ -118,47 +194,65 @@ def repeated_filter(base: DataFrame, buckets: int, bits: int) -> np.ndarray:
     return out
 
 
-OCCURRENCE = "doc_id bigint, th bigint, at bigint, key bigint, cid binary, left int, n int, context binary"
+OCCURRENCE = "doc_id bigint, th bigint, at int, key bigint, h bigint, n int, left int, context binary"
 
 
 def occurrences(base: DataFrame, sent, bits: int) -> DataFrame:
-    """The anchors that pass the filter, with up to WINDOW - 1 bytes to either side as their context.
+    """The anchors that pass both filters, with up to WINDOW - 1 bytes to either side as their context.
 
-    ``cid`` names a context; its bytes come with its first occurrence in a flush only.
+    (key, h) names a context.  Its bytes come in rows of their own, one for
+    each task that meets it or a few, with the smallest and largest id there
+    in the places of doc_id and th.
     """
-    schema = pa.schema([("doc_id", pa.int64()), ("th", pa.int64()), ("at", pa.int64()), ("key", pa.int64()), ("cid", pa.binary()), ("left", pa.int32()), ("n", pa.int32()), ("context", pa.binary())])
+    schema = pa.schema([("doc_id", pa.int64()), ("th", pa.int64()), ("at", pa.int32()), ("key", pa.int64()), ("h", pa.int64()), ("n", pa.int32()), ("left", pa.int32()), ("context", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bitmap = np.frombuffer(sent.value, np.uint8)
+        import xxhash
+
+        by_key, by_side = (np.frombuffer(x, np.uint8) for x in sent.value)
         rows: list = []
-        known: set[bytes] = set()
+        met: dict[tuple[int, int], list] = {}
 
-        def flush():
+        def flush(rows):
             return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
+        def contexts():
+            out = [(d0, last, -1, k, h, len(c), left, c) for (k, h), (d0, last, left, c) in met.items()]
+            for i in range(0, len(out), FLUSH_ROWS):
+                yield flush(out[i : i + FLUSH_ROWS])
+
         for batch in batches:
             for i in range(batch.num_rows):
                 data = octets(batch.column(2)[i].as_py())
-                at, keys = anchors(np.frombuffer(data, np.uint8))
-                slot = (keys >> U(64 - bits)).astype(np.int64)
-                pick = np.flatnonzero(bitmap[slot >> 3] >> (slot & 7).astype(np.uint8) & 1)
+                at, keys, sides = anchors(np.frombuffer(data, np.uint8), known_parts(data, batch.column(3)[i].as_py())[1])
+                both = [passes(by_side, s, bits) & (s > 0) for s in sides.T]
+                pick = np.flatnonzero(passes(by_key, keys, bits) & (both[0] | both[1]))
                 if not len(pick):
                     continue
                 doc_id, th = batch.column(0)[i].as_py(), batch.column(1)[i].as_py()
                 for p, k in zip(at[pick].tolist(), keys[pick].view(np.int64).tolist()):
                     start = max(0, p - WINDOW + 1)
                     c = data[start : p + LENGTH]
-                    cid = hashlib.blake2b(c, digest_size=16, key=bytes([p - start])).digest()
-                    new = cid not in known
-                    known.add(cid)
-                    rows.append((doc_id, th, start, k, cid, p - start, len(c), c if new else None))
+                    h = xxhash.xxh64_intdigest(c, p - start) - (1 << 63)
+                    old = met.get((k, h))
+                    if old is None:
+                        met[k, h] = [doc_id, doc_id, p - start, c]
+                    elif doc_id < old[0]:
+                        old[0] = doc_id
+                    elif doc_id > old[1]:
+                        old[1] = doc_id
+                    rows.append((doc_id, th, start, k, h, len(c), None, None))
                 if len(rows) >= FLUSH_ROWS:
-                    yield flush()
-                    rows, known = [], set()
+                    yield flush(rows)
+                    rows = []
+                if len(met) >= KNOWN_CONTEXTS:
+                    yield from contexts()
+                    met = {}
         if rows:
-            yield flush()
+            yield flush(rows)
+        yield from contexts()
 
-    return base.select("doc_id", "th", "text").mapInArrow(run, OCCURRENCE)
+    return base.select("doc_id", "th", "text", "later").mapInArrow(run, OCCURRENCE)
 
 
 class RunLengthIndex:
@@ -240,14 +334,17 @@ def earlier_windows(texts: list[bytes], owners: np.ndarray) -> np.ndarray:
 
 
 def judged(contexts: DataFrame) -> DataFrame:
-    """(cid, d0, n, starts, ends): of each context the spans, in its first document, that an earlier document holds."""
+    """(key, h, d0, starts, ends): of each context the spans, in its first document, that an earlier document holds.
+
+    Contexts without such a span that one document only has are left out.
+    """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.groupby(["key", "h"], sort=True).agg(d0=("d0", "min"), last=("last", "max"), left=("left", "first"), context=("context", "first")).reset_index()
         texts, left, d0 = pdf["context"].tolist(), pdf["left"].to_numpy(), pdf["d0"].to_numpy()
-        half = WINDOW // 2
         sides = [
-            [t[i - half : i + KEY] if i >= half else None for t, i in zip(texts, left)],
-            [t[i : i + KEY + half + 1] if len(t) >= i + KEY + half + 1 else None for t, i in zip(texts, left)],
+            [t[i - HALF : i + KEY] if i >= HALF else None for t, i in zip(texts, left)],
+            [t[i : i + KEY + HALF + 1] if len(t) >= i + KEY + HALF + 1 else None for t, i in zip(texts, left)],
         ]
         masks = np.zeros(len(texts), np.int64)
         # a string of LENGTH bytes around an anchor holds half of the bytes beside it on one side at least
@@ -284,25 +381,46 @@ def judged(contexts: DataFrame) -> DataFrame:
                     e.append(o + LENGTH)
             starts.append(s)
             ends.append(e)
-        out = pd.DataFrame({"cid": pdf["cid"], "d0": pdf["d0"], "last": pdf["last"], "starts": starts, "ends": ends})
-        return out[(out["last"] > out["d0"]) | (masks != 0)]
+        out = pdf[["key", "h", "d0"]].assign(starts=starts, ends=ends)
+        return out[(pdf["last"] > pdf["d0"]) | (masks != 0)]
 
-    return contexts.groupBy("bucket").applyInPandas(run, "cid binary, d0 bigint, last bigint, starts array<int>, ends array<int>")
+    return contexts.groupBy("bucket").applyInPandas(run, "key bigint, h bigint, d0 bigint, starts array<int>, ends array<int>")
 
 
 def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, th, text, starts, ends): each row of ``docs`` with the byte spans that earlier documents hold.
-
-    A byte is in a span if a 50-byte string over it also starts in a document
-    with a smaller id.  Strings are bytes of UTF-8 and lie within one
-    document; spans may overlap.  Null text is empty; texts of any length are
-    read whole.  Rows with one id do not count as earlier than each other.  A
-    null id counts as the smallest.  Other columns are ignored; an empty table
-    gives an empty result.
+    """(doc_id, th, text, later, starts, ends): each row of ``docs`` with what earlier documents hold.
+
+    A byte is held if a 50-byte string over it also starts in a document with
+    a smaller id.  Strings are bytes of UTF-8 and lie within one document.
+    ``later`` are the numbers of the parts (lines, and line breaks with their
+    surroundings) that an earlier document has whole; ``starts`` and ``ends``
+    are byte spans found in the other parts, which may overlap.
+
+    1. Parts are hashed; a part is judged once, in the first document with it.
+    2. Strings of these parts choose anchors; filters keep anchors whose key,
+       and whose key with half of what is beside it, several documents have.
+    3. Contexts of anchors are compared, by key, in run-length indexes.
+
+    Null text is empty; texts of any length are read whole.  Rows with one id
+    do not count as earlier than each other.  A null id counts as the
+    smallest.  Other columns are ignored; an empty table gives an empty
+    result.
     """
     spark = docs.sparkSession
     base = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(MIN_LONG)).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     base = base.withColumn("th", F.xxhash64("text"))
+    parts = materialize(unit_rows(base), "parts")
+    first = parts.groupBy("unit").agg(F.min("doc_id").alias("d0"), F.max("doc_id").alias("last")).where("d0 < last").select("unit", "d0")
+    later = parts.join(first, "unit").where("doc_id > d0").groupBy("doc_id", "th").agg(F.collect_set("no").alias("later"))
+    later = materialize(later, "later")
+    release(spark)
+    # the texts lie in buckets by document from here on, so they are not shuffled again
+    n, name = shuffle_partitions(spark), f"texts_{uuid.uuid4().hex}"
+    joined = base.repartition(n, "doc_id", "th").join(later, ["doc_id", "th"], "left")
+    joined.write.bucketBy(n, "doc_id", "th").format("parquet").option("path", new_path(spark, "texts")).saveAsTable(name)
+    base = spark.table(name)
+    del joined, first, later
+    release(spark)
     total = (base.agg(F.sum(F.octet_length("text"))).first()[0] or 0) * 2 // (WINDOW + 1)
     buckets = 16
     while buckets * BUCKET_KEYS < total and buckets < 1 << 20:
@@ -310,22 +428,27 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     bits = 20
     while bits < FILTER_BITS and (1 << bits) < 16 * total:
         bits += 1
-    bitmap = repeated_filter(base, buckets, bits)
-    sent = spark.sparkContext.broadcast(bitmap.tobytes())
-    occ = materialize(occurrences(base, sent, bits), "occurrences")
-    if np.unpackbits(bitmap).mean() > FULL:
-        many = occ.groupBy("key").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("key")
-        occ = occ.join(many, "key", "left_semi")
-    contexts = occ.groupBy("cid").agg(
-        F.min("doc_id").alias("d0"), F.max("doc_id").alias("last"), F.max("context").alias("context"), F.min("left").alias("left"), F.min("key").alias("key")
-    )
-    nb = max(64, occ.count() // INDEX_CONTEXTS)
-    found = judged(contexts.withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(nb)).cast("int")))
+    by_key = repeated_filter(base, buckets, bits)
+    release(spark)
+    by_side = repeated_filter(base, buckets, bits, spark.sparkContext.broadcast(by_key.tobytes()))
+    release(spark)
+    sent = spark.sparkContext.broadcast((by_key.tobytes(), by_side.tobytes()))
+    rows = materialize(occurrences(base, sent, bits), "occurrences")
+    occ, contexts = rows.where("context is null"), rows.where("context is not null")
+    contexts = contexts.select("key", "h", F.col("doc_id").alias("d0"), F.col("th").alias("last"), "left", "context")
+    if np.unpackbits(by_side).mean() > FULL:
+        many = contexts.groupBy("key").agg(F.min("d0").alias("a"), F.max("last").alias("b")).where("a < b").select("key")
+        contexts = contexts.join(many, "key", "left_semi")
+    nb = max(64, contexts.count() // INDEX_CONTEXTS)
+    found = materialize(judged(contexts.withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(nb)).cast("int"))), "found")
+    release(spark)
     whole = F.array(F.struct(F.lit(0).alias("s"), F.col("n").alias("e")))
     own = F.transform(F.arrays_zip(F.col("starts").alias("s"), F.col("ends").alias("e")), lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e")))
-    hit = occ.select("cid", "doc_id", "th", "at", "n").join(found, "cid").withColumn("x", F.explode(F.when(F.col("doc_id") > F.col("d0"), whole).otherwise(own)))
+    hit = occ.select("key", "h", "doc_id", "th", "at", "n").join(found, ["key", "h"]).withColumn("x", F.explode(F.when(F.col("doc_id") > F.col("d0"), whole).otherwise(own)))
     spans = hit.groupBy("doc_id", "th").agg(F.collect_list(F.col("at") + F.col("x.s")).alias("starts"), F.collect_list(F.col("at") + F.col("x.e")).alias("ends"))
-    return base.join(spans, ["doc_id", "th"], "left").select("doc_id", "th", "text", "starts", "ends")
+    spans = materialize(spans, "spans")
+    release(spark)
+    return base.join(spans, ["doc_id", "th"], "left").select("doc_id", "th", "text", "later", "starts", "ends")
 
 
 def cover(n: int, starts, ends) -> np.ndarray:
@@ -347,16 +470,18 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part, rows = batch.slice(at, 256), []
-                for d, t, s, e in zip(*(part.column(i) for i in range(4))):
+                for d, t, later, s, e in zip(*(part.column(i) for i in range(5))):
                     data = octets(t.as_py())
-                    gone = cover(len(data), s.values.to_numpy(), e.values.to_numpy()) if s.is_valid else np.zeros(len(data), bool)
+                    known = np.array(known_parts(data, later.as_py())[0], np.int64).reshape(-1, 2)
+                    more = (s.values.to_numpy(), e.values.to_numpy()) if s.is_valid else ((), ())
+                    gone = cover(len(data), np.concatenate([known[:, 0], more[0]]), np.concatenate([known[:, 1], more[1]]))
                     doc_id = d.as_py()
                     kept = np.frombuffer(data, np.uint8)[~gone].tobytes()
                     runs = int(gone[:1].sum() + (gone[1:] & ~gone[:-1]).sum())
                     rows.append((None if doc_id == MIN_LONG else doc_id, len(data), int(gone.sum()), runs, kept))
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
-    return removals(docs, id_col, text_col).select("doc_id", "text", "starts", "ends").mapInArrow(run, DEDUPED)
+    return removals(docs, id_col, text_col).select("doc_id", "text", "later", "starts", "ends").mapInArrow(run, DEDUPED)
 
 
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
