@@ -17,6 +17,9 @@ from innerscan.llm import packing as sequences
 from innerscan.llm import toxicity as severity
 from innerscan.llm.common import materialize, table
 
+#: The near_dedup stage's least Jaccard index in percent, lower than that of ``op6_minhash``; its banding misses a pair there with a probability of 6e-7.
+NEAR_PERCENT, NEAR_BANDS, NEAR_ROWS = 80, 36, 5
+
 
 def like(docs: DataFrame, changed: DataFrame) -> DataFrame:
     """The columns of ``docs``, with the length of the changed text."""
@@ -37,8 +40,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest id of each group of near duplicates; empty texts stay."""
-    return near.drop_near_duplicates(docs)
+    """The document of the smallest id of each group of near duplicates, at an index of 0.8 or more; empty texts stay."""
+    return near.drop_near_duplicates(docs, percent=NEAR_PERCENT, bands=NEAR_BANDS, rows=NEAR_ROWS)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -43,6 +43,14 @@ def test_each_stage_on_its_own_input(stages):
     assert sum(r["piece"] == 0 for r in packed) == len(mixed)
 
 
+def test_near_dedup_drops_copies_from_an_index_of_0_8(stages):
+    table = {n: df for n, df in stages}
+    rows = [(r["doc_id"], r["text"]) for r in table["line_dedup"].collect()]
+    want, higher = brute.near(rows, percent=80), brute.near(rows)
+    assert want != higher
+    assert {r["doc_id"] for r in table["near_dedup"].collect()} == {i for i, (_, c) in want.items() if i == c}
+
+
 def test_run_gives_the_last_stage(spark, stages):
     key = lambda df: sorted((r["doc_id"], r["piece"], r["length"], r["ids_crc32"]) for r in df.collect())
     assert key(corpus_pipeline.run(spark, SF)) == key(stages[-1][1])
