@@ -86,9 +86,9 @@ def with_base(docs: DataFrame, text: str = "__text") -> DataFrame:
     return hits.withColumn("base", F.sort_array(F.concat(*[one(k) for k in KINDS]))).drop(*[f"__{k}" for k in KINDS])
 
 
-def context(gap: Column) -> Column:
+def context(before: Column) -> Column:
     """The two words before, or the one before if it ends with a mark that announces a value; else null."""
-    tail = ws_strip(F.right(gap, F.lit(CONTEXT)))
+    tail = ws_strip(F.right(before, F.lit(CONTEXT)))
     words = F.split(ascii_lower(tail), r"[\x20\x09-\x0D]+")
     last = F.element_at(words, -1)
     two = F.array_join(F.slice(words, F.size(words) - 1, 2), " ")
@@ -96,17 +96,23 @@ def context(gap: Column) -> Column:
 
 
 def with_candidates(docs: DataFrame, text: str = "__text") -> DataFrame:
-    """Add ``candidates`` (start, end, value, pattern): tokens that may be identifiers and have a context."""
-    hits = docs.withColumn("__c", F.regexp_extract_all(text, F.lit(CANDIDATE), 0))
+    """Add ``candidates`` (start, end, value, pattern): tokens that may be identifiers; one without a context has no pattern."""
+    hits = docs.withColumn("__c", F.regexp_extract_all(text, F.lit(CANDIDATE), 0)).withColumn("__g", F.split(text, CANDIDATE, -1))
+    none = F.array(F.lit(""))
+    # The gap and match before, and one match more, hold two words at least; a match begins a word.
+    near = F.arrays_zip(F.concat(none, none, "__c").alias("a"), F.concat(none, "__g").alias("b"), F.concat(none, "__c").alias("c"), F.col("__g").alias("d"))
+    patterns = F.transform(F.slice(near, F.lit(1), F.size("__c")), lambda x: context(F.concat(x["a"], x["b"], x["c"], x["d"])))
 
     def build(start, value, gap):
         core = F.rtrim(F.ltrim(value, F.lit(LEFT_JUNK)), F.lit(RIGHT_JUNK))
         at = start + F.length(value) - F.length(F.ltrim(value, F.lit(LEFT_JUNK)))
-        return F.struct(at.cast("int").alias("start"), (at + F.length(core)).cast("int").alias("end"), core.alias("value"), context(gap).alias("pattern"))
+        return F.struct(at.cast("int").alias("start"), (at + F.length(core)).cast("int").alias("end"), core.alias("value"))
 
+    found = F.arrays_zip(located(F.col(text), F.col("__c"), CANDIDATE, build).alias("f"), patterns.alias("p"))
+    found = F.transform(found, lambda x: F.struct(x["f"]["start"].alias("start"), x["f"]["end"].alias("end"), x["f"]["value"].alias("value"), x["p"].alias("pattern")))
     kind = "array<struct<start:int,end:int,value:string,pattern:string>>"
-    found = F.when(F.size("__c") == 0, F.array().cast(kind)).otherwise(located(F.col(text), F.col("__c"), CANDIDATE, build).cast(kind))
-    return hits.withColumn("candidates", F.filter(found, lambda x: x["pattern"].isNotNull() & (x["value"] != ""))).drop("__c")
+    found = F.when(F.size("__c") == 0, F.array().cast(kind)).otherwise(found.cast(kind))
+    return hits.withColumn("candidates", F.filter(found, lambda x: x["value"] != "")).drop("__c", "__g")
 
 
 def seed_kind(value: Column) -> Column:
@@ -163,7 +169,7 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ro
     read = with_candidates(with_base(rows)).drop("__text").withColumn("row", F.monotonically_increasing_id())
     read = materialize(read, "pii")
     seen = read.select("row", F.explode("candidates").alias("c")).select("row", "c.*")
-    found = bootstrap(seen.select("pattern", "value").distinct(), rounds)
+    found = bootstrap(seen.where("pattern is not null").select("pattern", "value").distinct(), rounds)
     extra = seen.join(found.withColumnRenamed("kind", "__kind"), "value")
     kind_no = F.array_position(F.array(*map(F.lit, KINDS)), F.col("__kind")).cast("int") - 1
     extra = extra.select("row", F.struct("start", kind_no.alias("k"), "end", F.col("__kind").alias("kind"), "value").alias("s"))

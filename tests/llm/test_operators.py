@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import re
 import zlib
 
 import brute
@@ -177,6 +178,17 @@ def test_bootstrapping_finds_unseen_identifiers(spark):
     assert rows[12][1][out[50]["spans"][0]["start"] : out[50]["spans"][0]["end"]] == "user77(at)mail"
 
 
+def test_found_identifiers_are_marked_wherever_they_occur(spark):
+    new, other = "user77(at)mail", "user88(at)mail"
+    rows = [(i, f"please contact: user{i}@mail.example.com today") for i in range(12)]
+    rows += [(20 + i, f"room 7 mail user{i}@mail.example.com") for i in range(12)]
+    rows += [(50, f"please contact: {new}"), (51, f"{new} opens"), (52, f"Call {new}"), (53, f"é a1 {new} or {new}, x@y.org {new}"), (54, f"room 7 mail {other}"), (55, f"{other}")]
+    out = {r["doc_id"]: r["spans"] for r in pii.find_pii(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    texts = dict(rows)
+    marked = {i: [s["start"] for s in out[i] if s["value"] in (new, other)] for i in range(50, 56)}
+    assert marked == {i: [m.start() for m in re.finditer(r"user[78]{2}\(at\)mail", texts[i])] for i in range(50, 56)}
+
+
 def test_substring_dedup(docs, empty, odd):
     want = brute.repeats([r for r in rows_of(2) if len(r[1] or "") < 10_000])
     small = docs.where(F.coalesce(F.length("text"), F.lit(0)) < 10_000)
