@@ -13,6 +13,8 @@ from .common import MIN_LONG, ascii_lower, materialize, table, ws_strip
 QUOTE = r"^(?:[ \t]*>)+[ \t]?"
 #: Turns of one conversation that a task sorts at about.
 TURNS = 1_000
+#: Hashes of quotes that are broadcast at most to pick passages; beyond it they are joined by a shuffle.
+BROADCAST_HASHES = 200_000
 
 
 def quote_level(line: Column) -> Column:
@@ -25,15 +27,24 @@ def normalized(passage: Column) -> Column:
     return ws_strip(F.regexp_replace(ascii_lower(passage), r"[\x20\x09-\x0D]+", " "))
 
 
-def passage_hash(passage: Column) -> Column:
-    return F.sha2(normalized(passage), 256)
+def passage_hash(text: Column) -> Column:
+    """Of a normalised passage."""
+    return F.unhex(F.sha2(text, 256))
+
+
+def pieces(passage: Column) -> Column:
+    """(kind, text): 0 the passage, 1 its paragraphs, 2 its lines; normalised, none blank."""
+    of = lambda kind, parts: F.transform(parts, lambda x: F.struct(F.lit(kind).alias("kind"), normalized(x).alias("text")))
+    parts = F.concat(of(0, F.array(passage)), of(1, F.split(passage, r"\n[\x20\x09-\x0D]*\n", -1)), of(2, F.split(passage, r"\n", -1)))
+    return F.filter(parts, lambda x: x["text"] != "")
 
 
 def parse(messages: DataFrame) -> DataFrame:
     """Add ``lines`` (level, text), ``body`` without quotes, ``quotes`` (level, text) and ``own`` passages.
 
     A quote is a maximal run of lines of one level above 0.  A message's own
-    passages are its body and each maximal run of unquoted lines.
+    passages are its body and each maximal run of unquoted lines; ``pieces`` cuts
+    them further.
     """
     split = F.split(F.coalesce("text", F.lit("")), r"\r?\n", -1)
     line = lambda x: F.struct(quote_level(x).alias("level"), F.regexp_replace(x, QUOTE, "").alias("text"))
@@ -79,9 +90,11 @@ def link(messages: DataFrame) -> DataFrame:
     thread) and formatted.
 
     A quote is linked by the hash of its normalised text to the first message
-    of the conversation that wrote it as a passage of its own, else to the
-    first such message of any conversation, always to one before it in the
-    order of (conv_id, turn).  For each hash that first message is found by an
+    of the conversation that wrote it as a passage of its own, a paragraph or
+    a line, else to the first such message of any conversation, always to one
+    before it in the order of (conv_id, turn).  A quote that no message wrote
+    as a whole is linked by the longest of its paragraphs, else of its lines,
+    that one wrote.  For each hash that first message is found by an
     aggregate, so a passage that very many messages share costs one row.  A
     message replies to the origin of its outermost linked quote, or else to
     the turn before.
@@ -97,15 +110,23 @@ def link(messages: DataFrame) -> DataFrame:
         "conv_id", "turn", "role", "text",
     ).withColumn("tie", F.xxhash64("role", "text"))
     parsed = materialize(before_and_rank(parse(m).drop("lines", "text"), ["c"], "t", "prev", "nth"), "parsed")
-    own = parsed.select("c", "t", F.explode("own").alias("p")).withColumn("h", passage_hash(F.col("p"))).where(normalized(F.col("p")) != "")
+    own = parsed.select("c", "t", F.explode("own").alias("p"))
+    own = own.select("c", "t", F.explode(F.array_distinct(F.transform(pieces(F.col("p")), lambda x: x["text"]))).alias("p")).select("c", "t", passage_hash(F.col("p")).alias("h"))
     quotes = parsed.where(F.size("quotes") > 0).select("c", "t", "nth", F.posexplode("quotes").alias("at", "q"))
-    quotes = quotes.select("c", "t", "nth", "at", F.col("q.level").alias("level"), passage_hash(F.col("q.text")).alias("h"))
-    wanted = own.join(quotes.select("h").distinct(), "h", "left_semi")
+    quotes = quotes.select("c", "t", "nth", "at", F.col("q.level").alias("level"), F.posexplode(pieces(F.col("q.text"))).alias("no", "p"))
+    quotes = quotes.select("c", "t", "nth", "at", "level", "no", F.col("p.kind").alias("kind"), F.length("p.text").alias("size"), passage_hash(F.col("p.text")).alias("h"))
+    hashes = materialize(quotes.select("h").distinct(), "hashes")
+    if hashes.limit(BROADCAST_HASHES + 1).count() <= BROADCAST_HASHES:
+        hashes = F.broadcast(hashes)
+    wanted = own.join(hashes, "h", "left_semi")
     here = wanted.groupBy("c", "h").agg(F.min("t").alias("here"))
     first = wanted.groupBy("h").agg(F.min(F.struct("c", "t")).alias("first"))
     found = quotes.join(here, ["c", "h"], "left").join(first, "h", "left")
     origin = F.when(F.col("here") < F.col("t"), F.struct("c", F.col("here").alias("t"))).when(F.col("first") < F.struct("c", "t"), F.col("first"))
-    found = found.withColumn("origin", origin).groupBy("c", "t", "nth").agg(
+    found = found.withColumn("origin", origin).where("origin is not null").groupBy("c", "t", "nth", "at", "level").agg(
+        F.min(F.struct("kind", -F.col("size"), "no", "origin"))["origin"].alias("origin")
+    )
+    found = found.groupBy("c", "t", "nth").agg(
         F.count("origin").alias("n_linked"), F.min(F.when(F.col("origin").isNotNull(), F.struct("level", "at", "origin"))).alias("o")
     )
     linked = parsed.join(found.select("c", "t", "nth", "n_linked", F.col("o.origin").alias("quoted")), ["c", "t", "nth"], "left")

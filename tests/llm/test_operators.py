@@ -386,6 +386,21 @@ def test_chat(spark):
     assert chat.link(df.where("false")).count() == 0
 
 
+def test_quotes_of_paragraphs_and_lines_are_linked(spark):
+    rows = [
+        (1, 0, "user", "First paragraph here.\nIts second line.\n\nAnother paragraph.\r\n\r\nThe last one."),
+        (1, 1, "user", "Something else"),
+        (1, 2, "assistant", "> Another paragraph.\nYes."),
+        (1, 3, "user", "unrelated"),
+        (1, 4, "assistant", "> First paragraph here.\n> Its second line.\n\n> Another paragraph.\nNo.\n> The last one.\nMaybe."),
+        (1, 5, "assistant", "> Its second line.\nWhy?"),
+        (1, 6, "assistant", "> Another paragraph.\n>\n> The last one.\nOh."),
+        (1, 7, "assistant", "> Its second line.\n> [...]\nHm."),
+    ]
+    out = {r["turn"]: r for r in chat.link(spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")).collect()}
+    assert {t: (out[t]["n_quotes"], out[t]["n_linked"], out[t]["parent_turn"]) for t in (2, 4, 5, 6, 7)} == {2: (1, 1, 0), 4: (3, 3, 0), 5: (1, 1, 0), 6: (1, 1, 0), 7: (1, 1, 0)}
+
+
 def test_long_conversations_are_ranked_across_ranges(spark, monkeypatch):
     monkeypatch.setattr(chat, "TURNS", 4)
     df = spark.range(30).select(F.lit(1).alias("conv_id"), (F.col("id") * 3).alias("turn"), F.lit("user").alias("role"), F.concat(F.lit("m"), "id").alias("text"))
