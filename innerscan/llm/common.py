@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import math
 import tempfile
 import time
 import uuid
+import weakref
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -18,6 +20,10 @@ WS_CHARS = " \t\n\x0b\f\r"
 WS_REGEX = r"[\x20\x09-\x0D]+"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 MIN_LONG = -(2**63)
+#: Where the tables of :func:`materialize` are.
+WRITTEN: weakref.WeakKeyDictionary = weakref.WeakKeyDictionary()
+#: Rows that are broadcast at most; beyond it tables are joined by a shuffle.
+FEW_ROWS = 200_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -50,7 +56,37 @@ def materialize(df: DataFrame, name: str = "t", partition_by: Sequence[str] = ()
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.partitionBy(*partition_by).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    WRITTEN[out] = path
+    return out
+
+
+def steady_heap() -> None:
+    """Let this process keep what numpy frees, up to 64 MB: paging temporaries in anew costs more than computing them."""
+    try:
+        mallopt = ctypes.CDLL(None).mallopt
+    except (OSError, AttributeError):  # no such C library: slower, otherwise the same
+        return
+    for option in (-1, -3):  # trim and map from this size on
+        mallopt(option, 64 << 20)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Remove a folder that was written here, by whatever file system it is on."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def forget(*tables: DataFrame) -> None:
+    """Delete tables of :func:`materialize` that only written results still stem from."""
+    for df in tables:
+        if path := WRITTEN.pop(df, None):
+            delete(df.sparkSession, path)
+
+
+def few(df: DataFrame, rows: int = FEW_ROWS) -> DataFrame:
+    """``df``, a written table of narrow rows, marked for broadcasting if it is proven to have ``rows`` at most."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
 def release(spark: SparkSession) -> None:
