@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 
 from ..functions.vectors import inner_product
 from ..storage import written
+from .partition import with_earlier
 from .topk import trim
 
 MAX_DEGREE, DEGREE, WIDTH = 48, 24, 10
@@ -30,8 +31,7 @@ def hash_band_pairs(tables: DataFrame, width: int = WIDTH, directed: bool = True
     pair once; otherwise both ways.
     """
     here = F.struct("pos", "vec_id")
-    w = Window.partitionBy("chunk", "tbl").orderBy("h", "pos").rowsBetween(-width, -1)
-    near = tables.withColumn("__n", F.collect_list(here).over(w)).select(here.alias("a"), F.explode("__n").alias("b"))
+    near = with_earlier(tables, ["chunk", "tbl"], "slot", width, here, "__n").select(here.alias("a"), F.explode("__n").alias("b"))
     if directed:
         swap = F.col("a.pos") > F.col("b.pos")
         pairs = near.select(F.when(swap, F.col("a.vec_id")).otherwise(F.col("b.vec_id")).alias("src"), F.when(swap, F.col("b.vec_id")).otherwise(F.col("a.vec_id")).alias("dst"))
@@ -49,8 +49,7 @@ def norm_band_pairs(chunks: DataFrame) -> DataFrame:
     """(src, dst), both ways: in each chunk of n members every one with the floor(sqrt(n)) before it in norm order."""
     n = chunks.groupBy("chunk").agg(F.floor(F.sqrt(F.count("*"))).cast("int").alias("band"))
     most = n.agg(F.max("band")).first()[0] or 1
-    w = Window.partitionBy("chunk").orderBy("pos").rowsBetween(-most, -1)
-    near = chunks.join(n, "chunk").withColumn("__n", F.collect_list("vec_id").over(w))
+    near = with_earlier(chunks.join(n, "chunk"), ["chunk"], "pos", most, F.col("vec_id"), "__n")
     near = near.withColumn("__n", F.slice("__n", F.greatest(F.size("__n") - F.col("band") + 1, F.lit(1)), F.col("band")))
     one = near.select(F.col("vec_id").alias("src"), F.explode("__n").alias("dst"))
     return one.union(one.select("dst", "src"))
@@ -64,14 +63,18 @@ def cross_chunk_pairs(tables: DataFrame, pairs: DataFrame, width: int = WIDTH) -
     """(src, dst, s): members of block2 with those of block1 at nearest positions in hash order.
 
     A member's place in block1 is the number of smaller hashes there; the
-    candidates are the slots from ``width`` before to ``width`` after.  The
-    place comes from one sort of both sides; slots meet by equality after
-    expanding 2 width + 1 of them.
+    candidates are the slots from ``width`` before to ``width`` after.  Places
+    are prefix counts over the hash values, at most 65536 for each table, that
+    occur in either block; slots meet by equality after expanding 2 width + 1
+    of them.
     """
-    one = pairs.join(tables, F.col("block1") == F.col("chunk")).select("block1", "block2", "s", "tbl", "h", "vec_id", F.lit(0).alias("side"))
-    two = pairs.join(tables, F.col("block2") == F.col("chunk")).select("block1", "block2", "s", "tbl", "h", "vec_id", F.lit(1).alias("side"))
-    w = Window.partitionBy("block1", "block2", "tbl").orderBy("h").rangeBetween(Window.unboundedPreceding, -1)
-    placed = one.union(two).withColumn("place", F.coalesce(F.sum(1 - F.col("side")).over(w), F.lit(0))).where("side = 1")
+    counts = tables.groupBy("chunk", "tbl", "h").agg(F.count("*").alias("n"))
+    one = pairs.join(counts, F.col("block1") == F.col("chunk")).select("block1", "block2", "tbl", "h", "n")
+    two = pairs.join(counts, F.col("block2") == F.col("chunk")).select("block1", "block2", "tbl", "h", F.lit(0).cast("long").alias("n"))
+    both = one.union(two).groupBy("block1", "block2", "tbl", "h").agg(F.sum("n").alias("n"))
+    w = Window.partitionBy("block1", "block2", "tbl").orderBy("h").rowsBetween(Window.unboundedPreceding, -1)
+    places = both.select("block1", "block2", "tbl", "h", F.coalesce(F.sum("n").over(w), F.lit(0)).alias("place"))
+    placed = pairs.join(tables, F.col("block2") == F.col("chunk")).select("block1", "block2", "s", "tbl", "h", "vec_id").join(places, ["block1", "block2", "tbl", "h"])
     slots = placed.withColumn("slot", F.explode(F.sequence(F.col("place") - width, F.col("place") + width)))
     t = tables.select(F.col("chunk").alias("block1"), "tbl", "slot", F.col("vec_id").alias("dst"))
     met = slots.join(t, ["block1", "tbl", "slot"])

@@ -155,21 +155,16 @@ def search(
     return ranked.join(per_group.groupBy("qid").agg(F.sum("cost").alias("cost")), "qid")
 
 
-def norm_pruned_topk(base: DataFrame, chunks: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """Exact top-k in two scans: chunk 0 bounds each query, the second scan skips what no query can use.
-
-    The smallest of the queries' k-th best products so far is a floor for the
-    norms that can matter; with files sorted by norm it prunes row groups.
+def norm_pruned_topk(base: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """Exact top-k in one scan that skips what norms rule out.
+
+    Each batch of rows is taken in descending norm, in pieces that double;
+    the k-th best product tightens from piece to piece and from batch to
+    batch, and a query leaves a batch as soon as its remaining norms cannot
+    reach it.  No chunk table, no shuffle of embeddings; where files are
+    sorted by norm, later batches are left at their first row.
     """
-    placed = base.join(chunks.select("vec_id", "sq_norm", "chunk"), "vec_id")
-    first = exact_topk(placed.where("chunk = 0"), queries, k).persist()
-    n = queries.count()
-    got = first.where(F.col("rank") == k).agg(F.count("*").alias("n"), F.min("ip").alias("ip")).first()
-    rest = placed.where("chunk > 0")
-    if n and got["n"] == n:
-        rest = rest.where(F.sqrt("sq_norm") >= F.lit(got["ip"]) - 1e-9)
-    both = first.drop("rank").unionByName(exact_topk(rest, queries, k).drop("rank"))
-    return rank_by_ip(both, k).select("qid", "rank", "vec_id", "ip")
+    return exact_topk(base, queries, k, prune=True)
 
 
 def lsh_topk(seeds: DataFrame, base: DataFrame, queries: DataFrame, k: int) -> DataFrame:

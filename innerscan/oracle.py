@@ -5,7 +5,8 @@ from __future__ import annotations
 from .functions.vectors import cosine_table
 from .operators.srp import BITS, LEVELS, TABLES, TOP, projections
 
-K, UB, WIDTH, LINKS = 10, 20, 4, 8
+#: The engine's defaults; ``REACH`` is what the graph check begins with.
+K, UB, WIDTH, LINKS, DEGREE, MAX_DEGREE, REACH = 10, 200, 10, 32, 24, 48, 5
 
 FIXTURE = """
 raw AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
@@ -65,23 +66,23 @@ LEVEL = "CASE WHEN h = hq THEN -1 " + " ".join(
     f"WHEN h BETWEEN (hq >> {t}) * {1 << t} AND least((hq >> {t}) * {1 << t} + {1 << t}, {TOP}) THEN {t}" for t in range(LEVELS)
 ) + " END"
 
-SEEDS = f"""
+SEEDS = lambda ub=UB: f"""
 qlong AS (SELECT qid, tbl, CASE tbl WHEN 0 THEN h0 WHEN 1 THEN h1 WHEN 2 THEN h2 ELSE h3 END AS hq FROM qhashes, (VALUES (0), (1), (2), (3)) t(tbl)),
 met AS (SELECT qid, chunk, tbl, h, pos, vec_id, {LEVEL} AS level FROM tables JOIN qlong USING (tbl)),
 cum AS (SELECT qid, chunk, level, sum(count(*)) OVER (PARTITION BY qid, chunk ORDER BY level) AS upto FROM met GROUP BY qid, chunk, level),
-stops AS (SELECT qid, chunk, coalesce(min(level) FILTER (upto >= {UB}), max(level)) AS stop FROM cum GROUP BY qid, chunk),
+stops AS (SELECT qid, chunk, coalesce(min(level) FILTER (upto >= {ub}), max(level)) AS stop FROM cum GROUP BY qid, chunk),
 near AS (
   SELECT qid, chunk, vec_id, min((tbl, h, pos)) AS place FROM met JOIN stops USING (qid, chunk) WHERE level <= stop GROUP BY qid, chunk, vec_id
 ),
-seeds AS (SELECT qid, chunk, vec_id FROM near QUALIFY row_number() OVER (PARTITION BY qid, chunk ORDER BY place) <= {UB + 1})"""
+seeds AS (SELECT qid, chunk, vec_id FROM near QUALIFY row_number() OVER (PARTITION BY qid, chunk ORDER BY place) <= {ub + 1})"""
 
 
 def _distance(expr: str) -> str:
-    return _with(FIXTURE, select=f"SELECT qid, vec_id, round({expr}, 6) AS dist FROM base, q WHERE qid < 5")
+    return _with(FIXTURE, select=f"SELECT qid, vec_id, round({expr}, 6) AS dist FROM base, q")
 
 
 def oracle_sql() -> dict[str, str]:
-    pairs64 = "hashes a JOIN hashes b ON b.vec_id BETWEEN a.vec_id + 1 AND a.vec_id + 3"
+    pairs64 = "qhashes a, hashes b"
     bits = lambda op: " + ".join(f"bit_count(CAST({f'xor(a.h{t}, b.h{t})' if op == '^' else f'(a.h{t} {op} b.h{t})'} AS BIGINT))" for t in range(4))
     table = ", ".join(repr(x) + "::DOUBLE" for x in cosine_table(64, 3.0))
     topk = "SELECT qid, CAST(rank AS INT) AS rank, vec_id, round(ip, 6) AS ip FROM truth"
@@ -111,12 +112,35 @@ def oracle_sql() -> dict[str, str]:
     lsh = f"""ranked AS (
       SELECT qid, vec_id, list_inner_product(e, qv) AS ip FROM (SELECT DISTINCT qid, vec_id FROM seeds) JOIN base USING (vec_id) JOIN q USING (qid)),
       got AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY ip DESC, vec_id) AS rank FROM ranked QUALIFY rank <= {K})"""
+    best = lambda rows, n, keys="src": f"SELECT * FROM ({rows}) QUALIFY row_number() OVER (PARTITION BY {keys} ORDER BY ip DESC, dst) <= {n}"
+    scored = lambda rows, more="": f"SELECT src, dst{more}, {scored_pairs} AS ip FROM {rows} JOIN base a ON a.vec_id = src JOIN base b ON b.vec_id = dst"
+    linked = f"linked AS ({best(scored('bandpairs'), MAX_DEGREE)})"
+    refined = f"""two AS (SELECT DISTINCT x.src, y.dst FROM linked x JOIN linked y ON x.dst = y.src WHERE x.src <> y.dst),
+      kept AS ({best(f"SELECT src, dst, ip FROM linked UNION ALL {scored('(SELECT * FROM two ANTI JOIN linked USING (src, dst))')}", DEGREE)}),
+      ways AS (SELECT src, dst, max(ip) AS ip FROM (SELECT src, dst, ip FROM kept UNION ALL SELECT dst, src, ip FROM kept) GROUP BY src, dst)"""
+    crossed = f"""crossed AS (
+        SELECT * FROM ({scored('crosspairs', ', block1, block2, s')}) QUALIFY row_number() OVER (PARTITION BY src, block1, block2 ORDER BY ip DESC, dst) <= s),
+      hops AS (
+        SELECT src, dst, block1, block2 FROM crossed
+        UNION SELECT c.src, l.dst, block1, block2 FROM crossed c JOIN linked l ON c.dst = l.src)"""
+    reach = f"""reach AS (SELECT qid, vec_id FROM seeds UNION SELECT qid, dst FROM reach JOIN linked ON src = vec_id),
+      got AS (
+        SELECT qid, vec_id, list_inner_product(e, qv) AS ip FROM reach JOIN base USING (vec_id) JOIN q USING (qid)
+        QUALIFY row_number() OVER (PARTITION BY qid ORDER BY ip DESC, vec_id) <= {K})"""
     chain = (FIXTURE, SORTED, HASHES(), LONG)
     return {
         "exact_topk_ip": _with(FIXTURE, TRUTH, select=topk),
         "exact_topk_sql": _with(FIXTURE, TRUTH, select=topk),
         "norm_pruned_topk": _with(FIXTURE, TRUTH, select=topk),
-        "exhaustive_beam_topk": _with(FIXTURE, TRUTH, select=topk),
+        "beam_reach_topk": _with(
+            *chain, band, linked, QHASHES(), SEEDS(REACH), reach,
+            select="SELECT qid, CAST(row_number() OVER (PARTITION BY qid ORDER BY ip DESC, vec_id) AS INT) AS rank, vec_id, round(ip, 6) AS ip FROM got",
+        ),
+        "graph_refine": _with(*chain, band, linked, refined, select=f"SELECT src, dst, round(ip, 6) AS ip FROM ({best('SELECT * FROM ways', MAX_DEGREE)})"),
+        "cross_chunk_edges": _with(
+            *chain, pairs, cross, band, linked, crossed,
+            select=f"SELECT src, dst, block1, block2, round(ip, 6) AS ip FROM ({best(scored('(SELECT * FROM hops WHERE src <> dst)', ', block1, block2'), LINKS, 'src, block1, block2')})",
+        ),
         "stream_topk": _with(FIXTURE, TRUTH, select=topk),
         "norms": _with(FIXTURE, select="SELECT vec_id, round(sq_norm, 6) AS sq_norm, round(sqrt(sq_norm), 6) AS norm FROM sq"),
         "norm_range": _with(FIXTURE, select="SELECT round(max(sq_norm), 6) AS max_sq_norm, round(min(sq_norm), 6) AS min_sq_norm, round(max(sq_norm) / min(sq_norm), 6) AS norm_range FROM sq"),
@@ -139,29 +163,29 @@ def oracle_sql() -> dict[str, str]:
             FIXTURE, HASHES(), "chunks AS (SELECT vec_id, 0 AS chunk, CAST(row_number() OVER (ORDER BY vec_id) - 1 AS INT) AS pos FROM base)", LONG,
             select="SELECT CAST(tbl AS INT) AS tbl, h, pos, vec_id, CAST(slot AS INT) AS slot FROM tables",
         ),
-        "hamming": _with(FIXTURE, HASHES(), select=f"SELECT a.vec_id AS a_id, b.vec_id AS b_id, CAST({bits('^')} AS INT) AS diff, CAST(bit_count(CAST(xor(a.h0, b.h0) AS BIGINT)) + bit_count(CAST(xor(a.h1, b.h1) AS BIGINT)) AS INT) AS diff_low FROM {pairs64}"),
-        "bit_sets": _with(FIXTURE, HASHES(), select=f"SELECT a.vec_id AS a_id, b.vec_id AS b_id, CAST({bits('|')} AS INT) AS union_bits, CAST({bits('&')} AS INT) AS common_bits, CAST({' + '.join(f'bit_count(CAST(a.h{t} AS BIGINT))' for t in range(4))} AS INT) AS a_bits FROM {pairs64}"),
-        "jaccard_bits": _with(FIXTURE, HASHES(), select=f"SELECT a.vec_id AS a_id, b.vec_id AS b_id, round(CASE WHEN {bits('|')} = 0 THEN 1.0::DOUBLE ELSE (({bits('|')}) - ({bits('&')})) / CAST({bits('|')} AS DOUBLE) END, 6) AS dist FROM {pairs64}"),
+        "hamming": _with(FIXTURE, HASHES(), QHASHES(), select=f"SELECT a.qid AS a_id, b.vec_id AS b_id, CAST({bits('^')} AS INT) AS diff, CAST(bit_count(CAST(xor(a.h0, b.h0) AS BIGINT)) + bit_count(CAST(xor(a.h1, b.h1) AS BIGINT)) AS INT) AS diff_low FROM {pairs64}"),
+        "bit_sets": _with(FIXTURE, HASHES(), QHASHES(), select=f"SELECT a.qid AS a_id, b.vec_id AS b_id, CAST({bits('|')} AS INT) AS union_bits, CAST({bits('&')} AS INT) AS common_bits, CAST({' + '.join(f'bit_count(CAST(a.h{t} AS BIGINT))' for t in range(4))} AS INT) AS a_bits FROM {pairs64}"),
+        "jaccard_bits": _with(FIXTURE, HASHES(), QHASHES(), select=f"SELECT a.qid AS a_id, b.vec_id AS b_id, round(CASE WHEN {bits('|')} = 0 THEN 1.0::DOUBLE ELSE (({bits('|')}) - ({bits('&')})) / CAST({bits('|')} AS DOUBLE) END, 6) AS dist FROM {pairs64}"),
         "est_ip": _with(
             FIXTURE, HASHES(), QHASHES(),
             select=f"SELECT qid, vec_id, round(sqrt(sq_norm) * ([{table}])[1 + d], 6) AS est FROM (SELECT a.qid, b.vec_id, {bits('^')} AS d FROM qhashes a, hashes b) JOIN sq USING (vec_id)",
         ),
         "norm_predicate": _with(FIXTURE, TRUTH, select=f"SELECT qid, CAST(count(*) AS BIGINT) AS kept FROM sq, (SELECT qid, ip FROM truth WHERE rank = {K}) WHERE sqrt(sq_norm) >= ip GROUP BY qid"),
-        "lsh_window_graph": _with(*chain, band, select=edges("bandpairs", 16)),
-        "lsh_window_graph_both": _with(*chain, both, select=edges("bothpairs", 16)),
-        "norm_band_graph": _with(FIXTURE, SORTED, norm, select=edges("normpairs", 16)),
+        "lsh_window_graph": _with(*chain, band, select=edges("bandpairs", MAX_DEGREE)),
+        "lsh_window_graph_both": _with(*chain, both, select=edges("bothpairs", MAX_DEGREE)),
+        "norm_band_graph": _with(FIXTURE, SORTED, norm, select=edges("normpairs", MAX_DEGREE)),
         "cross_chunk_join": _with(
             *chain, pairs, cross,
             select=f"""SELECT src, dst, block1, block2, round(ip, 6) AS ip FROM (
               SELECT src, dst, block1, block2, s, {scored_pairs} AS ip FROM crosspairs JOIN base a ON a.vec_id = src JOIN base b ON b.vec_id = dst)
               QUALIFY row_number() OVER (PARTITION BY src, block1, block2 ORDER BY ip DESC, dst) <= s""",
         ),
-        "srp_seeds": _with(*chain, QHASHES(), SEEDS, select="SELECT qid, chunk, vec_id FROM seeds"),
-        "seed_levels": _with(*chain, QHASHES(), SEEDS, select="SELECT qid, chunk, CAST(level AS INT) AS level, CAST(upto AS BIGINT) AS upto FROM cum"),
+        "srp_seeds": _with(*chain, QHASHES(), SEEDS(), select="SELECT qid, chunk, vec_id FROM seeds"),
+        "seed_levels": _with(*chain, QHASHES(), SEEDS(), select="SELECT qid, chunk, CAST(level AS INT) AS level, CAST(upto AS BIGINT) AS upto FROM cum"),
         "entry_point": _with(*chain, QHASHES(), select="SELECT qid, coalesce(arg_max(vec_id, slot) FILTER (h <= h0), arg_min(vec_id, slot)) AS vec_id FROM qhashes, tables WHERE chunk = 0 AND tbl = 0 GROUP BY qid"),
-        "lsh_only_topk": _with(*chain, QHASHES(), SEEDS, lsh, select="SELECT qid, CAST(rank AS INT) AS rank, vec_id, round(ip, 6) AS ip FROM got"),
+        "lsh_only_topk": _with(*chain, QHASHES(), SEEDS(), lsh, select="SELECT qid, CAST(rank AS INT) AS rank, vec_id, round(ip, 6) AS ip FROM got"),
         "recall_ratio": _with(
-            *chain, QHASHES(), SEEDS, lsh, TRUTH,
+            *chain, QHASHES(), SEEDS(), lsh, TRUTH,
             select=f"""SELECT hits, queries, round(hits / CAST(queries * {K} AS DOUBLE), 6) AS recall, round(ratio, 6) AS ratio, round(k_ratio, 6) AS k_ratio FROM
               (SELECT count(*) AS hits FROM got JOIN truth USING (qid, vec_id)), (SELECT count(DISTINCT qid) AS queries FROM truth),
               (SELECT avg(abs(g.ip / t.ip)) AS ratio, avg(abs(g.ip / t.ip)) FILTER (g.rank = {K}) AS k_ratio FROM got g JOIN truth t USING (qid, rank))""",

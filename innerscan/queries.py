@@ -12,12 +12,11 @@ from pyspark.sql import functions as F
 from . import oracle
 from .functions import vectors as V
 from .operators import graph, metrics, partition, search, srp, topk
-from .oracle import K, LINKS, UB, WIDTH
+from .oracle import DEGREE, K, LINKS, MAX_DEGREE, REACH, UB, WIDTH
 from .plans import index
 from .sources import hold_out, prefix_sample as prefix
 
 DIM = 64
-SMALL = dict(search_min=50, ub=UB)
 
 
 def embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,7 +60,7 @@ def exact_topk_sql(spark, d):
 
 def norm_pruned_topk(spark, d):
     base, q = fixture(spark, d)
-    return r6(search.norm_pruned_topk(base, partition.norm_chunks(base), q, K), "ip")
+    return r6(search.norm_pruned_topk(base, q, K), "ip")
 
 
 def norms(spark, d):
@@ -82,7 +81,7 @@ def query_normalize(spark, d):
 def distance(f):
     def run(spark, d):
         base, q = fixture(spark, d)
-        met = base.join(q.where(F.col("qid") < 5), F.lit(True))
+        met = base.join(F.broadcast(q), F.lit(True))  # the 20 held-out queries
         return met.select("qid", "vec_id", F.round(f(F.col("embedding"), F.col("qv")), 6).alias("dist"))
 
     return run
@@ -119,29 +118,29 @@ def srp_tables(spark, d):
 
 def srp_tables_single(spark, d):
     base, _ = fixture(spark, d)
-    ids = topk.rank_by_ip(base.select(F.lit(0).alias("qid"), "vec_id", F.lit(0.0).alias("ip")), 2**31 - 1)
-    one = ids.select("vec_id", F.lit(0).alias("chunk"), (F.col("rank") - 1).alias("pos"))
+    one = partition.positions(base.select("vec_id", F.lit(0).alias("chunk")), [], [F.col("vec_id")], "pos").withColumn("pos", F.col("pos").cast("int"))
     return srp.hash_tables(srp.srp_hash(base, DIM), one).select("tbl", "h", "pos", "vec_id", "slot")
 
 
-def near_ids(spark, d):
-    h = srp.srp_hash(fixture(spark, d)[0], DIM).select("vec_id", F.array("h0", "h1", "h2", "h3").alias("h"))
-    a = h.select(F.col("vec_id").alias("a_id"), F.col("h").alias("a"), F.explode(F.sequence(F.col("vec_id") + 1, F.col("vec_id") + 3)).alias("b_id"))
-    return a.join(h.select(F.col("vec_id").alias("b_id"), F.col("h").alias("b")), "b_id")
+def met_hashes(spark, d):
+    """(a_id, a, b_id, b): the words of the held-out queries and of every base row."""
+    base, q = fixture(spark, d)
+    words = lambda df, key, p: df.select(F.col(key).alias(f"{p}_id"), F.array("h0", "h1", "h2", "h3").alias(p))
+    return words(srp.srp_hash(base, DIM), "vec_id", "b").join(F.broadcast(words(query_hashes(q), "qid", "a")), F.lit(True))
 
 
 def hamming(spark, d):
     a, b = F.col("a"), F.col("b")
-    return near_ids(spark, d).select("a_id", "b_id", V.hamming(a, b).alias("diff"), V.hash_distance(a, b, 2).alias("diff_low"))
+    return met_hashes(spark, d).select("a_id", "b_id", V.hamming(a, b).alias("diff"), V.hash_distance(a, b, 2).alias("diff_low"))
 
 
 def bit_sets(spark, d):
     a, b = F.col("a"), F.col("b")
-    return near_ids(spark, d).select("a_id", "b_id", V.union_bits(a, b).alias("union_bits"), V.common_bits(a, b).alias("common_bits"), V.bit_count_of(a).alias("a_bits"))
+    return met_hashes(spark, d).select("a_id", "b_id", V.union_bits(a, b).alias("union_bits"), V.common_bits(a, b).alias("common_bits"), V.bit_count_of(a).alias("a_bits"))
 
 
 def jaccard_bits(spark, d):
-    return r6(near_ids(spark, d).select("a_id", "b_id", V.jaccard_distance(F.col("a"), F.col("b")).alias("dist")), "dist")
+    return r6(met_hashes(spark, d).select("a_id", "b_id", V.jaccard_distance(F.col("a"), F.col("b")).alias("dist")), "dist")
 
 
 def est_ip(spark, d):
@@ -161,12 +160,12 @@ def norm_predicate(spark, d):
 
 def lsh_window_graph(spark, d, directed=True):
     base, _, _, _, tables = hashed(spark, d)
-    return r6(graph.hash_band_join(tables, base, WIDTH, 16, directed), "ip")
+    return r6(graph.hash_band_join(tables, base, WIDTH, MAX_DEGREE, directed), "ip")
 
 
 def norm_band_graph(spark, d):
     base, _ = fixture(spark, d)
-    return r6(graph.norm_band_join(partition.norm_chunks(base), base, 16), "ip")
+    return r6(graph.norm_band_join(partition.norm_chunks(base), base, MAX_DEGREE), "ip")
 
 
 def cross_chunk_join(spark, d):
@@ -178,13 +177,13 @@ def cross_chunk_join(spark, d):
 def cross_chunk_edges(spark, d):
     base, _, _, chunks, tables = hashed(spark, d)
     pairs = partition.chunk_pairs(partition.chunk_stats(chunks), LINKS)
-    edges = graph.hash_band_join(tables, base, WIDTH, 16)
+    edges = graph.hash_band_join(tables, base, WIDTH, MAX_DEGREE)
     return r6(graph.expand_cross_edges(graph.cross_chunk_join(tables, pairs, base, WIDTH), edges, chunks, base, LINKS), "ip")
 
 
 def graph_refine(spark, d):
     base, _, _, _, tables = hashed(spark, d)
-    return r6(graph.refine(graph.hash_band_join(tables, base, WIDTH, 16), base, 8, 16), "ip")
+    return r6(graph.refine(graph.hash_band_join(tables, base, WIDTH, MAX_DEGREE), base, DEGREE, MAX_DEGREE), "ip")
 
 
 def srp_seeds(spark, d):
@@ -194,9 +193,7 @@ def srp_seeds(spark, d):
 
 def seed_levels(spark, d):
     _, q, _, _, tables = hashed(spark, d)
-    long = query_hashes(q).select("qid", F.posexplode(F.array("h0", "h1", "h2", "h3")).alias("tbl", "hq"))
-    met = tables.join(long, "tbl").withColumn("level", srp.window_level(F.col("h"), F.col("hq")))
-    return metrics.candidate_counts(met).select("qid", "chunk", "level", "upto")
+    return srp.window_counts(tables, query_hashes(q)).select("qid", "chunk", "level", "upto")
 
 
 def entry_point(spark, d):
@@ -215,14 +212,13 @@ def recall_ratio(spark, d):
     return r6(metrics.recall_ratio(got, topk.exact_topk(base, q, K), K), "recall", "ratio", "k_ratio")
 
 
-def small_index(base):
-    return index.build_index(base, index.IndexParams(build_min=32, width=WIDTH, degree=8, max_degree=16), DIM)
-
+def searched(params: dict | None = None, **options):
+    """Search with the engine's defaults, but for the sizes below which chunks are scanned: these tables' chunks are smaller."""
 
-def searched(**options):
     def run(spark, d):
         base, q = fixture(spark, d)
-        return r6(search.search(small_index(base), q, K, **(SMALL | options)), "ip")
+        built = index.build_index(base, index.IndexParams(**({"build_min": 32} | (params or {}))), DIM)
+        return r6(search.search(built, q, K, **({"search_min": 50} | options)), "ip")
 
     return run
 
@@ -280,7 +276,7 @@ def queries() -> dict:
         "entry_point": entry_point,
         "lsh_only_topk": lsh_only_topk,
         "recall_ratio": recall_ratio,
-        "exhaustive_beam_topk": searched(search_min=0, ub=10**9, norm_prune=False, z=None, stop_by_norm=False),
+        "beam_reach_topk": searched({"build_min": 1, "rounds": 0}, search_min=0, ub=REACH, ef=10**6, norm_prune=False, z=None, stop_by_norm=False),
         "pruned_beam_topk": searched(),
         "norm_pruned_beam_topk": searched(z=None),
         "beam_topk": searched(entry="top", norm_prune=False, z=None),

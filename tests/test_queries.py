@@ -16,7 +16,7 @@ def duck():
     return c
 
 
-@pytest.mark.parametrize("name", [n for n in NAMES if n in core.oracle_sql() and n not in ("exhaustive_beam_topk",)])
+@pytest.mark.parametrize("name", [n for n in NAMES if n in core.oracle_sql()])
 def test_matches_sql(spark, duck, name):
     df = core.queries()[name](spark, SF)
     want = duck.sql(core.oracle_sql()[name])
