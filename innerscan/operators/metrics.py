@@ -24,14 +24,6 @@ def recall_ratio(results: DataFrame, truth: DataFrame, k: int) -> DataFrame:
     return hits.crossJoin(n).crossJoin(ratios).withColumn("recall", F.col("hits") / (F.col("queries") * k)).select("hits", "queries", "recall", "ratio", "k_ratio")
 
 
-def candidate_counts(met: DataFrame) -> DataFrame:
-    """(qid, chunk, level, n, upto) of window entries by level, repeated ones counted."""
-    from pyspark.sql.window import Window
-
-    n = met.groupBy("qid", "chunk", "level").agg(F.count("*").alias("n"))
-    return n.withColumn("upto", F.sum("n").over(Window.partitionBy("qid", "chunk").orderBy("level")))
-
-
 def timed(make, label: str, truth: DataFrame, k: int, queries: int) -> dict:
     """Run a search and report seconds, queries a second, recall and ratio."""
     began = time.perf_counter()

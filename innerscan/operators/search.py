@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.vectors import cosine_table
+from ..storage import written
 from .srp import BITS, LEVELS, SEED, TABLES, TOP, pack, projections
 from .topk import PARTIAL, best, exact_topk, query_blocks, rank_by_ip, stack
 
@@ -30,6 +31,12 @@ class Group:
         at = {v: i for i, v in enumerate(self.ids)}
         self.nbrs = [np.array([at[int(v)] for v in (row if row is not None else ()) if int(v) in at], np.int64) for row in pdf["nbrs"]]
 
+    def at(self, ids: np.ndarray) -> np.ndarray:
+        """Members with these ids."""
+        order = np.argsort(self.ids)
+        place = np.minimum(np.searchsorted(self.ids[order], ids), len(order) - 1)
+        return order[place[self.ids[order][place] == ids]]
+
     def seeds(self, hq: np.ndarray, ub: int) -> np.ndarray:
         """Members in the smallest windows around the query's words that hold ``ub`` entries."""
         for level in range(-1, LEVELS):
@@ -55,6 +62,7 @@ def beam(g: Group, q: np.ndarray, hq: np.ndarray, start: np.ndarray, k: int, ef:
     heapq.heapify(top)
     while len(top) > pool:
         heapq.heappop(top)
+    best_k = heapq.nlargest(k, (ip for ip, _, _ in top))[::-1]  # ascending, so a heap
     todo = [(-ip, i) for ip, _, i in top]
     heapq.heapify(todo)
     while todo:
@@ -65,8 +73,8 @@ def beam(g: Group, q: np.ndarray, hq: np.ndarray, start: np.ndarray, k: int, ef:
         if not len(near):
             continue
         seen[near] = True
-        if len(top) >= k:  # only the k-th best is a safe bound
-            bound = heapq.nlargest(k, top)[-1][0]
+        if len(best_k) >= k:  # only the k-th best is a safe bound
+            bound = best_k[0]
             if norm_prune:
                 near = near[g.norm[near] >= bound]
             if cos is not None and len(near):
@@ -77,18 +85,24 @@ def beam(g: Group, q: np.ndarray, hq: np.ndarray, start: np.ndarray, k: int, ef:
             if len(top) < pool or ip > top[0][0]:
                 heapq.heappush(top, (ip, -g.ids[i], i))
                 heapq.heappush(todo, (-ip, i))
+                if len(best_k) < k:
+                    heapq.heappush(best_k, ip)
+                elif ip > best_k[0]:
+                    heapq.heapreplace(best_k, ip)
                 if len(top) > pool:
                     heapq.heappop(top)
     return np.array([t[2] for t in top], np.int64), np.array([t[0] for t in top]), cost
 
 
-def group_kernel(qids, q, floor, k, ef, search_min, ub, entry, norm_prune, z, tables, bits, seed):
+def group_kernel(qids, q, floor, also, k, ef, search_min, ub, entry, norm_prune, z, tables, bits, seed):
+    """``also``: for a group (chunk, shard) the ids that each query (its place) begins with besides its seeds."""
     proj = projections(q.shape[1], tables, bits, seed)
     hashes = pack(q, proj, tables, bits)
     cos = None if z is None else np.array(cosine_table(tables * bits, z))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         g, out = Group(pdf), []
+        linked = (also or {}).get((int(pdf["chunk"].iloc[0]), int(pdf["shard"].iloc[0])), {})
         for i, qid in enumerate(qids):
             if floor is not None and floor[i] > g.norm[0]:
                 continue
@@ -96,6 +110,8 @@ def group_kernel(qids, q, floor, k, ef, search_min, ub, entry, norm_prune, z, ta
                 members, ips, cost = np.arange(len(g.ids)), g.x @ q[i], len(g.ids)
             else:
                 start = np.zeros(1, np.int64) if entry == "top" else g.seeds(hashes[i], ub)
+                if i in linked:
+                    start = pd.unique(np.concatenate([start, g.at(linked[i])]))
                 if entry == "lsh":
                     members, ips, cost = start, g.x[start] @ q[i], len(start)
                 else:
@@ -107,6 +123,16 @@ def group_kernel(qids, q, floor, k, ef, search_min, ub, entry, norm_prune, z, ta
     return run
 
 
+def linked_starts(records: DataFrame, found: DataFrame, qids: np.ndarray) -> dict:
+    """{(chunk, shard): {place of the query: ids}}: what (qid, vec_id) are linked with in chunks after the first."""
+    to = records.where("chunk = 0").join(found, "vec_id").select("qid", F.explode("nbrs").alias("vec_id")).distinct()
+    met = records.where("chunk > 0").select("chunk", "shard", "vec_id").join(to, "vec_id").toPandas()
+    place, out = {q: i for i, q in enumerate(qids.tolist())}, {}
+    for (chunk, shard, qid), ids in met.groupby(["chunk", "shard", "qid"])["vec_id"]:
+        out.setdefault((int(chunk), int(shard)), {})[place[qid]] = ids.to_numpy()
+    return out
+
+
 def search(
     graph: DataFrame,
     queries: DataFrame,
@@ -119,6 +145,7 @@ def search(
     z: float | None = 3.0,
     stop_by_norm: bool = True,
     with_cost: bool = False,
+    normal_edges: bool = False,
     tables: int = TABLES,
     bits: int = BITS,
     seed: int = SEED,
@@ -130,20 +157,26 @@ def search(
     largest norm can still improve.  ``entry`` is "srp" (hash seeds), "top"
     (the largest norm of the chunk) or "lsh" (seeds only, no graph).  Chunks
     smaller than ``search_min`` are scanned.  With ``norm_prune=False`` and
-    ``z=None`` nothing is pruned.
+    ``z=None`` nothing is pruned.  With ``normal_edges`` (and an index built
+    with them) the second wave also begins at the neighbours that a query's
+    results of the first have in the other chunks: at most k times the links
+    of a vertex for each query of a block.
     """
     schema = f"{PARTIAL}, cost bigint"
     records = graph.select("chunk", "shard", "vec_id", "norm", "h0", "h1", "h2", "h3", "nbrs", "embedding")
     out = None
     for qids, q in query_blocks(queries):
         args = (k, ef, search_min, ub, entry, norm_prune, z, tables, bits, seed)
-        first = records.where("chunk = 0").groupBy("chunk", "shard").applyInPandas(group_kernel(qids, q, None, *args), schema).persist()
-        floor = None
+        first = written(records.where("chunk = 0").groupBy("chunk", "shard").applyInPandas(group_kernel(qids, q, None, None, *args), schema))
+        best_of = rank_by_ip(first.select("qid", "vec_id", "ip"), k)
+        floor = also = None
         if stop_by_norm:
-            kth = rank_by_ip(first.select("qid", "vec_id", "ip"), k).where(F.col("rank") == k).select("qid", "ip").toPandas()
+            kth = best_of.where(F.col("rank") == k).select("qid", "ip").toPandas()
             known = dict(zip(kth["qid"], kth["ip"]))
             floor = np.array([known.get(i, -np.inf) for i in qids])
-        rest = records.where("chunk > 0").groupBy("chunk", "shard").applyInPandas(group_kernel(qids, q, floor, *args), schema)
+        if normal_edges:
+            also = linked_starts(records, best_of.select("qid", "vec_id"), qids)
+        rest = records.where("chunk > 0").groupBy("chunk", "shard").applyInPandas(group_kernel(qids, q, floor, also, *args), schema)
         part = first.unionByName(rest)
         out = part if out is None else out.unionByName(part)
     if out is None:

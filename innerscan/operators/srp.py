@@ -143,3 +143,17 @@ def entry_point(tables: DataFrame, query_hashes: DataFrame) -> DataFrame:
 def save_projections(spark: SparkSession, proj: np.ndarray, path: str) -> None:
     rows = [(i, [float(x) for x in r]) for i, r in enumerate(proj)]
     spark.createDataFrame(rows, "proj int, a array<double>").write.mode("overwrite").parquet(path)
+
+
+def load_projections(spark: SparkSession, path: str) -> np.ndarray:
+    """The projections saved at ``path``, in their order."""
+    return np.array([r["a"] for r in spark.read.parquet(path).orderBy("proj").collect()], np.float64)
+
+
+def save_tables(tables: DataFrame, path: str) -> None:
+    """Hash tables, a folder for each chunk."""
+    tables.write.mode("overwrite").partitionBy("chunk").parquet(path)
+
+
+def load_tables(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path).select("chunk", "tbl", "h", "pos", "vec_id", "slot")

@@ -40,7 +40,7 @@ def build_index(base: DataFrame, p: IndexParams = IndexParams(), dim: int | None
 
     Chunks by norm; in chunks of at least ``build_min`` a hash-band graph,
     refined; in smaller ones a norm-band graph; with ``normal_edges`` links
-    to earlier chunks.  Chunks above ``shard_rows`` are cut into shards by a
+    between chunks, both ways.  Chunks above ``shard_rows`` are cut into shards by a
     hash of the id, which stand for chunks wherever order within one matters.
     """
     base = base.select("vec_id", as_double(F.col("embedding")).alias("embedding"))
@@ -59,7 +59,7 @@ def build_index(base: DataFrame, p: IndexParams = IndexParams(), dim: int | None
     for i in range(p.tables, 4):
         hashes = hashes.withColumn(f"h{i}", F.lit(0))
     hashes = written(hashes)
-    local = placed.withColumn("chunk", F.col("chunk") * 100_000 + F.col("shard"))
+    local = placed.withColumn("chunk", F.col("chunk").cast("long") * 2**32 + F.col("shard"))
     big, small = local.where(F.col("n") >= p.build_min), local.where(F.col("n") < p.build_min)
     tables = srp.hash_tables(hashes, big.select("vec_id", "chunk", "pos"), p.tables)
     edges = written(graph.hash_band_join(tables, base, p.width, p.max_degree))
@@ -71,7 +71,9 @@ def build_index(base: DataFrame, p: IndexParams = IndexParams(), dim: int | None
         all_tables = srp.hash_tables(hashes, placed.select("vec_id", "chunk", "pos"), p.tables)
         pairs = partition.chunk_pairs(sizes, p.links)
         cross = graph.cross_chunk_join(all_tables, pairs, base, p.width)
-        edges = edges.unionByName(graph.expand_cross_edges(cross, edges, chunks, base, p.links).select("src", "dst", "ip"))
+        normal = written(graph.expand_cross_edges(cross, edges, chunks, base, p.links).select("src", "dst", "ip"))
+        # both ways: a search goes from the chunks of larger norms to the others
+        edges = edges.unionByName(normal).unionByName(normal.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "ip"))
     nbrs = edges.groupBy(F.col("src").alias("vec_id")).agg(F.sort_array(F.collect_set("dst")).alias("nbrs"))
     out = base.join(placed.select("vec_id", "chunk", "shard", "sq_norm"), "vec_id").join(hashes, "vec_id").join(nbrs, "vec_id", "left")
     return out.select("chunk", "shard", "vec_id", F.sqrt("sq_norm").alias("norm"), "h0", "h1", "h2", "h3", "nbrs", "embedding")
@@ -85,14 +87,26 @@ def load_index(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def size_of(spark: SparkSession, path: str) -> int:
+    """Bytes of the files below ``path``."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(p).getLength()
+
+
 def build_or_load(spark: SparkSession, base: DataFrame, path: str, p: IndexParams = IndexParams(), info: str | None = None) -> DataFrame:
-    """The index at ``path`` if it is complete there, else built and saved; appends its build time to ``info``."""
-    if not table_exists(spark, path):
+    """The index at ``path`` if it is complete there, of the same rows and parameters; else it is built and saved.
+
+    ``info`` is a table that gets a row (path, seconds, bytes) for each build.
+    What an index was made of is kept beside it, at ``path``.about.
+    """
+    of, about = f"{fingerprint(base)} {p}", f"{path}.about"
+    if not (table_exists(spark, path) and table_exists(spark, about) and spark.read.parquet(about).first()[0] == of):
         began = time.perf_counter()
         save_index(build_index(base, p), path)
+        spark.createDataFrame([(of,)], "made_of string").coalesce(1).write.mode("overwrite").parquet(about)
         if info:
-            row = [(path, time.perf_counter() - began)]
-            spark.createDataFrame(row, "path string, seconds double").write.mode("append").parquet(info)
+            row = [(path, time.perf_counter() - began, size_of(spark, path))]
+            spark.createDataFrame(row, "path string, seconds double, bytes long").write.mode("append").parquet(info)
     return load_index(spark, path)
 
 
