@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import MIN_LONG, ascii_lower, bucket_of, materialize, range_bounds, shared_dir, shuffle_partitions, table, unwrapped, whole_rows, ws_strip
+from .common import MIN_LONG, ascii_lower, bucket_of, delete, few, materialize, range_bounds, shared_dir, shuffle_partitions, table, unwrapped, whole_rows, ws_strip
 
 SEED = 0x5EED
 
@@ -30,10 +30,11 @@ class LineRuns:
 
     def __init__(self, spark: SparkSession, buckets: int, fanout: int = 2):
         self.spark, self.buckets, self.fanout = spark, buckets, fanout
-        self.folder, self.levels, self.made = f"{shared_dir(spark)}/innerscan/{uuid.uuid4().hex}", [], 0
+        self.folder, self.levels, self.written = f"{shared_dir(spark)}/innerscan/{uuid.uuid4().hex}", [], []
 
     def _write(self, df: DataFrame) -> str:
         name = f"run_{uuid.uuid4().hex}"
+        self.written.append(name)
         df = df.select("h1", "h2", "n", "top").repartition(self.buckets, "h1", "h2")
         (
             df.write.bucketBy(self.buckets, "h1", "h2").sortBy("h1", "h2").format("parquet")
@@ -79,6 +80,13 @@ class LineRuns:
         names = [n for level in self.levels for n in level]
         return self._merged(names)
 
+    def drop(self) -> None:
+        """Let go of all runs, with their files."""
+        for name in self.written:
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+        delete(self.spark, self.folder)
+        self.written, self.levels = [], []
+
 
 def dedup_lines(
     docs: DataFrame,
@@ -101,6 +109,11 @@ def dedup_lines(
     a new sorted run.  A line's documents are counted by partial aggregates:
     a line that a third of all documents hold is one row a task.
 
+    The index keeps 128-bit hashes; what is dropped is told by line numbers,
+    so a text of very many lines costs no more a line than a short one.  Keys
+    to drop are broadcast where they are few; otherwise both sides of the join
+    are shuffled, and a very common key's rows are split by Spark's skew join.
+
     Null or empty text is one empty line and stays as it is (null becomes the
     empty text).  Repeated rows count as documents each; rows that share an id
     share the decision.  A null id counts as the smallest.  An empty table
@@ -108,31 +121,33 @@ def dedup_lines(
     replaced.
     """
     spark = docs.sparkSession
-    hashed = lambda k: F.xxhash64(k)
-    own = F.coalesce(F.col(id_col).cast("long"), F.lit(MIN_LONG))
+    own = lambda c: F.coalesce(c.cast("long"), F.lit(MIN_LONG))
     lines = lambda c: F.split(F.coalesce(c, F.lit("")), "\n", -1)
-    bounds = range_bounds(docs.select(own.alias("top")), "top", batches)
-    keys = docs.select(
-        own.alias("top"),
-        F.explode(F.array_distinct(F.transform(F.filter(lines(F.col(text_col)), lambda x: F.length(x) >= min_chars), line_key))).alias("key"),
-    ).where(F.length("key") >= min_chars)
-    keys = keys.select("top", hashed(F.col("key")).alias("h1"), F.xxhash64(F.lit(SEED), "key").alias("h2"))
+    bounds = range_bounds(docs.select(own(F.col(id_col)).alias("top")), "top", batches)
+    found = F.transform(lines(F.col(text_col)), lambda x: F.when(F.length(x) >= min_chars, line_key(x)))
+    hashed = F.transform(found, lambda k, i: F.when(F.length(k) >= min_chars, F.struct(F.xxhash64(k).alias("h1"), F.xxhash64(F.lit(SEED), k).alias("h2"), i.alias("at"))))
+    read = docs.select(own(F.col(id_col)).alias("top"), F.xxhash64(text_col).alias("th"), F.sort_array(F.array_compact(hashed)).alias("keys"))
+    same = lambda x, y: (x["h1"] == y["h1"]) & (x["h2"] == y["h2"])
+    marked = F.transform("keys", lambda x, i: F.struct(x["h1"].alias("h1"), x["h2"].alias("h2"), x["at"].alias("at"), ((i == 0) | ~same(x, F.get("keys", i - 1))).alias("first")))
+    # the outer form, as explode's own filter would be pushed below and compute the keys anew for each of them
+    keys = read.withColumn("keys", F.when(F.size("keys") > 0, marked)).select("top", "th", F.explode_outer("keys").alias("k")).where("k is not null").select("top", "th", "k.*")
     keys = materialize(keys.withColumn("batch", bucket_of(F.col("top"), bounds)), "line_keys")
     index = LineRuns(spark, shuffle_partitions(spark))
     for b in reversed(range(max(1, len(bounds)))):
-        index.add(keys.where(F.col("batch") == b).select("h1", "h2", "top"), known=min_docs)
-    common = index.compact().where(F.col("n") >= min_docs).select("h1", "h2", F.col("top").alias("keeper"))
+        index.add(keys.where((F.col("batch") == b) & F.col("first")).select("h1", "h2", "top"), known=min_docs)
+    common = materialize(index.compact().where(F.col("n") >= min_docs).select("h1", "h2", F.col("top").alias("keeper")), "common")
+    index.drop()
     drops = (
-        keys.join(common, ["h1", "h2"])
+        keys.join(few(common), ["h1", "h2"])
         .where(F.col("top") < F.col("keeper"))
-        .groupBy(F.col("top").alias("__id"))
-        .agg(F.collect_set("h1").alias("__drops"))
+        .groupBy(F.col("top").alias("__id"), F.col("th").alias("__th"))
+        .agg(F.collect_set("at").alias("__drops"))
     )
-    dropped = lambda x: (F.length(x) >= min_chars) & F.array_contains(F.col("__drops"), hashed(line_key(x)))
     text = F.col("__row")[text_col]
-    joined = whole_rows(docs).withColumn("__own", F.coalesce(F.col("__row")[id_col].cast("long"), F.lit(MIN_LONG))).join(drops, F.col("__own") == F.col("__id"), "left")
-    joined = joined.withColumn("__lines", lines(text))
-    kept = joined.withColumn("__kept", F.when(F.col("__drops").isNull(), F.col("__lines")).otherwise(F.filter("__lines", lambda x: ~dropped(x))))
+    joined = whole_rows(docs).withColumn("__own", own(F.col("__row")[id_col])).withColumn("__own_th", F.xxhash64(text))
+    joined = joined.join(drops, (F.col("__own") == F.col("__id")) & (F.col("__own_th") == F.col("__th")), "left").withColumn("__lines", lines(text))
+    left = F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), "__drops")
+    kept = joined.withColumn("__kept", F.when(F.col("__drops").isNull(), F.col("__lines")).otherwise(F.transform(left, lambda i: F.get("__lines", i))))
     done = kept.select(
         "__row",
         F.array_join("__kept", "\n").alias("__text"),
