@@ -16,9 +16,11 @@ from pyspark.sql import functions as F
 from innerscan import queries as core
 from innerscan.operators import metrics, search, topk
 from innerscan.plans import index
+from innerscan.storage import shared_dir
 
 SF = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 CPUS = os.environ.get("BENCH_CPUS", "8")
+SWEEP_K, SWEEP_EF = 50, (0, 10, 20, 30, 40, 50, 75, 100, 150, 200, 250, 300)
 CORE = ["exact_topk_ip", "exact_topk_sql", "norm_pruned_topk", "norm_chunks", "srp_tables", "srp_seeds", "lsh_only_topk", "lsh_window_graph", "norm_band_graph", "cross_chunk_join"]
 
 
@@ -28,29 +30,48 @@ def seconds(make) -> float:
     return round(time.perf_counter() - began, 3)
 
 
-def searches(spark: SparkSession) -> tuple[dict, dict]:
-    """Build time, search times and quality on one saved index."""
-    base, q = core.fixture(spark, SF)
-    truth = topk.exact_topk(base, q, core.K).persist()
-    path = f"{os.environ.get('TMPDIR', '/tmp')}/innerscan-bench-{os.getpid()}"
+def measured(graph, q, truth, k: int, **options) -> tuple[float, dict]:
+    """Seconds of a search, and its recall, ratio and mean cost."""
     began = time.perf_counter()
-    index.save_index(core.small_index(base), path)
-    times, quality = {"build_index": round(time.perf_counter() - began, 3)}, {}
-    graph = index.load_index(spark, path).persist()
-    graph.count()
-    for name, options in {
-        "pruned_beam_ef0": dict(ef=0),
-        "pruned_beam_ef50": dict(ef=50),
-        "unpruned_beam_ef50": dict(ef=50, z=None, norm_prune=False),
-        "lsh_only": dict(entry="lsh"),
-    }.items():
+    got = search.search(graph, q, k, search_min=50, with_cost=True, **options).persist()
+    got.count()
+    took = round(time.perf_counter() - began, 3)
+    row = metrics.recall_ratio(got, truth, k).first()
+    cost = got.select("qid", "cost").distinct().agg(F.avg("cost")).first()[0]
+    got.unpersist()
+    return took, {"recall": round(row["recall"], 4), "ratio": round(row["ratio"], 4), "cost": cost}
+
+
+def searches(spark: SparkSession) -> tuple[dict, dict, dict]:
+    """Build time, search times and quality on one saved index; the sweep of ef at k = 50 with and without cross-chunk edges."""
+    base, q = core.fixture(spark, SF)
+    truth = topk.exact_topk(base, q, SWEEP_K).persist()
+    path = f"{shared_dir(spark)}/bench-{os.getpid()}"
+    times, quality, sweep = {}, {}, {}
+    for name, normal in (("build_index", False), ("build_index_normal_edges", True)):
         began = time.perf_counter()
-        got = search.search(graph, q, core.K, search_min=50, ub=core.UB, with_cost=True, **options).persist()
-        got.count()
+        index.save_index(index.build_index(base, index.IndexParams(build_min=32, normal_edges=normal), core.DIM), f"{path}-{normal}")
         times[name] = round(time.perf_counter() - began, 3)
-        row = metrics.recall_ratio(got, truth, core.K).first()
-        quality[name] = {"recall": round(row["recall"], 4), "ratio": round(row["ratio"], 4), "cost": got.select("qid", "cost").distinct().agg(F.avg("cost")).first()[0]}
-    return times, quality
+    graphs = {normal: index.load_index(spark, f"{path}-{normal}").persist() for normal in (False, True)}
+    for graph in graphs.values():
+        graph.count()
+    for name, normal, options in (
+        ("pruned_beam_ef0", False, dict(ef=0)),
+        ("pruned_beam_ef50", False, dict(ef=50)),
+        ("pruned_beam_ef50_normal_edges", True, dict(ef=50, normal_edges=True)),
+        ("norm_pruned_beam_ef50", False, dict(ef=50, z=None)),
+        ("unpruned_beam_ef50", False, dict(ef=50, z=None, norm_prune=False)),
+        ("unpruned_beam_top_ef50", False, dict(ef=50, entry="top", z=None, norm_prune=False)),
+        ("few_seeds_ef50", False, dict(ef=50, ub=20)),
+        ("few_seeds_ef50_normal_edges", True, dict(ef=50, ub=20, normal_edges=True)),
+        ("lsh_only", False, dict(entry="lsh")),
+    ):
+        times[name], quality[name] = measured(graphs[normal], q, truth, core.K, **options)
+    for normal in (False, True):
+        for ef in SWEEP_EF:
+            took, row = measured(graphs[normal], q, truth, SWEEP_K, ef=ef, normal_edges=normal)
+            sweep[f"ef{ef}{'_normal_edges' if normal else ''}"] = {"seconds": took} | row
+    return times, quality, sweep
 
 
 def main() -> None:
@@ -67,9 +88,9 @@ def main() -> None:
     queries = core.queries()
     queries["exact_topk_ip"](spark, SF).count()  # starts the JVM code and the Python workers
     times = {name: seconds(lambda n=name: queries[n](spark, SF)) for name in CORE}
-    more, quality = searches(spark)
+    more, quality, sweep = searches(spark)
     times |= more
-    print(json.dumps({"metric": "inner product search, total", "value": round(sum(times.values()), 3), "unit": "sec", "queries": times, "quality": quality, "sf": os.path.basename(SF.rstrip("/"))}), flush=True)
+    print(json.dumps({"metric": "inner product search, total", "value": round(sum(times.values()), 3), "unit": "sec", "queries": times, "quality": quality, "sweep_k50": sweep, "sf": os.path.basename(SF.rstrip("/"))}), flush=True)
 
 
 if __name__ == "__main__":
