@@ -8,13 +8,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import MIN_LONG, ascii_lower, materialize, table, ws_strip
+from .common import MIN_LONG, ascii_lower, few, materialize, table, ws_strip
 
 QUOTE = r"^(?:[ \t]*>)+[ \t]?"
-#: Turns of one conversation that a task sorts at about.
-TURNS = 1_000
-#: Hashes of quotes that are broadcast at most to pick passages; beyond it they are joined by a shuffle.
-BROADCAST_HASHES = 200_000
 
 
 def quote_level(line: Column) -> Column:
@@ -48,36 +44,40 @@ def parse(messages: DataFrame) -> DataFrame:
     """
     split = F.split(F.coalesce("text", F.lit("")), r"\r?\n", -1)
     line = lambda x: F.struct(quote_level(x).alias("level"), F.regexp_replace(x, QUOTE, "").alias("text"))
-    empty = F.array().cast("array<struct<level:int,text:string>>")
-    joined = lambda a, x: F.concat(F.slice(a, F.lit(1), F.size(a) - 1), F.array(F.struct(x["level"].alias("level"), F.concat(F.element_at(a, -1)["text"], F.lit("\n"), x["text"]).alias("text"))))
-    same = lambda a, x: F.coalesce(F.element_at(F.when(F.size(a) > 0, a), -1)["level"] == x["level"], F.lit(False))
-    runs = F.aggregate("lines", empty, lambda a, x: F.when(same(a, x), joined(a, x)).otherwise(F.concat(a, F.array(x))))
-    plain = F.filter("runs", lambda r: r["level"] == 0)
-    body = ws_strip(F.array_join(F.transform(plain, lambda r: r["text"]), "\n"))
     filled = lambda c: F.filter(c, lambda r: normalized(r["text"]) != "")
+    m = messages.withColumn("lines", F.transform(split, line))
+    # where runs begin, and one after the last line; each run is joined once
+    n = F.size("lines")
+    begins = F.filter(F.sequence(F.lit(0), n), lambda i: (i == 0) | (i == n) | (F.get("lines", i)["level"] != F.get("lines", i - 1)["level"]))
+    m = m.withColumn("begins", F.when(F.exists("lines", lambda x: x["level"] > 0), begins))
+    text = lambda i, j: F.array_join(F.transform(F.slice("lines", i + 1, j - i), lambda x: x["text"]), "\n")
+    runs = F.zip_with(F.slice("begins", F.lit(1), F.size("begins") - 1), F.slice("begins", F.lit(2), F.size("begins") - 1), lambda i, j: F.struct(F.get("lines", i)["level"].alias("level"), text(i, j).alias("text")))
+    m = m.withColumn("runs", F.coalesce(runs, F.array(F.struct(F.lit(0).alias("level"), F.coalesce("text", F.lit("")).alias("text")))))
+    plain = F.filter("runs", lambda r: r["level"] == 0)
     return (
-        messages.withColumn("lines", F.transform(split, line))
-        .withColumn("runs", F.when(F.exists("lines", lambda x: x["level"] > 0), runs).otherwise(F.array(F.struct(F.lit(0).alias("level"), F.coalesce("text", F.lit("")).alias("text")))))
-        .withColumn("body", body)
+        m.withColumn("body", ws_strip(F.array_join(F.transform(plain, lambda r: r["text"]), "\n")))
         .withColumn("quotes", filled(F.filter("runs", lambda r: r["level"] > 0)))
         .withColumn("own", F.array_distinct(F.concat(F.array("body"), F.transform(filled(plain), lambda r: r["text"]))))
-        .drop("runs")
+        .drop("runs", "begins")
     )
 
 
-def before_and_rank(rows: DataFrame, keys: list[str], turn: str, prev: str, rank: str) -> DataFrame:
-    """Add the turn before and the 0-based rank of each row among its keys, in order of (turn, tie).
+def before_and_rank(rows: DataFrame, keys: list[str], prev: str, rank: str) -> DataFrame:
+    """Add the turn before and the 0-based rank of each row among its keys, in order of (turn, conversation, tie).
 
-    Long groups are cut into ranges of ``TURNS`` turns; counts and last turns
-    of ranges are carried over, so no group is sorted in one task.
+    Rows are written in ranges of that order, so a group of any size, with
+    any number of equal turns, is spread over ranges; counts and last turns of
+    a group's ranges are carried over.
     """
-    cut = rows.withColumn("__c", F.floor(F.col(turn) / TURNS))
-    inner = Window.partitionBy(*keys, "__c").orderBy(turn, "tie")
+    order = [F.col(c) for c in ("t", "c", "tie")]
+    cut = materialize(rows.repartitionByRange(*[F.col(k) for k in keys], *order).withColumn("__c", F.spark_partition_id()), "ranged")
+    inner = Window.partitionBy("__c", *keys).orderBy(*order)
     w = Window.partitionBy(*keys).orderBy("__c").rowsBetween(Window.unboundedPreceding, -1)
-    ranges = cut.groupBy(*keys, "__c").agg(F.count("*").alias("__n"), F.max(turn).alias("__last"))
-    ranges = ranges.select(*keys, "__c", F.coalesce(F.sum("__n").over(w), F.lit(0)).alias("__b"), F.max("__last").over(w).alias("__p"))
-    out = cut.withColumn("__r", F.row_number().over(inner) - 1).withColumn("__l", F.lag(turn).over(inner)).join(ranges, [*keys, "__c"])
-    return out.withColumn(prev, F.coalesce("__l", "__p")).withColumn(rank, F.col("__r") + F.col("__b")).drop("__c", "__r", "__l", "__b", "__p")
+    ranges = cut.groupBy(*keys, "__c").agg(F.count("*").alias("__n"), F.max("t").alias("__last"))
+    ranges = ranges.groupBy(*keys).agg(F.collect_list(F.struct("__c", "__n", "__last")).alias("__g")).where(F.size("__g") > 1).select(*keys, F.explode("__g").alias("__g")).select(*keys, "__g.*")
+    ranges = materialize(ranges.select(*keys, "__c", F.sum("__n").over(w).alias("__b"), F.max("__last").over(w).alias("__p")), "ranges")
+    out = cut.withColumn("__r", F.row_number().over(inner) - 1).withColumn("__l", F.lag("t").over(inner)).join(few(ranges), ["__c", *keys], "left")
+    return out.withColumn(prev, F.coalesce("__l", "__p")).withColumn(rank, F.col("__r") + F.coalesce("__b", F.lit(0))).drop("__c", "__r", "__l", "__b", "__p")
 
 
 def link(messages: DataFrame) -> DataFrame:
@@ -109,19 +109,16 @@ def link(messages: DataFrame) -> DataFrame:
         F.coalesce(F.col("turn").cast("long"), F.lit(MIN_LONG)).alias("t"),
         "conv_id", "turn", "role", "text",
     ).withColumn("tie", F.xxhash64("role", "text"))
-    parsed = materialize(before_and_rank(parse(m).drop("lines", "text"), ["c"], "t", "prev", "nth"), "parsed")
+    parsed = materialize(before_and_rank(parse(m).drop("lines", "text"), ["c"], "prev", "nth"), "parsed")
     own = parsed.select("c", "t", F.explode("own").alias("p"))
     own = own.select("c", "t", F.explode(F.array_distinct(F.transform(pieces(F.col("p")), lambda x: x["text"]))).alias("p")).select("c", "t", passage_hash(F.col("p")).alias("h"))
     quotes = parsed.where(F.size("quotes") > 0).select("c", "t", "nth", F.posexplode("quotes").alias("at", "q"))
     quotes = quotes.select("c", "t", "nth", "at", F.col("q.level").alias("level"), F.posexplode(pieces(F.col("q.text"))).alias("no", "p"))
     quotes = quotes.select("c", "t", "nth", "at", "level", "no", F.col("p.kind").alias("kind"), F.length("p.text").alias("size"), passage_hash(F.col("p.text")).alias("h"))
     hashes = materialize(quotes.select("h").distinct(), "hashes")
-    if hashes.limit(BROADCAST_HASHES + 1).count() <= BROADCAST_HASHES:
-        hashes = F.broadcast(hashes)
-    wanted = own.join(hashes, "h", "left_semi")
-    here = wanted.groupBy("c", "h").agg(F.min("t").alias("here"))
-    first = wanted.groupBy("h").agg(F.min(F.struct("c", "t")).alias("first"))
-    found = quotes.join(here, ["c", "h"], "left").join(first, "h", "left")
+    wanted = materialize(own.join(few(hashes), "h", "left_semi").groupBy("c", "h").agg(F.min("t").alias("here")), "wanted")
+    first = materialize(wanted.groupBy("h").agg(F.min(F.struct("c", F.col("here").alias("t"))).alias("first")), "first")
+    found = quotes.join(few(wanted), ["c", "h"], "left").join(few(first), "h", "left")
     origin = F.when(F.col("here") < F.col("t"), F.struct("c", F.col("here").alias("t"))).when(F.col("first") < F.struct("c", "t"), F.col("first"))
     found = found.withColumn("origin", origin).where("origin is not null").groupBy("c", "t", "nth", "at", "level").agg(
         F.min(F.struct("kind", -F.col("size"), "no", "origin"))["origin"].alias("origin")
@@ -137,7 +134,7 @@ def link(messages: DataFrame) -> DataFrame:
         "*", F.coalesce("root", F.struct("c", "t")).alias("thread"), F.coalesce("hops", F.lit(0)).alias("depth")
     )
     out = out.withColumn("rc", F.col("thread.c")).withColumn("rt", F.col("thread.t"))
-    out = before_and_rank(out.drop("prev", "nth"), ["rc", "rt"], "t", "prev", "position")
+    out = before_and_rank(out.drop("prev", "nth"), ["rc", "rt"], "prev", "position")
     null_if = lambda c: F.when(F.col(c) != MIN_LONG, F.col(c))
     return out.select(
         "conv_id", "turn", "role", "body",

@@ -101,3 +101,63 @@ def repeats(rows, n=50):
         runs = sum(1 for i, g in enumerate(gone) if g and (i == 0 or not gone[i - 1]))
         out[d] = (len(b), sum(gone), runs, hashlib.sha256(kept).hexdigest())
     return out
+
+
+def linked(rows):
+    """For each (conv, turn, role, text): conv, turn, role, body, quotes, linked, quoted, parent and thread as conv and turn, depth."""
+    low = -(2**63)
+    norm = lambda x: " ".join(re.findall(r"[^\x20\x09-\x0D]+", lower(x)))
+
+    def cuts(passage):
+        out = [(0, passage)] + [(1, p) for p in re.split(r"\n[\x20\x09-\x0D]*\n", passage)] + [(2, p) for p in passage.split("\n")]
+        return [(k, norm(p)) for k, p in out if norm(p)]
+
+    messages = []
+    for conv, turn, role, text in rows:
+        runs = []
+        for line in re.split(r"\r?\n", text or ""):
+            mark = re.match(r"(?:[ \t]*>)+[ \t]?", line)
+            level = mark[0].count(">") if mark else 0
+            rest = line[mark.end() :] if mark else line
+            if runs and runs[-1][0] == level:
+                runs[-1][1].append(rest)
+            else:
+                runs.append((level, [rest]))
+        runs = [(level, "\n".join(x)) for level, x in runs]
+        body = "\n".join(x for level, x in runs if not level).strip(" \t\n\x0b\f\r")
+        own = {p for x in [body, *[x for level, x in runs if not level]] for _, p in cuts(x)}
+        at = (low if conv is None else conv, low if turn is None else turn)
+        messages.append((at, conv, turn, role, body, own, [r for r in runs if r[0] and norm(r[1])]))
+    here, first = {}, {}
+    for at, *_, own, _ in messages:
+        for p in own:
+            here[at[0], p] = min(here.get((at[0], p), at), at)
+            first[p] = min(first.get(p, at), at)
+
+    def origin(at, p):
+        if here.get((at[0], p), at) < at:
+            return here[at[0], p]
+        return first[p] if first.get(p, at) < at else None
+
+    shown = lambda at: (None, None) if at is None else tuple(None if x == low else x for x in at)
+    turns, parents, out = {}, {}, []
+    for at, *_ in messages:
+        turns.setdefault(at[0], set()).add(at[1])
+    for at, conv, turn, role, body, _, quotes in messages:
+        found = []
+        for n, (level, passage) in enumerate(quotes):
+            options = [(k, -len(p), i, origin(at, p)) for i, (k, p) in enumerate(cuts(passage)) if origin(at, p)]
+            if options:
+                found.append((level, n, min(options)[3]))
+        quoted = min(found)[2] if found else None
+        earlier = [t for t in turns[at[0]] if t < at[1]]
+        parent = quoted or ((at[0], max(earlier)) if earlier else None)
+        if parent:
+            parents[at] = min(parents.get(at, parent), parent)
+        out.append([conv, turn, role, body, len(quotes), len(found), quoted, parent, at])
+    for row in out:
+        at, depth = row.pop(), 0
+        while at in parents:
+            at, depth = parents[at], depth + 1
+        row[6:] = [*shown(row[6]), *shown(row[7]), *shown(at), depth]
+    return [tuple(r) for r in out]

@@ -129,7 +129,7 @@ def test_near_duplicates(docs, empty, odd):
 
 
 def test_blocks_of_a_large_group_lose_no_link(spark, monkeypatch):
-    monkeypatch.setattr(near_dedup, "BLOCK_MEMBERS", 7)
+    monkeypatch.setattr(near_dedup, "SMALL_MEMBERS", 7)
     words = [f"w{i}" for i in range(200)]
     rows = []
     for i in range(60):
@@ -189,6 +189,35 @@ def test_found_identifiers_are_marked_wherever_they_occur(spark):
     assert marked == {i: [m.start() for m in re.finditer(r"user[78]{2}\(at\)mail", texts[i])] for i in range(50, 56)}
 
 
+def test_found_identifiers_induce_patterns_that_find_others(spark):
+    """Six values that no base pattern knows are found beside seeds; a pattern that only they share finds a seventh."""
+    new = [f"user9{i}(at)mail" for i in range(6)]
+    rows = [(i, f"please contact: user{i}@mail.example.com today") for i in range(60)]
+    rows += [(100 + i, f"please contact: {v} today") for i, v in enumerate(new)]
+    rows += [(200 + i, f"now forward to: {v} soon") for i, v in enumerate([*new, "another7(at)post"])]
+    rows += [(300 + i, f"at room number {i}b") for i in range(20)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    out = {r["doc_id"]: r["spans"] for r in pii.find_pii(df).collect()}
+    assert [(s["kind"], s["value"]) for s in out[206]] == [("email", "another7(at)post")]
+    assert all(len(out[i]) == 1 for i in [*range(60), *range(100, 106), *range(200, 207)]) and not any(out[i] for i in range(300, 320))
+    assert not {r["doc_id"]: r["spans"] for r in pii.find_pii(df, rounds=1).collect()}[206]
+
+
+def test_long_words_and_many_numbers(spark):
+    """A context is whole words, however long; very many matches are found in seconds."""
+    import time
+
+    word = "w" * 500
+    rows = [(i, f"{word} sent{i} x{i}9") for i in range(3)] + [(10, " ".join(f"{i % 250}.{i // 250 % 250}.0.1" for i in range(60_000)))]
+    df = spark.createDataFrame([(i, t) for i, t in rows], "doc_id bigint, text string")
+    got = pii.with_candidates(df.withColumnRenamed("text", "__text").where("doc_id < 3")).collect()
+    assert [[c["pattern"] for c in r["candidates"]][-1] for r in got] == [f"{word} sent{i}" for i in range(3)]
+    start = time.time()
+    r = pii.find_pii(df.where("doc_id = 10"), rounds=1).first()
+    assert ",".join(f"{s['kind']}:{s['start']}:{s['end']}" for s in r["base"]) == brute.spans(rows[3][1])[1] and len(r["base"]) == 60_000
+    assert time.time() - start < 60
+
+
 def test_substring_dedup(docs, empty, odd):
     want = brute.repeats([r for r in rows_of(2) if len(r[1] or "") < 10_000])
     small = docs.where(F.coalesce(F.length("text"), F.lit(0)) < 10_000)
@@ -199,6 +228,18 @@ def test_substring_dedup(docs, empty, odd):
     assert substring_dedup.dedup_substrings(odd).count() == odd.count()
 
 
+@pytest.mark.parametrize("contexts", [1, 4])
+def test_collections_that_are_cut_lose_no_string(spark, monkeypatch, contexts):
+    import random
+
+    monkeypatch.setattr(substring_dedup, "INDEX_CONTEXTS", contexts)
+    rnd = random.Random(1)
+    parts = ["".join(rnd.choice("abcd \0") for _ in range(n)) for n in (26, 40, 60, 90)]
+    rows = [(i, "".join(rnd.choice(parts) if rnd.random() < 0.7 else "".join(rnd.choice("abcd") for _ in range(9)) for _ in range(8))) for i in range(60)]
+    got = {r["doc_id"]: r for r in substring_dedup.dedup_substrings(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert {i: (r["n_bytes"], r["n_removed"], r["n_spans"], hashlib.sha256(r["kept"]).hexdigest()) for i, r in got.items()} == brute.repeats(rows)
+
+
 def test_run_length_index():
     texts = [b"abcabcabc" * 12, b"xyz" + b"abcabcabc" * 9, b"q" * 80, b"q" * 70 + b"\xff\0"]
     index = substring_dedup.RunLengthIndex(texts)
@@ -357,6 +398,18 @@ def test_toxicity(spark):
     assert toxicity.drop_toxic(docs, none).count() == docs.count()
 
 
+def test_toxicity_on_held_out_rows(spark):
+    """Fitted on half of the labelled rows of the larger table; the others tell its accuracy."""
+    sf = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    model = toxicity.train(docs, labels.where("doc_id % 2 = 0"))
+    rows = toxicity.score(docs, model).join(labels.where("doc_id % 2 = 1"), "doc_id").collect()
+    flagged = {t: [r["p_toxic"] >= 0.5 for r in rows if r["toxic"] == t] for t in (0, 1)}
+    assert sum(flagged[1]) >= 0.88 * len(flagged[1]) and sum(flagged[0]) <= 0.025 * len(flagged[0])
+    mean = lambda t: sum(r["severity"] for r in rows if r["toxic"] == t) / len(flagged[t])
+    assert mean(1) > 3 * mean(0)
+
+
 def test_chat(spark):
     rows = [
         (1, 0, "user", "How do I sort a list?\nIt has many items."),
@@ -401,14 +454,41 @@ def test_quotes_of_paragraphs_and_lines_are_linked(spark):
     assert {t: (out[t]["n_quotes"], out[t]["n_linked"], out[t]["parent_turn"]) for t in (2, 4, 5, 6, 7)} == {2: (1, 1, 0), 4: (3, 3, 0), 5: (1, 1, 0), 6: (1, 1, 0), 7: (1, 1, 0)}
 
 
-def test_long_conversations_are_ranked_across_ranges(spark, monkeypatch):
-    monkeypatch.setattr(chat, "TURNS", 4)
-    df = spark.range(30).select(F.lit(1).alias("conv_id"), (F.col("id") * 3).alias("turn"), F.lit("user").alias("role"), F.concat(F.lit("m"), "id").alias("text"))
+def test_long_conversations_and_threads_are_ranked_across_ranges(spark):
+    df = spark.range(300).select(F.lit(1).alias("conv_id"), (F.col("id") * 3).alias("turn"), F.lit("user").alias("role"), F.concat(F.lit("m"), "id").alias("text"))
     out = sorted(chat.link(df).collect(), key=lambda r: r["turn"])
-    assert [r["position"] for r in out] == list(range(30)) == [r["depth"] for r in out]
+    assert [r["position"] for r in out] == list(range(300)) == [r["depth"] for r in out]
+    rows = [(0, 0, "user", "welcome to all")]
+    rows += [(c, t, "user", "> welcome to all\nhi" if t == 0 else f"thanks {c % 3}") for c in range(1, 200) for t in range(3)]
+    out = chat.link(spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")).collect()
+    assert {r["thread_conv"] for r in out} == {0} and sorted(r["position"] for r in out) == list(range(len(rows)))
+    assert [r["turn"] for r in sorted(out, key=lambda r: r["position"])] == sorted(r[1] for r in rows)
 
 
-def test_bm25(docs, empty, spark):
+def test_chat_by_brute_force(spark):
+    """Random conversations with whole, partial, nested and foreign quotes, repeated rows, nulls and a very long quote."""
+    import random
+
+    rnd = random.Random(8)
+    said, rows = [], []
+    for c in range(25):
+        for t in range(rnd.randint(1, 9)):
+            own = "\n\n".join("\n".join(f"line {rnd.randrange(60)} Of  text" for _ in range(rnd.randint(1, 3))) for _ in range(rnd.randint(1, 2)))
+            text = own
+            if said and rnd.random() < 0.7:
+                q = rnd.choice(said[-6:] if rnd.random() < 0.6 else said)
+                parts = rnd.choice([[q], q.split("\n\n"), q.split("\n")[:1]])
+                mark = rnd.choice(["> ", ">", "> > "])
+                text = "\n".join("\n".join(mark + x.upper() for x in p.split("\n")) + f"\nre {rnd.randrange(9)}" for p in parts) + "\n" + own
+            said.append(own)
+            rows.append((c, t, rnd.choice(["user", "assistant", None]), text))
+    rows += [rows[3], rows[3], (None, None, "user", "lost"), (None, 2, "user", "> lost\nfound"), (99, None, "user", None), (99, 0, "user", ""), (99, 5, "user", "\n".join(f"> {i}\n{i}" for i in range(20_000)))]
+    df = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string").withColumns({c: F.lit("clash") for c in ("c", "t", "h", "lines", "position", "root", "first", "begins")})
+    got = collections.Counter((r["conv_id"], r["turn"], r["role"], r["body"], r["n_quotes"], r["n_linked"], r["quoted_conv"], r["quoted_turn"], r["parent_conv"], r["parent_turn"], r["thread_conv"], r["thread_turn"], r["depth"]) for r in chat.link(df).collect())
+    assert got == collections.Counter(brute.linked(rows))
+
+
+def test_bm25(docs, empty, odd, spark):
     import math
 
     rows = [(i, t) for i, t in rows_of(2)]
@@ -430,8 +510,45 @@ def test_bm25(docs, empty, spark):
     for size in (bm25.SHARD_DOCS, 5):
         with pytest.MonkeyPatch.context() as m:
             m.setattr(bm25, "SHARD_DOCS", size)
-            m.setattr(bm25, "QUERY_BLOCK", 4)
+            m.setattr(bm25, "QUERY_TERMS", 600 if size == 5 else bm25.QUERY_TERMS)
             m.setattr(bm25, "BLOCK", 3)
             got = bm25.search(docs, docs.where("doc_id % 4 = 0"), 5).collect()
         assert {(r["query_id"], r["rank"]): (r["doc_id"], pytest.approx(r["score"], abs=2e-6)) for r in got} == want
-    assert bm25.search(empty, empty).count() == 0
+    assert bm25.search(empty, empty).count() == 0 and bm25.search(empty, docs).count() == 0 and bm25.search(docs, empty).count() == 0
+    # repeated rows are results each; null ids come last among ties and ask nothing
+    got = collections.defaultdict(list)
+    for r in bm25.search(odd, odd.where("doc_id is null or doc_id in (0, 4, 8)"), 9).orderBy("query_id", "rank").collect():
+        got[r["query_id"]].append((r["doc_id"], r["score"]))
+    assert set(got) == {0, 8}
+    assert [d for d, s in got[0] if s == got[0][0][1]][:8] == [0, 0, 1, 1, 100, 100, 101, 101]
+    assert [d for d, _ in got[8]][:2] == [8, 8]
+    tied = spark.createDataFrame([(None, "same words"), (7, "same words"), (3, "same words"), (3, "same words")], "doc_id bigint, text string")
+    got = bm25.search(tied, tied, 4).orderBy("query_id", "rank").collect()
+    assert [(r["query_id"], r["doc_id"]) for r in got] == [(q, d) for q in (3, 7) for d in (3, 3, 7, None)]
+
+
+def test_pruning_skips_blocks_and_loses_nothing():
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    words = [f"w{i}" for i in range(3000)]
+    share = 1 / np.arange(1, 3001)
+    # of two languages
+    texts = [" ".join("xy"[i % 2] + w for w in rng.choice(words, rng.integers(20, 200), p=share / share.sum())) for i in range(1500)]
+    known = bm25.TermCodes()
+    codes, counts = zip(*map(known.count, texts))
+    average = sum(c.sum() for c in counts) / len(texts)
+    shard = bm25.Shard(bm25.shard_row(list(range(1500)), list(codes), list(counts)), average)
+    idf = np.log1p((1500 - shard.df + 0.5) / (shard.df + 0.5))
+    asked, floors, want = [], [], []
+    for q in range(0, 1500, 50):
+        t = np.searchsorted(shard.terms, codes[q])
+        every = shard.scores(np.arange(1500), t, idf[t])
+        asked.append((t, idf[t]))
+        floors.append(np.sort(every)[-5])
+        want.append(every)
+    got = {i: (d.tolist(), s) for i, d, s in shard.search(asked, np.array(floors), 5)}
+    for i, every in enumerate(want):
+        assert set(np.flatnonzero(every >= floors[i]).tolist()) <= set(got[i][0])
+        assert np.array_equal(got[i][1], every[got[i][0]])
+    assert shard.entered < 0.6 * shard.blocks
