@@ -190,12 +190,14 @@ class Planner:
     def configured(self, lengths: list[int], groups: int) -> None:
         """Linear grouping: groups of equal cardinality, rounded up to their largest, packed by whole configurations.
 
-        Real documents then take the places, the largest of a group first;
+        With few pieces there are fewer groups, of two pieces at least.  Real
+        documents then take the places, the largest of a group first;
         what a rounded-down optimum leaves over goes to best fit.
         """
         total = sum(self.counts[s] for s in lengths)
-        if total < 2 * groups:
+        if not total:
             return
+        groups = max(1, min(groups, total // 2))
         members: list[list[list[int]]] = [[]]
         filled, share = 0, total / groups
         for s in lengths:

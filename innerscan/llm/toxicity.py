@@ -15,8 +15,6 @@ from .common import materialize, table
 
 #: Labelled rows that a model is fitted on at most, the smallest by a hash of their id.
 MAX_LABELLED = 20_000
-#: Features of a model at most.
-MAX_FEATURES = 4_000
 #: Standard errors that a feature's log odds are above 0 by at least, and the log odds.
 MIN_Z, MIN_ODDS = 3.0, 2.0
 PUNCTUATION = ".,;:!?\"'()[]{}<>«»¡¿…-_*/\\|#$%&"
@@ -37,18 +35,19 @@ def words(text: str | None) -> Counter:
 
 
 def feature_rows(docs: DataFrame) -> DataFrame:
-    """(toxic, feature, docs): in how many texts of either label each feature is."""
+    """(feature, bad0, good0, bad1, good1): in how many texts of either fold and label each feature is."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             count: Counter = Counter()
-            for toxic, text in zip(pdf["toxic"], pdf["text"]):
-                count.update((int(toxic), f) for f in {f for w in words(text) for f in features(w)})
+            for fold, toxic, text in zip(pdf["fold"], pdf["toxic"], pdf["text"]):
+                count.update((2 * int(fold) + 1 - int(toxic), f) for f in {f for w in words(text) for f in features(w)})
             rows = [(t, f, n) for (t, f), n in count.items()]
-            yield pd.DataFrame(rows, columns=["toxic", "feature", "docs"])
+            yield pd.DataFrame(rows, columns=["side", "feature", "docs"])
 
-    out = docs.select("toxic", "text").mapInPandas(run, "toxic int, feature string, docs bigint")
-    return out.groupBy("feature").agg(F.sum(F.when(F.col("toxic") == 1, F.col("docs")).otherwise(0)).alias("bad"), F.sum(F.when(F.col("toxic") == 0, F.col("docs")).otherwise(0)).alias("good"))
+    out = docs.select("fold", "toxic", "text").mapInPandas(run, "side int, feature string, docs bigint")
+    sides = ("bad0", "good0", "bad1", "good1")
+    return out.groupBy("feature").agg(*[F.sum(F.when(F.col("side") == i, F.col("docs")).otherwise(0)).alias(s) for i, s in enumerate(sides)])
 
 
 class Model:
@@ -100,56 +99,69 @@ def fit_ordinal(rows: list[dict[int, int]], grades: np.ndarray, n_features: int,
     return w, first + np.concatenate([[0.0], np.cumsum(np.exp(gaps))])
 
 
-def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, max_features: int = MAX_FEATURES) -> Model:
+def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, id_col: str = "doc_id", text_col: str = "text") -> Model:
     """Fit a model on at most ``max_labelled`` labelled documents, equal texts once.
 
-    Grade 0 is a document labelled clean.  Toxic ones get grade 1, or 2 if
-    they have at least the median amount of evidence, that is of features
-    found in toxic texts only or nearly so.  Rows with a null id, text or
-    label are left out.  Without a labelled toxic and a labelled clean row
-    every document gets severity 0.
+    Features are all that the labels show to stand for toxic texts, tested by
+    their log odds; their number is bounded by the sample alone.
+
+    Labels know toxic and clean, no grades.  Grade 0 is a document labelled
+    clean.  Toxic ones get grade 2 if they hold at least as many features as
+    the median of toxic documents, else 1, where the features are those that
+    the other half of the sample selects, so a document's grade does not come
+    from what its own label made a feature.
+
+    Rows with a null id, text or label are left out; rows labelled twice are
+    toxic if either label says so, and equal texts likewise.  Other columns
+    are ignored.  Without a labelled toxic and a labelled clean row, as with empty
+    tables, every document gets severity 0.
     """
     spark = docs.sparkSession
     l = labels.select(F.col("doc_id").alias("__id"), F.col("toxic").cast("int").alias("toxic")).dropna()
     l = l.groupBy("__id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("__id"), "__id").limit(max_labelled)
-    sample = F.broadcast(l).join(docs.select(F.col("doc_id").alias("__id"), "text").dropna(), "__id")
+    sample = F.broadcast(l).join(docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("text")).dropna(), "__id")
     sample = sample.withColumn("__h", F.sha2("text", 256)).groupBy("__h").agg(F.min("__id").alias("doc_id"), F.max("toxic").alias("toxic"), F.first("text").alias("text"))
+    sample = sample.withColumn("fold", F.pmod(F.xxhash64("__h"), F.lit(2)).cast("int"))
     sample = materialize(sample.repartition(max(8, spark.sparkContext.defaultParallelism), "doc_id"), "labelled")
-    totals = {r["toxic"]: r["count"] for r in sample.groupBy("toxic").count().collect()}
-    bad, good = totals.get(1, 0), totals.get(0, 0)
-    if not bad or not good:
+    totals = {(r["fold"], r["toxic"]): r["count"] for r in sample.groupBy("fold", "toxic").count().collect()}
+    bad, good = ([totals.get((fold, toxic), 0) for fold in (0, 1)] for toxic in (1, 0))
+    if not sum(bad) or not sum(good):
         return Model([], np.zeros(0), np.array([50.0, 60.0]))
-    odds = F.log((F.col("bad") + 0.5) / (bad + 1.0)) - F.log((F.col("good") + 0.5) / (good + 1.0))
-    names = [
-        r["feature"]
-        for r in feature_rows(sample)
-        .where((odds > MIN_ODDS) & (odds > MIN_Z * F.sqrt(1 / (F.col("bad") + 0.5) + 1 / (F.col("good") + 0.5))))
-        .orderBy((odds * F.log1p(F.col("bad"))).desc(), "feature")
-        .limit(max_features)
-        .collect()
-    ]
+
+    def stands(b, g, n_bad: int, n_good: int):
+        odds = F.log((b + 0.5) / (n_bad + 1.0)) - F.log((g + 0.5) / (n_good + 1.0))
+        return (odds > MIN_ODDS) & (odds > MIN_Z * F.sqrt(1 / (b + 0.5) + 1 / (g + 0.5)))
+
+    col = F.col
+    flags = [stands(col("bad0") + col("bad1"), col("good0") + col("good1"), sum(bad), sum(good)), *[stands(col(f"bad{i}"), col(f"good{i}"), bad[i], good[i]) for i in (0, 1)]]
+    picked = feature_rows(sample).select("feature", *[f.alias(n) for f, n in zip(flags, ("all", "by0", "by1"))]).where("all or by0 or by1").orderBy("feature").collect()
+    names = [r["feature"] for r in picked if r["all"]]
     index = Model(names, np.zeros(len(names)), np.array([50.0, 60.0]))
+    others = [Model([r["feature"] for r in picked if r[n]], np.zeros(0), np.zeros(0)) for n in ("by1", "by0")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             got = [index.counts(t) for t in pdf["text"]]
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "toxic": pdf["toxic"], "i": [list(g) for g in got], "n": [list(g.values()) for g in got]})
+            found = [float(sum(others[f].counts(t).values())) for f, t in zip(pdf["fold"], pdf["text"])]
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "toxic": pdf["toxic"], "found": found, "i": [list(g) for g in got], "n": [list(g.values()) for g in got]})
 
-    rows = sample.select("doc_id", "toxic", "text").mapInPandas(run, "doc_id bigint, toxic int, i array<int>, n array<int>").orderBy("doc_id").collect()
+    rows = sample.select("doc_id", "toxic", "fold", "text").mapInPandas(run, "doc_id bigint, toxic int, found double, i array<int>, n array<int>").orderBy("doc_id").collect()
     counts = [dict(zip(r["i"], r["n"])) for r in rows]
-    evidence, toxic = np.array([sum(c.values()) for c in counts]), np.array([r["toxic"] for r in rows])
-    middle = np.median(evidence[toxic == 1])
-    grades = np.where(toxic == 0, 0, np.where(evidence >= middle, 2, 1))
+    found, toxic = np.array([r["found"] for r in rows]), np.array([r["toxic"] for r in rows])
+    grades = np.where(toxic == 0, 0, np.where(found >= np.median(found[toxic == 1]), 2, 1))
     w, thetas = fit_ordinal(counts, grades, len(names), 3)
     return Model(names, w, thetas)
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """(doc_id, severity, grade, p_toxic, evidence) of every whole text.
+def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, severity, grade, p_toxic, evidence) of every whole text, a row for each row of ``docs``.
 
-    ``severity`` is the expected grade, ``grade`` the likeliest, ``evidence``
-    the occurrences of the model's features.  Null or empty text has
-    no feature and is judged by the thresholds alone.
+    ``severity`` is the expected grade, ``grade`` the likeliest (of equal ones
+    the lowest), ``evidence`` the occurrences of the model's features.  Null
+    or empty text has no feature and is judged by the thresholds alone; null ids
+    stay.  Texts are read whole.  Repeated rows are scored each, and alike.
+    Other columns are ignored, whatever their names; an empty table gives an
+    empty result.
     """
     schema = pa.schema([("doc_id", pa.int64()), ("severity", pa.float64()), ("grade", pa.int32()), ("p_toxic", pa.float64()), ("evidence", pa.int64())])
 
@@ -163,16 +175,21 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             columns = [batch.column(0).cast(pa.int64()), above.sum(axis=1), each.argmax(axis=1).astype(np.int32), above[:, 0], evidence]
             yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], schema=schema)
 
-    return docs.select("doc_id", "text").mapInArrow(run, SCORED)
+    return docs.select(id_col, text_col).mapInArrow(run, SCORED)
+
 
+def drop_toxic(docs: DataFrame, model: Model, threshold: float = 0.5, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose probability of any grade above 0 is below ``threshold``; all columns stay.
 
-def drop_toxic(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
-    """The rows of ``docs`` whose probability of any grade above 0 is below ``threshold``; all columns stay."""
+    Each row is judged by its whole text alone, so repeated rows stay or go
+    together.  Null or empty text has no evidence and is judged by the
+    thresholds; an empty table stays empty.
+    """
     schema = docs.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = batch.schema.get_field_index("text")
+            at = batch.schema.get_field_index(text_col)
             keep = [model.above(model.counts(t.as_py()))[0] < threshold for t in batch.column(at)]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
