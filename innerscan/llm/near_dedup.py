@@ -11,16 +11,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import MIN_LONG, materialize, table, unwrapped, whole_rows
+from .common import MIN_LONG, few, materialize, steady_heap, table, unwrapped, whole_rows
 
 SHINGLE = 5
 BANDS, ROWS = 30, 6
 #: Two sets are linked if 100 * common >= PERCENT * all.
 PERCENT = 85
-#: Members and set elements of a block of a candidate group at about.
+#: Members and set elements of a block of a candidate group at most, at about; groups of up to SPREAD small blocks are cut into those.
 BLOCK_MEMBERS, BLOCK_ELEMENTS = 2_000, 1_500_000
-#: Ids that are broadcast at most to pick texts for verification; beyond it they are joined by a shuffle.
-BROADCAST_IDS = 200_000
+SMALL_MEMBERS, SMALL_ELEMENTS, SPREAD = 200, 150_000, 12
 CACHE_WORDS = 400_000
 
 U = np.uint64
@@ -99,6 +98,7 @@ def sketches(docs: DataFrame, bands: int, rows: int, shingle: int) -> DataFrame:
     schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("digest", pa.binary()), ("bands", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        steady_heap()
         hashes = WordHashes()
         for batch in batches:
             n, d, b = [], [], []
@@ -116,6 +116,7 @@ def sets_of(docs: DataFrame, shingle: int) -> DataFrame:
     """(cid, sg, blocks, found, elements): the full sets of the picked texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        steady_heap()
         hashes = WordHashes()
         for batch in batches:
             sets = [shingle_set(t.as_py(), hashes, shingle) for t in batch.column(4)]
@@ -249,11 +250,11 @@ def near_duplicates(
     groups = components(keys.join(hubs, "key").where("cid <> hub").select(F.col("cid").alias("a"), F.col("hub").alias("b")))
     picked = groups.select(F.col("node").alias("cid"), F.col("component").alias("sg")).join(classes.select("cid", "digest", "n"), "cid")
     picked = materialize(picked, "picked")
-    sizes = picked.groupBy("sg").agg(F.greatest(F.ceil(F.count("*") / BLOCK_MEMBERS), F.ceil(F.sum("n") / BLOCK_ELEMENTS)).cast("int").alias("blocks"))
-    picked = picked.join(sizes, "sg").select("cid", "sg", "blocks", "digest")
-    if picked.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
-        picked = F.broadcast(picked)
-    texts = base.join(picked, base["doc_id"] == F.col("cid"))
+    parts = lambda members, elements: F.greatest(F.ceil(F.count("*") / members), F.ceil(F.sum("n") / elements))
+    blocks = F.greatest(parts(BLOCK_MEMBERS, BLOCK_ELEMENTS), F.least(F.lit(SPREAD), parts(SMALL_MEMBERS, SMALL_ELEMENTS))).cast("int")
+    sizes = picked.groupBy("sg").agg(blocks.alias("blocks"))
+    picked = materialize(picked.join(sizes, "sg").select("cid", "sg", "blocks", "digest"), "placed")
+    texts = base.join(few(picked), base["doc_id"] == F.col("cid"))
     found = components(verified(sets_of(texts, shingle), percent))
     joined = classes.join(found, classes["cid"] == found["node"], "left").select("digest", F.coalesce("component", "cid").alias("component_id"))
     out = sk.select("doc_id", "n_shingles", "digest").join(joined, "digest", "left")
@@ -263,7 +264,11 @@ def near_duplicates(
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """One document of each component: the rows of ``docs`` with its smallest id, all columns kept."""
+    """One document of each component: the rows of ``docs`` with its smallest id, all columns kept.
+
+    A document is an id: rows that repeat an id stay together if theirs is
+    the smallest.  Ids are to be distinct where only one row is wanted.
+    """
     kept = near_duplicates(docs, id_col=id_col, **options).where("kept").select(F.col("doc_id").alias("__kept")).distinct()
     return unwrapped(whole_rows(docs).join(kept, F.col("__row")[id_col].eqNullSafe(F.col("__kept")), "left_semi"), docs.columns)
 
