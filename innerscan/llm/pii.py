@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, materialize, table, ws_strip
+from .common import WS_CHARS, ascii_lower, few, materialize, table
 
 KINDS = ("email", "ip", "card", "phone")
 
@@ -18,15 +18,15 @@ PATTERNS = {
     "card": r"[0-9](?:[\x20-]?+[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
+#: What a text with a match holds at least; cheaper to look for.
+NEEDED = {"email": r"@[A-Za-z0-9-]", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][\x20-]?[0-9]", "phone": r"\+[0-9]"}
 #: A token that may be an identifier: it holds a digit or @; phone and card numbers with their blanks are one.
 CANDIDATE = (
     r"(?<![^\x20\x09-\x0D])(?:\+[0-9][\x20().0-9-]+[0-9]|[0-9](?:[\x20-]?[0-9]){11,18}(?![0-9])"
     r"|[^\x20\x09-\x0D0-9@]*+[0-9@][^\x20\x09-\x0D]*+)"
 )
 LEFT_JUNK, RIGHT_JUNK = "([{<\"'`*_", ")]}>\"'`*_.,;:!?"
-#: Code points before a candidate that its context is taken from.
-CONTEXT = 48
-ROUNDS, MIN_SUPPORT, MIN_PATTERN, MIN_INSTANCE = 3, 3.0, 0.6, 0.7
+ROUNDS, MIN_SUPPORT, MIN_PATTERN, MIN_INSTANCE = 4, 3.0, 0.6, 0.6
 
 
 def digits(c: Column) -> Column:
@@ -55,17 +55,25 @@ def valid(kind: str, value: Column) -> Column:
     return F.lit(True)
 
 
-def located(text: Column, matches: Column, regex: str, build) -> Column:
-    """``build(start, value, gap)`` of each match; start in code points from 0, gap the text since the match before."""
-    gaps = F.split(text, regex, -1)
-    pairs = F.arrays_zip(F.slice(gaps, F.lit(1), F.size(matches)).alias("g"), matches.alias("m"))
-    starts = F.aggregate(
-        pairs,
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out")),
-        lambda a, x: F.struct((a["at"] + F.length(x["g"]) + F.length(x["m"])).alias("at"), F.concat(a["out"], F.array(a["at"] + F.length(x["g"]))).alias("out")),
-        lambda a: a["out"],
+def with_starts(df: DataFrame, matches: str, gaps: str, out: str) -> DataFrame:
+    """Add ``out``: where each match starts, in code points from 0.
+
+    ``gaps`` are the texts between the matches.  The lengths before a match
+    are summed in two levels of about sqrt(n), so a text of very many matches
+    doesn't copy an array for each.
+    """
+    df = df.withColumn("__len", F.zip_with(F.slice(gaps, F.lit(1), F.size(matches)), matches, lambda g, m: F.struct(F.length(g).alias("g"), (F.length(g) + F.length(m)).alias("n"))))
+    df = df.withColumn("__step", F.ceil(F.sqrt(F.size("__len"))).cast("int"))
+    df = df.withColumn("__cut", F.when(F.size("__len") > 0, F.transform(F.sequence(F.lit(1), F.size("__len"), F.col("__step")), lambda i: F.slice("__len", i, F.col("__step")))))
+    state = lambda at, got: F.struct(at.alias("at"), got.alias("out"))
+    begin = state(F.lit(0), F.array().cast("array<int>"))
+    sums = F.transform("__cut", lambda c: F.aggregate(c, F.lit(0), lambda a, x: a + x["n"]))
+    before = F.aggregate(sums, begin, lambda a, n: state(a["at"] + n, F.concat(a["out"], F.array(a["at"]))), lambda a: a["out"])
+    inside = lambda c, at: F.transform(
+        F.aggregate(c, begin, lambda a, x: state(a["at"] + x["n"], F.concat(a["out"], F.array(a["at"] + x["g"]))), lambda a: a["out"]), lambda s: s + at
     )
-    return F.transform(F.arrays_zip(pairs.alias("p"), starts.alias("s")), lambda x: build(x["s"], x["p"]["m"], x["p"]["g"]))
+    starts = F.flatten(F.zip_with("__cut", before, inside))
+    return df.withColumn(out, F.coalesce(F.when(F.size("__len") > 0, starts), F.array().cast("array<int>"))).drop("__len", "__step", "__cut")
 
 
 def span_struct(start: Column, value: Column, kind: str) -> Column:
@@ -77,42 +85,48 @@ def span_struct(start: Column, value: Column, kind: str) -> Column:
 SPANS = "array<struct<start:int,k:int,end:int,kind:string,value:string>>"
 
 
+def gaps(text: str, matches: str, regex: str) -> Column:
+    """The texts between the matches; a text without any is not searched again."""
+    return F.when(F.size(matches) > 0, F.split(text, regex, -1)).otherwise(F.array(text))
+
+
 def with_base(docs: DataFrame, text: str = "__text") -> DataFrame:
     """Add ``base``: the valid spans of the base patterns by start, then kind."""
-    hits = docs.withColumns({f"__{k}": F.regexp_extract_all(text, F.lit(p), 0) for k, p in PATTERNS.items()})
-    one = lambda k: F.when(F.size(f"__{k}") == 0, F.array().cast(SPANS)).otherwise(
-        F.filter(located(F.col(text), F.col(f"__{k}"), PATTERNS[k], lambda s, v, g: span_struct(s, v, k)), lambda x: valid(k, x["value"])).cast(SPANS)
-    )
-    return hits.withColumn("base", F.sort_array(F.concat(*[one(k) for k in KINDS]))).drop(*[f"__{k}" for k in KINDS])
+    for k, p in PATTERNS.items():
+        docs = docs.withColumn("__m", F.when(F.rlike(text, F.lit(NEEDED[k])), F.regexp_extract_all(text, F.lit(p), 0)).otherwise(F.array().cast("array<string>")))
+        docs = with_starts(docs.withColumn("__g", gaps(text, "__m", p)), "__m", "__g", "__s")
+        spans = F.filter(F.zip_with("__s", "__m", lambda s, v: span_struct(s, v, k)), lambda x: valid(k, x["value"]))
+        docs = docs.withColumn(f"__{k}", F.when(F.size("__m") > 0, spans).otherwise(F.array()).cast(SPANS)).drop("__m", "__g", "__s")
+    return docs.withColumn("base", F.sort_array(F.concat(*[f"__{k}" for k in KINDS]))).drop(*[f"__{k}" for k in KINDS])
 
 
 def context(before: Column) -> Column:
     """The two words before, or the one before if it ends with a mark that announces a value; else null."""
-    tail = ws_strip(F.right(before, F.lit(CONTEXT)))
-    words = F.split(ascii_lower(tail), r"[\x20\x09-\x0D]+")
-    last = F.element_at(words, -1)
-    two = F.array_join(F.slice(words, F.size(words) - 1, 2), " ")
-    return F.when(tail == "", None).when(F.rlike(last, F.lit(r"[:=#]$")), last).when(F.size(words) >= 2, two)
+    last = lambda t: F.substring_index(t, " ", -1)
+    short = lambda t: F.rtrim(F.left(t, F.length(t) - F.length(last(t))))
+    words = F.transform(F.array(F.rtrim(F.translate(before, WS_CHARS, " " * len(WS_CHARS)))), lambda t: F.struct(last(t).alias("one"), last(short(t)).alias("two")))
+    two = F.transform(words, lambda w: F.when(F.rlike(w["one"], F.lit(r"[:=#]$")), w["one"]).when((w["one"] != "") & (w["two"] != ""), F.concat_ws(" ", w["two"], w["one"])))
+    return ascii_lower(two[0])
 
 
 def with_candidates(docs: DataFrame, text: str = "__text") -> DataFrame:
     """Add ``candidates`` (start, end, value, pattern): tokens that may be identifiers; one without a context has no pattern."""
-    hits = docs.withColumn("__c", F.regexp_extract_all(text, F.lit(CANDIDATE), 0)).withColumn("__g", F.split(text, CANDIDATE, -1))
+    hits = docs.withColumn("__c", F.when(F.rlike(text, F.lit("[0-9@]")), F.regexp_extract_all(text, F.lit(CANDIDATE), 0)).otherwise(F.array().cast("array<string>")))
+    hits = with_starts(hits.withColumn("__g", gaps(text, "__c", CANDIDATE)), "__c", "__g", "__s")
     none = F.array(F.lit(""))
     # The gap and match before, and one match more, hold two words at least; a match begins a word.
     near = F.arrays_zip(F.concat(none, none, "__c").alias("a"), F.concat(none, "__g").alias("b"), F.concat(none, "__c").alias("c"), F.col("__g").alias("d"))
     patterns = F.transform(F.slice(near, F.lit(1), F.size("__c")), lambda x: context(F.concat(x["a"], x["b"], x["c"], x["d"])))
 
-    def build(start, value, gap):
-        core = F.rtrim(F.ltrim(value, F.lit(LEFT_JUNK)), F.lit(RIGHT_JUNK))
-        at = start + F.length(value) - F.length(F.ltrim(value, F.lit(LEFT_JUNK)))
-        return F.struct(at.cast("int").alias("start"), (at + F.length(core)).cast("int").alias("end"), core.alias("value"))
+    def build(x):
+        right = F.ltrim(x["v"], F.lit(LEFT_JUNK))
+        core, at = F.rtrim(right, F.lit(RIGHT_JUNK)), x["s"] + F.length(x["v"]) - F.length(right)
+        return F.struct(at.cast("int").alias("start"), (at + F.length(core)).cast("int").alias("end"), core.alias("value"), x["p"].alias("pattern"))
 
-    found = F.arrays_zip(located(F.col(text), F.col("__c"), CANDIDATE, build).alias("f"), patterns.alias("p"))
-    found = F.transform(found, lambda x: F.struct(x["f"]["start"].alias("start"), x["f"]["end"].alias("end"), x["f"]["value"].alias("value"), x["p"].alias("pattern")))
+    found = F.transform(F.arrays_zip(F.col("__s").alias("s"), F.col("__c").alias("v"), patterns.alias("p")), build)
     kind = "array<struct<start:int,end:int,value:string,pattern:string>>"
-    found = F.when(F.size("__c") == 0, F.array().cast(kind)).otherwise(found.cast(kind))
-    return hits.withColumn("candidates", F.filter(found, lambda x: x["value"] != "")).drop("__c", "__g")
+    found = F.when(F.size("__c") > 0, F.filter(found, lambda x: x["value"] != "")).otherwise(F.array()).cast(kind)
+    return hits.withColumn("candidates", found).drop("__c", "__g", "__s")
 
 
 def seed_kind(value: Column) -> Column:
@@ -128,23 +142,26 @@ def bootstrap(edges: DataFrame, rounds: int = ROUNDS) -> DataFrame:
 
     ``edges`` are distinct (pattern, value).  Seeds are values of a base kind
     and score 1.  In each round a pattern's confidence for a kind is the
-    scores of its values over their number and one, and a value's score that
-    at least one of its patterns is right.  Only aggregates by pattern or
-    value are joined, so a pattern that very many texts share costs one row.
+    scores of its values, seeds or found before, over their number and one;
+    a value's score is that one of its patterns at least is right.  So a
+    value found in one round can raise a pattern without any seed in the
+    next.  Only aggregates by pattern or value are joined: a pattern that
+    very many texts share costs one row on the one side, and on the other its
+    distinct values, which are split where a join is skewed.
     """
     edges = materialize(edges.withColumn("seed", seed_kind(F.col("value"))), "edges")
-    totals = materialize(edges.groupBy("pattern").agg(F.count("*").alias("n"), F.count("seed").alias("seeds")).where(F.col("seeds") >= MIN_SUPPORT), "patterns")
-    seeds = edges.where("seed is not null").groupBy("pattern", F.col("seed").alias("kind")).agg(F.count("*").cast("double").alias("s"))
-    unseen = materialize(edges.where("seed is null").join(totals.select("pattern"), "pattern", "left_semi").select("pattern", "value"), "unseen")
+    totals = materialize(edges.groupBy("pattern").agg(F.count("*").alias("n")).where(F.col("n") >= MIN_SUPPORT), "patterns")
+    seeds = materialize(edges.where("seed is not null").groupBy("pattern", F.col("seed").alias("kind")).agg(F.count("*").cast("double").alias("s")), "support")
+    unseen = edges.where("seed is null").select("pattern", "value")
     found = None
     for _ in range(rounds):
         support = seeds
         if found is not None:
-            more = unseen.join(found, "value").groupBy("pattern", "kind").agg(F.sum("score").alias("s"))
+            more = unseen.join(few(found), "value").groupBy("pattern", "kind").agg(F.sum("score").alias("s"))
             support = seeds.unionByName(more).groupBy("pattern", "kind").agg(F.sum("s").alias("s"))
-        conf = support.join(totals, "pattern").select("pattern", "kind", "s", (F.col("s") / (F.col("n") + 1)).alias("conf"))
-        good = conf.where((F.col("conf") >= MIN_PATTERN) & (F.col("s") >= MIN_SUPPORT))
-        got = unseen.join(good, "pattern").groupBy("value", "kind").agg((1 - F.exp(F.sum(F.log(1 - F.col("conf"))))).alias("score"))
+        conf = support.where(F.col("s") >= MIN_SUPPORT).join(totals, "pattern").select("pattern", "kind", (F.col("s") / (F.col("n") + 1)).alias("conf"))
+        good = materialize(conf.where(F.col("conf") >= MIN_PATTERN), "good")
+        got = unseen.join(few(good), "pattern").groupBy("value", "kind").agg((1 - F.exp(F.sum(F.log(1 - F.col("conf"))))).alias("score"))
         best = got.groupBy("value").agg(F.max(F.struct("score", "kind")).alias("b")).select("value", "b.kind", "b.score")
         found = materialize(best.where(F.col("score") >= MIN_INSTANCE), "found")
     return found
@@ -170,7 +187,7 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ro
     read = materialize(read, "pii")
     seen = read.select("row", F.explode("candidates").alias("c")).select("row", "c.*")
     found = bootstrap(seen.where("pattern is not null").select("pattern", "value").distinct(), rounds)
-    extra = seen.join(found.withColumnRenamed("kind", "__kind"), "value")
+    extra = seen.join(few(found).withColumnRenamed("kind", "__kind"), "value")
     kind_no = F.array_position(F.array(*map(F.lit, KINDS)), F.col("__kind")).cast("int") - 1
     extra = extra.select("row", F.struct("start", kind_no.alias("k"), "end", F.col("__kind").alias("kind"), "value").alias("s"))
     extra = extra.groupBy("row").agg(F.collect_list("s").alias("extra"))
