@@ -62,13 +62,13 @@ def materialize(df: DataFrame, name: str = "t", partition_by: Sequence[str] = ()
 
 
 def steady_heap() -> None:
-    """Let this process keep what numpy frees, up to 64 MB: paging temporaries in anew costs more than computing them."""
+    """Let this process keep what numpy frees, up to 16 MB: paging temporaries in anew costs more than computing them."""
     try:
         mallopt = ctypes.CDLL(None).mallopt
     except (OSError, AttributeError):  # no such C library: slower, otherwise the same
         return
     for option in (-1, -3):  # trim and map from this size on
-        mallopt(option, 64 << 20)
+        mallopt(option, 16 << 20)
 
 
 def delete(spark: SparkSession, path: str) -> None:
@@ -91,10 +91,10 @@ def few(df: DataFrame, rows: int = FEW_ROWS) -> DataFrame:
 
 def release(spark: SparkSession) -> None:
     """Let go of what is no longer referred to, so that the files of finished shuffles are deleted now, not some time later."""
-    for _ in range(2):  # the driver's Python lets go of the JVM's objects in the first round
+    for wait in (0.5, 0.5, 2):  # the driver's Python lets go of the JVM's objects in the first round; then executors delete
         gc.collect()
         spark.sparkContext._jvm.System.gc()
-        time.sleep(0.5)
+        time.sleep(wait)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import MIN_LONG, materialize, new_path, release, shuffle_partitions, table
+from .common import MIN_LONG, few, forget, materialize, new_path, release, shuffle_partitions, steady_heap, table
 from .near_dedup import U, mix64
 
 LENGTH = 50
@@ -27,8 +27,8 @@ LENGTH = 50
 KEY = 26
 WINDOW = LENGTH - KEY + 1
 HALF = WINDOW // 2
-#: Keys that one task compares, and contexts that one index holds, at about.
-BUCKET_KEYS, INDEX_CONTEXTS = 1_000_000, 30_000
+#: Keys that one task compares, and contexts that one index holds, at about; it never holds more than twice as many.
+BUCKET_KEYS, INDEX_CONTEXTS = 1_000_000, 10_000
 #: The filter of repeated keys is broadcast; it never has more bits than 2 to this power (32 MB).
 FILTER_BITS = 28
 #: Above this share of set bits the filter passes too much and repeated keys are joined exactly.
@@ -45,16 +45,20 @@ def slide(x: np.ndarray, width: int, f) -> np.ndarray:
     return f(out[: len(out) - (width - done)], out[width - done :]) if done < width else out
 
 
-def anchors(b: np.ndarray, out: list[tuple[int, int]] = ()) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(positions, keys, sides): every LENGTH-byte string has the anchor that its content chooses, wherever it stands.
+def anchors(texts: list[bytes], out: list[list[tuple[int, int]]] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(texts, positions, keys, sides): every LENGTH-byte string of a text has the anchor that its content chooses, wherever it stands.
 
-    Strings that start in one of the ranges ``out`` choose none.  ``sides``
+    Strings that start in one of a text's ranges ``out`` choose none.  ``sides``
     are, for each anchor, hashes of its key with the HALF bytes before it and
     with the HALF + 1 after it, 0 where they are not there: a string around an
-    anchor holds the one or the other.
+    anchor holds the one or the other.  Texts are read as one array; strings
+    that lie in two of them choose none.
     """
+    b, lengths = np.frombuffer(b"".join(texts), np.uint8), np.array([len(t) for t in texts], np.int64)
     if len(b) < LENGTH:
-        return np.zeros(0, np.int64), np.zeros(0, U), np.zeros((0, 2), U)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, U), np.zeros((0, 2), U)
+    ends = np.cumsum(lengths)
+    starts, owner = ends - lengths, np.repeat(np.arange(len(texts)), lengths)
     base, h = 0x9E3779B97F4A7C15, {1: b.astype(U) + U(1)}
     power = lambda k: U(pow(base, k, 2**64))
     for k in (1, 2, 4, 8):
@@ -62,18 +66,33 @@ def anchors(b: np.ndarray, out: list[tuple[int, int]] = ()) -> tuple[np.ndarray,
     n = len(b) - KEY + 1
     key = (h[16][:n] * power(8) + h[8][16 : 16 + n]) * power(2) + h[2][24 : 24 + n]
     key = mix64(key)
-    least = slide(key, WINDOW, np.minimum)
-    for start, stop in out:
-        least[start:stop] = 0
-    pad = np.zeros(WINDOW - 1, U)
-    at = np.flatnonzero(slide(np.concatenate([pad, least, pad]), WINDOW, np.maximum) == key)
-    near, sides = key[at], np.zeros((len(at), 2), U)
-    left, right = at >= HALF, at + KEY + HALF + 1 <= len(b)
+    order = (key >> U(32)).astype(np.uint32)  # equal upper halves are anchors all of them
+    least = slide(order, WINDOW, np.minimum)
+    least[owner[: len(least)] != owner[LENGTH - 1 :]] = 0
+    for i, known in enumerate(out or ()):
+        for start, stop in known:
+            least[starts[i] + start : starts[i] + stop] = 0
+    pad = np.zeros(WINDOW - 1, np.uint32)
+    at = np.flatnonzero(slide(np.concatenate([pad, least, pad]), WINDOW, np.maximum) == order)
+    own, near, sides = owner[at], key[at], np.zeros((len(at), 2), U)
+    left, right = at - starts[own] >= HALF, at + KEY + HALF + 1 <= ends[own]
     a = at[left] - HALF
     sides[left, 0] = mix64((near[left] ^ h[8][a]) * U(base) + h[4][a + 8])
     a = at[right] + KEY
     sides[right, 1] = mix64((near[right] + h[8][a]) * U(base) + h[4][a + 8] * U(257) + h[1][a + 12])
-    return at, near, sides
+    return own, at - starts[own], near, sides
+
+
+def portions(texts, size: int = 1 << 16) -> Iterator[range]:
+    """Ranges of row numbers with about ``size`` bytes of text."""
+    start, held = 0, 0
+    for i, t in enumerate(texts):
+        held += len(t)
+        if held >= size:
+            yield range(start, i + 1)
+            start, held = i + 1, 0
+    if start < len(texts):
+        yield range(start, len(texts))
 
 
 def passes(bitmap: np.ndarray, keys: np.ndarray, bits: int) -> np.ndarray:
@@ -144,6 +163,7 @@ def repeated_filter(base: DataFrame, buckets: int, bits: int, known=None) -> np.
     shift = 64 - int(np.log2(buckets))
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pd.DataFrame]:
+        steady_heap()
         held, size = [], 0
         before = None if known is None else np.frombuffer(known.value, np.uint8)
 
@@ -159,12 +179,18 @@ def repeated_filter(base: DataFrame, buckets: int, bits: int, known=None) -> np.
             return pa.RecordBatch.from_arrays(list(table_.values()), names=list(table_))
 
         for batch in batches:
-            for text, later in zip(batch.column(0), batch.column(1)):
-                data = octets(text.as_py())
-                _, keys, sides = anchors(np.frombuffer(data, np.uint8), known_parts(data, later.as_py())[1])
+            texts, later = [octets(t) for t in batch.column(0).to_pylist()], batch.column(1).to_pylist()
+            for part in portions(texts):
+                some = [texts[i] for i in part]
+                own, _, keys, sides = anchors(some, [known_parts(t, later[i])[1] for t, i in zip(some, part)])
                 if before is not None:
-                    keys = sides[passes(before, keys, bits)].ravel()
-                keys = np.unique(keys[keys > 0])
+                    on = passes(before, keys, bits)
+                    own, keys = np.repeat(own[on], 2), sides[on].ravel()
+                order = np.lexsort((keys, own))
+                own, keys = own[order], keys[order]
+                once = np.ones(len(keys), bool)
+                once[1:] = (keys[1:] != keys[:-1]) | (own[1:] != own[:-1])
+                keys = keys[once & (keys > 0)]
                 if len(keys):
                     held.append(keys)
                     size += len(keys)
@@ -209,6 +235,7 @@ def occurrences(base: DataFrame, sent, bits: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
+        steady_heap()
         by_key, by_side = (np.frombuffer(x, np.uint8) for x in sent.value)
         rows: list = []
         met: dict[tuple[int, int], list] = {}
@@ -222,17 +249,16 @@ def occurrences(base: DataFrame, sent, bits: int) -> DataFrame:
                 yield flush(out[i : i + FLUSH_ROWS])
 
         for batch in batches:
-            for i in range(batch.num_rows):
-                data = octets(batch.column(2)[i].as_py())
-                at, keys, sides = anchors(np.frombuffer(data, np.uint8), known_parts(data, batch.column(3)[i].as_py())[1])
+            ids, ths, texts, later = (batch.column(i).to_pylist() for i in range(4))
+            texts = [octets(t) for t in texts]
+            for part in portions(texts):
+                some = [texts[i] for i in part]
+                own, at, keys, sides = anchors(some, [known_parts(t, later[i])[1] for t, i in zip(some, part)])
                 both = [passes(by_side, s, bits) & (s > 0) for s in sides.T]
                 pick = np.flatnonzero(passes(by_key, keys, bits) & (both[0] | both[1]))
-                if not len(pick):
-                    continue
-                doc_id, th = batch.column(0)[i].as_py(), batch.column(1)[i].as_py()
-                for p, k in zip(at[pick].tolist(), keys[pick].view(np.int64).tolist()):
-                    start = max(0, p - WINDOW + 1)
-                    c = data[start : p + LENGTH]
+                for i, p, k in zip((own[pick] + part.start).tolist(), at[pick].tolist(), keys[pick].view(np.int64).tolist()):
+                    doc_id, start = ids[i], max(0, p - WINDOW + 1)
+                    c = texts[i][start : p + LENGTH]
                     h = xxhash.xxh64_intdigest(c, p - start) - (1 << 63)
                     old = met.get((k, h))
                     if old is None:
@@ -241,7 +267,7 @@ def occurrences(base: DataFrame, sent, bits: int) -> DataFrame:
                         old[0] = doc_id
                     elif doc_id > old[1]:
                         old[1] = doc_id
-                    rows.append((doc_id, th, start, k, h, len(c), None, None))
+                    rows.append((doc_id, ths[i], start, k, h, len(c), None, None))
                 if len(rows) >= FLUSH_ROWS:
                     yield flush(rows)
                     rows = []
@@ -333,6 +359,26 @@ def earlier_windows(texts: list[bytes], owners: np.ndarray) -> np.ndarray:
     return out
 
 
+def alike_windows(texts: list[bytes], left: np.ndarray, owners: np.ndarray) -> np.ndarray:
+    """The same for texts that share a key at ``left``, for the strings that hold it: place by place, in little memory.
+
+    Equal strings have their anchors at equal places, so those that start as
+    far before the key are sorted together.
+    """
+    lengths, out = np.array([len(t) for t in texts]), np.zeros(len(texts), np.int64)
+    for before in range(WINDOW):
+        at = left - before
+        on = np.flatnonzero((at >= 0) & (at + LENGTH <= lengths))
+        if len(on) > 1:
+            strings = np.array([texts[i][at[i] : at[i] + LENGTH] for i in on], f"S{LENGTH}")
+            group = np.unique(strings, return_inverse=True)[1]
+            least = np.full(group.max() + 1, np.iinfo(np.int64).max)
+            np.minimum.at(least, group, owners[on])
+            hit = on[least[group] < owners[on]]
+            out[hit] |= np.int64(1) << at[hit]
+    return out
+
+
 def judged(contexts: DataFrame) -> DataFrame:
     """(key, h, d0, starts, ends): of each context the spans, in its first document, that an earlier document holds.
 
@@ -341,7 +387,7 @@ def judged(contexts: DataFrame) -> DataFrame:
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.groupby(["key", "h"], sort=True).agg(d0=("d0", "min"), last=("last", "max"), left=("left", "first"), context=("context", "first")).reset_index()
-        texts, left, d0 = pdf["context"].tolist(), pdf["left"].to_numpy(), pdf["d0"].to_numpy()
+        texts, left, d0, keys = pdf["context"].tolist(), pdf["left"].to_numpy(), pdf["d0"].to_numpy(), pdf["key"].tolist()
         sides = [
             [t[i - HALF : i + KEY] if i >= HALF else None for t, i in zip(texts, left)],
             [t[i : i + KEY + HALF + 1] if len(t) >= i + KEY + HALF + 1 else None for t, i in zip(texts, left)],
@@ -351,13 +397,13 @@ def judged(contexts: DataFrame) -> DataFrame:
         counts = [Counter(s) for s in sides]
         alike = [np.array([x is not None and c[x] > 1 for x in s], bool) for s, c in zip(sides, counts)]
         near = np.flatnonzero(alike[0] | alike[1])
-        if len(near) > 2 * INDEX_CONTEXTS:
+        if len(near) > 2 * INDEX_CONTEXTS:  # cut by shared sides; those that too many share are compared without an index
             chunks = []
-            for s, a in zip(sides, alike):
-                order = sorted(np.flatnonzero(a).tolist(), key=lambda i: s[i])
+            for s, a, shared in zip(sides, alike, counts):
+                order = sorted(np.flatnonzero(a).tolist(), key=lambda i: (keys[i], s[i]))
                 chunk: list = []
                 for j, i in enumerate(order):
-                    if len(chunk) >= INDEX_CONTEXTS and s[i] != s[order[j - 1]]:
+                    if (len(chunk) >= INDEX_CONTEXTS or shared[s[i]] > INDEX_CONTEXTS or shared[s[order[j - 1]]] > INDEX_CONTEXTS) and s[i] != s[order[j - 1]]:
                         chunks.append(chunk)
                         chunk = []
                     chunk.append(i)
@@ -367,7 +413,8 @@ def judged(contexts: DataFrame) -> DataFrame:
         for chunk in chunks:
             if len(chunk) > 1:
                 at = np.array(chunk)
-                masks[at] |= earlier_windows([texts[i] for i in chunk], d0[at])
+                some = [texts[i] for i in chunk]
+                masks[at] |= earlier_windows(some, d0[at]) if len(chunk) <= 2 * INDEX_CONTEXTS else alike_windows(some, left[at], d0[at])
         starts, ends = [], []
         for m in masks.tolist():
             s, e = [], []
@@ -410,16 +457,19 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     base = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(MIN_LONG)).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     base = base.withColumn("th", F.xxhash64("text"))
     parts = materialize(unit_rows(base), "parts")
-    first = parts.groupBy("unit").agg(F.min("doc_id").alias("d0"), F.max("doc_id").alias("last")).where("d0 < last").select("unit", "d0")
-    later = parts.join(first, "unit").where("doc_id > d0").groupBy("doc_id", "th").agg(F.collect_set("no").alias("later"))
+    # written, so that the join is planned for itself: a unit that very many documents have is split or broadcast
+    first = materialize(parts.groupBy("unit").agg(F.min("doc_id").alias("d0"), F.max("doc_id").alias("last")).where("d0 < last").select("unit", "d0"), "first")
+    later = parts.join(few(first), "unit").where("doc_id > d0").groupBy("doc_id", "th").agg(F.collect_set("no").alias("later"))
     later = materialize(later, "later")
+    forget(parts, first)
     release(spark)
     # the texts lie in buckets by document from here on, so they are not shuffled again
     n, name = shuffle_partitions(spark), f"texts_{uuid.uuid4().hex}"
     joined = base.repartition(n, "doc_id", "th").join(later, ["doc_id", "th"], "left")
     joined.write.bucketBy(n, "doc_id", "th").format("parquet").option("path", new_path(spark, "texts")).saveAsTable(name)
     base = spark.table(name)
-    del joined, first, later
+    forget(later)
+    del joined, first, later, parts
     release(spark)
     total = (base.agg(F.sum(F.octet_length("text"))).first()[0] or 0) * 2 // (WINDOW + 1)
     buckets = 16
@@ -447,6 +497,7 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     hit = occ.select("key", "h", "doc_id", "th", "at", "n").join(found, ["key", "h"]).withColumn("x", F.explode(F.when(F.col("doc_id") > F.col("d0"), whole).otherwise(own)))
     spans = hit.groupBy("doc_id", "th").agg(F.collect_list(F.col("at") + F.col("x.s")).alias("starts"), F.collect_list(F.col("at") + F.col("x.e")).alias("ends"))
     spans = materialize(spans, "spans")
+    forget(rows, found)
     release(spark)
     return base.join(spans, ["doc_id", "th"], "left").select("doc_id", "th", "text", "later", "starts", "ends")
 
