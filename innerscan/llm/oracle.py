@@ -114,3 +114,42 @@ SELECT doc_id, count(b) AS n_bytes, CAST(coalesce(sum(gone), 0) AS BIGINT) AS n_
        sha256(unhex(coalesce(string_agg(b, '' ORDER BY p) FILTER (gone = 0), ''))) AS kept_sha256
 FROM (SELECT doc_id FROM documents) LEFT JOIN runs USING (doc_id) GROUP BY doc_id
 """
+
+FILTER_AUDIT = r"""
+WITH worded AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t,
+         list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
+  FROM documents
+), judged AS (
+  SELECT doc_id, part,
+         (len(w) < 100)::INT + 2 * (100 * len(list_distinct(w)) < 80 * len(w))::INT
+         + 4 * (100 * length(regexp_replace(t, '[^A-Z]+', '', 'g')) > 10 * length(t))::INT
+         + 8 * regexp_matches(t, '[#$%&*|]')::INT + 16 * (doc_id > min(doc_id) OVER (PARTITION BY t))::INT AS mask
+  FROM worded
+), known AS (
+  SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id
+), cells AS (
+  SELECT part, mask, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic
+  FROM judged LEFT JOIN known USING (doc_id) GROUP BY part, mask
+), f AS (
+  SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS c, unnest([1, 2, 4, 8, 16]) AS b
+), orders AS (
+  SELECT v.c || w.c || x.c || y.c || z.c AS filter_order, [v.b, w.b, x.b, y.b, z.b] AS bits
+  FROM f v, f w, f x, f y, f z WHERE v.b + w.b + x.b + y.b + z.b = 31 AND len(list_distinct([v.b, w.b, x.b, y.b, z.b])) = 5
+), steps AS (
+  SELECT filter_order, i AS step, bits[i] AS own, coalesce(list_sum(bits[1:i - 1]), 0)::INT AS prior
+  FROM orders, range(1, 6) r(i)
+), shares AS (
+  SELECT part, b, sum(n * (120 // greatest(1, bit_count(mask)))) FILTER (mask & b <> 0) AS shapley FROM cells, f GROUP BY part, b
+)
+SELECT c.part, filter_order, CAST(step AS INT) AS step,
+       CAST(coalesce(sum(n) FILTER (mask & (own | prior) = 0), 0) AS BIGINT) AS kept,
+       CAST(coalesce(sum(n) FILTER (mask & own <> 0 AND mask & prior = 0), 0) AS BIGINT) AS removed,
+       CAST(coalesce(sum(n) FILTER (mask & own <> 0 AND mask & prior <> 0), 0) AS BIGINT) AS redundant,
+       CAST(coalesce(sum(n) FILTER (mask = own), 0) AS BIGINT) AS unique_fails,
+       CAST(coalesce(sum(good) FILTER (mask & own <> 0 AND mask & prior = 0), 0) AS BIGINT) AS good_lost,
+       CAST(coalesce(sum(toxic) FILTER (mask & own <> 0 AND mask & prior = 0), 0) AS BIGINT) AS toxic_lost,
+       CAST(coalesce(any_value(shapley), 0) AS BIGINT) AS shapley
+FROM cells c, steps JOIN shares s ON s.part = c.part AND s.b = own
+GROUP BY c.part, filter_order, step
+"""

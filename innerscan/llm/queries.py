@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bm25, chat, fingerprints, line_dedup, mixing, near_dedup, oracle, packing, pii, substring_dedup, toxicity
+from . import bm25, chat, filter_audit, fingerprints, line_dedup, mixing, near_dedup, oracle, packing, pii, secrets, substring_dedup, toxicity, whitening
 
 
 def queries() -> dict:
@@ -17,6 +17,9 @@ def queries() -> dict:
         "op8_toxicity": toxicity.op8_toxicity,
         "op9_chat": chat.op9_chat,
         "op10_fingerprints": fingerprints.op10_fingerprints,
+        "op11_secrets": secrets.op11_secrets,
+        "op12_whitening": whitening.op12_whitening,
+        "op13_filter_audit": filter_audit.op13_filter_audit,
     }
 
 
@@ -26,4 +29,5 @@ def oracle_sql() -> dict[str, str]:
         "op5_line_dedup": oracle.LINE_DEDUP,
         "op6_minhash": oracle.MINHASH,
         "op7_mixing": oracle.MIXING,
+        "op13_filter_audit": oracle.FILTER_AUDIT,
     }

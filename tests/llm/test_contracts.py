@@ -18,7 +18,8 @@ def rows(spark):
 def test_matches_sql(spark, name):
     df = queries.queries()[name](spark, SF)
     duck = duckdb.connect()
-    duck.sql(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
+    for t in ("documents", "labels"):
+        duck.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     want = duck.sql(queries.oracle_sql()[name])
     columns = sorted(df.columns)
     assert columns == sorted(want.columns)
