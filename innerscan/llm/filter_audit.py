@@ -14,7 +14,7 @@ from itertools import permutations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import MIN_LONG, split_words, table
+from .common import MIN_LONG, materialize, split_words, table
 
 FILTERS = "ABCDE"
 CELLS = 1 << len(FILTERS)
@@ -57,9 +57,11 @@ def failure_masks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(part_col), F.lit("")).alias("part"), text.alias("__text"))
     judged = rows.select("doc_id", "part", own.alias("__own"), F.unhex(F.sha2("__text", 256)).alias("__key"))
     order = F.coalesce(F.col("doc_id"), F.lit(MIN_LONG))
-    firsts = judged.groupBy("__key").agg(F.min(order).alias("__first"))
+    firsts = judged.groupBy("__key").agg(F.min(order).alias("__first"), F.count("*").alias("__n")).where("__n > 1").drop("__n")
+    # written, so that the join deals both sides itself and may split a key that a third of the rows have
+    firsts = materialize(firsts, "firsts")
     mask = F.col("__own") + F.when(order > F.col("__first"), bit("E")).otherwise(0)
-    return judged.join(firsts, "__key").select("doc_id", "part", mask.cast("int").alias("mask"))
+    return judged.join(firsts, "__key", "left").select("doc_id", "part", mask.cast("int").alias("mask"))
 
 
 def mask_cells(masks: DataFrame, labels: DataFrame) -> DataFrame:
