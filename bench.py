@@ -20,6 +20,9 @@ from innerscan.storage import shared_dir
 
 SF = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 CPUS = os.environ.get("BENCH_CPUS", "8")
+#: Rows of the table that is grown from the vectors at hand.
+LARGE = 100_000
+# The configuration of the published measurements.
 SWEEP_K, SWEEP_EF = 50, (0, 10, 20, 30, 40, 50, 75, 100, 150, 200, 250, 300)
 CORE = ["exact_topk_ip", "exact_topk_sql", "norm_pruned_topk", "norm_chunks", "srp_tables", "srp_seeds", "lsh_only_topk", "lsh_window_graph", "norm_band_graph", "cross_chunk_join"]
 
@@ -30,31 +33,35 @@ def seconds(make) -> float:
     return round(time.perf_counter() - began, 3)
 
 
-def measured(graph, q, truth, k: int, **options) -> tuple[float, dict]:
-    """Seconds of a search, and its recall, ratio and mean cost."""
+def measured(ix, q, truth, k: int, **options) -> tuple[float, dict]:
+    """Seconds of a search; its recall, ratio, mean products and mean groups entered for a query."""
     began = time.perf_counter()
-    got = search.search(graph, q, k, search_min=50, with_cost=True, **options).persist()
+    got = search.search(ix, q, k, search_min=50, with_cost=True, **options).persist()
     got.count()
     took = round(time.perf_counter() - began, 3)
     row = metrics.recall_ratio(got, truth, k).first()
-    cost = got.select("qid", "cost").distinct().agg(F.avg("cost")).first()[0]
+    cost = got.groupBy("qid").agg(F.first("cost").alias("cost"), F.first("groups").alias("groups")).agg(F.avg("cost").alias("cost"), F.avg("groups").alias("groups")).first()
     got.unpersist()
-    return took, {"recall": round(row["recall"], 4), "ratio": round(row["ratio"], 4), "cost": cost}
+    return took, {"recall": round(row["recall"], 4), "ratio": round(row["ratio"], 4), "cost": cost["cost"], "groups": cost["groups"]}
+
+
+def grown(base, copies: int, by: float = 0.05):
+    """``base`` ``copies`` times over, each copy with its own noise: for sizes at which a graph decides something."""
+    copied = base.withColumn("c", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))))
+    noise = lambda x, i: x + by * (F.pmod(F.xxhash64("vec_id", "c", i), F.lit(2001)) / 1000.0 - 1.0)
+    return copied.select((F.col("vec_id") * copies + F.col("c")).alias("vec_id"), F.transform("embedding", noise).alias("embedding"))
 
 
 def searches(spark: SparkSession) -> tuple[dict, dict, dict]:
-    """Build time, search times and quality on one saved index; the sweep of ef at k = 50 with and without cross-chunk edges."""
+    """Build time, search times and quality on one saved index; the sweep of ef at k = 50 with and without cross-chunk edges; larger tables."""
     base, q = core.fixture(spark, SF)
     truth = topk.exact_topk(base, q, SWEEP_K).persist()
     path = f"{shared_dir(spark)}/bench-{os.getpid()}"
-    times, quality, sweep = {}, {}, {}
+    times, quality, sweep, indexes = {}, {}, {}, {}
     for name, normal in (("build_index", False), ("build_index_normal_edges", True)):
         began = time.perf_counter()
-        index.save_index(index.build_index(base, index.IndexParams(build_min=32, normal_edges=normal), core.DIM), f"{path}-{normal}")
+        indexes[normal] = index.build_index(base, index.IndexParams(build_min=32, normal_edges=normal), f"{path}-{normal}", core.DIM)
         times[name] = round(time.perf_counter() - began, 3)
-    graphs = {normal: index.load_index(spark, f"{path}-{normal}").persist() for normal in (False, True)}
-    for graph in graphs.values():
-        graph.count()
     for name, normal, options in (
         ("pruned_beam_ef0", False, dict(ef=0)),
         ("pruned_beam_ef50", False, dict(ef=50)),
@@ -66,11 +73,22 @@ def searches(spark: SparkSession) -> tuple[dict, dict, dict]:
         ("few_seeds_ef50_normal_edges", True, dict(ef=50, ub=20, normal_edges=True)),
         ("lsh_only", False, dict(entry="lsh")),
     ):
-        times[name], quality[name] = measured(graphs[normal], q, truth, core.K, **options)
+        times[name], quality[name] = measured(indexes[normal], q, truth, core.K, **options)
     for normal in (False, True):
         for ef in SWEEP_EF:
-            took, row = measured(graphs[normal], q, truth, SWEEP_K, ef=ef, normal_edges=normal)
+            took, row = measured(indexes[normal], q, truth, SWEEP_K, ef=ef, normal_edges=normal)
             sweep[f"ef{ef}{'_normal_edges' if normal else ''}"] = {"seconds": took} | row
+    large = f"{path}-large-base"
+    grown(base, LARGE // max(1, base.count())).write.parquet(large)
+    more = spark.read.parquet(large)
+    began = time.perf_counter()
+    ix = index.build_index(more, index.IndexParams(), f"{path}-large", core.DIM)
+    times["large_build_index"] = round(time.perf_counter() - began, 3)
+    times["large_exact_topk"] = seconds(lambda: topk.exact_topk(more, q, core.K))
+    times["large_norm_pruned_topk"] = seconds(lambda: topk.exact_topk(more, q, core.K, prune=True))
+    truth = topk.exact_topk(more, q, core.K).persist()
+    for name, options in (("large_pruned_beam_ef50", dict(ef=50)), ("large_norm_pruned_beam_ef50", dict(ef=50, z=None)), ("large_pruned_beam_few_seeds", dict(ef=50, ub=20))):
+        times[name], quality[name] = measured(ix, q, truth, core.K, **options)
     return times, quality, sweep
 
 

@@ -116,9 +116,9 @@ def may_reach(norm_: Column, threshold: Column) -> Column:
     return norm_ >= threshold
 
 
-def angle_may_reach(diff: Column, norm_: Column, threshold: Column, z: float | None = 3.0) -> Column:
+def angle_may_reach(diff: Column, norm_: Column, threshold: Column, z: float | None = 3.0, bits: int = 64) -> Column:
     """Angle predicate: the estimate reaches the threshold."""
-    return estimated_ip(diff, norm_, z) >= threshold
+    return estimated_ip(diff, norm_, z, bits) >= threshold
 
 
 def same_elements(a: Column) -> Column:

@@ -1,140 +1,108 @@
-"""Approximate search: seeds by hash, best-first search in the graph, pruning by norm and angle.
+"""Approximate search: seeds by hash, best-first search in the graph, pruning by norm and angle, a wave for each chunk.
 
-A group (chunk, shard) is one Arrow kernel; large chunks are dealt over
-shards with a graph each, so a group's memory has a bound.
+An index holds a shard as one row, so a wave reads a chunk's shards where
+they lie and joins them with one row that holds the queries still alive: no
+embedding is shuffled.
 """
 
 from __future__ import annotations
 
-import heapq
+from collections.abc import Iterator
+from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from ..functions.vectors import cosine_table
+from ..functions.vectors import EPS, as_double, cosine_table, norm
 from ..storage import written
-from .srp import BITS, LEVELS, SEED, TABLES, TOP, pack, projections
-from .topk import PARTIAL, best, exact_topk, query_blocks, rank_by_ip, stack
+from .srp import pack, projections
+from .topk import QUERY_BLOCK_BYTES, exact_topk, rank_by_ip
+from .walk import Shard
 
-RECORD = "chunk int, shard int, vec_id bigint, norm double, h0 int, h1 int, h2 int, h3 int, nbrs array<bigint>, embedding array<double>"
+FOUND = "qid bigint, chunk int, shard int, cost bigint, ids array<bigint>, ips array<double>"
+RESULT = "qid bigint, rank int, vec_id bigint, ip double"
 
 
-class Group:
-    """A chunk's vectors, hashes and edges in memory, members in order of descending norm."""
+@dataclass
+class Wave:
+    """What a wave did: queries that were alive, groups (query, shard) entered and products computed."""
 
-    def __init__(self, pdf: pd.DataFrame):
-        pdf = pdf.sort_values(["norm", "vec_id"], ascending=[False, True])
-        self.ids, self.x, self.norm = pdf["vec_id"].to_numpy(), stack(pdf["embedding"]), pdf["norm"].to_numpy()
-        self.h = pdf[["h0", "h1", "h2", "h3"]].to_numpy()
-        at = {v: i for i, v in enumerate(self.ids)}
-        self.nbrs = [np.array([at[int(v)] for v in (row if row is not None else ()) if int(v) in at], np.int64) for row in pdf["nbrs"]]
+    block: int
+    chunk: int
+    queries: int
+    groups: int
+    products: int
 
-    def at(self, ids: np.ndarray) -> np.ndarray:
-        """Members with these ids."""
-        order = np.argsort(self.ids)
-        place = np.minimum(np.searchsorted(self.ids[order], ids), len(order) - 1)
-        return order[place[self.ids[order][place] == ids]]
 
-    def seeds(self, hq: np.ndarray, ub: int) -> np.ndarray:
-        """Members in the smallest windows around the query's words that hold ``ub`` entries."""
-        for level in range(-1, LEVELS):
-            if level < 0:
-                hit = self.h == hq
-            else:
-                low = (hq >> level) << level
-                hit = (self.h >= low) & (self.h <= np.minimum(low + (1 << level), TOP))
-            if hit.sum() >= ub or level == LEVELS - 1:
-                break
-        table, member = np.nonzero(hit.T)
-        order = np.lexsort((member, self.h[member, table], table))
-        return pd.unique(member[order])[: ub + 1]
-
-
-def beam(g: Group, q: np.ndarray, hq: np.ndarray, start: np.ndarray, k: int, ef: int, norm_prune: bool, cos: np.ndarray | None):
-    """Best-first search with a pool of k + ef; (members, inner products, products computed)."""
-    pool, cost = k + ef, len(start)
-    seen = np.zeros(len(g.ids), bool)
-    seen[start] = True
-    ips = g.x[start] @ q
-    top = [(ip, -g.ids[i], i) for ip, i in zip(ips, start)]
-    heapq.heapify(top)
-    while len(top) > pool:
-        heapq.heappop(top)
-    best_k = heapq.nlargest(k, (ip for ip, _, _ in top))[::-1]  # ascending, so a heap
-    todo = [(-ip, i) for ip, _, i in top]
-    heapq.heapify(todo)
-    while todo:
-        ip, v = heapq.heappop(todo)
-        if len(top) >= pool and -ip < top[0][0]:
-            break
-        near = g.nbrs[v][~seen[g.nbrs[v]]]
-        if not len(near):
-            continue
-        seen[near] = True
-        if len(best_k) >= k:  # only the k-th best is a safe bound
-            bound = best_k[0]
-            if norm_prune:
-                near = near[g.norm[near] >= bound]
-            if cos is not None and len(near):
-                diff = np.bitwise_count(g.h[near] ^ hq).sum(axis=1)
-                near = near[g.norm[near] * cos[diff] >= bound]
-        cost += len(near)
-        for ip, i in zip(g.x[near] @ q, near):
-            if len(top) < pool or ip > top[0][0]:
-                heapq.heappush(top, (ip, -g.ids[i], i))
-                heapq.heappush(todo, (-ip, i))
-                if len(best_k) < k:
-                    heapq.heappush(best_k, ip)
-                elif ip > best_k[0]:
-                    heapq.heapreplace(best_k, ip)
-                if len(top) > pool:
-                    heapq.heappop(top)
-    return np.array([t[2] for t in top], np.int64), np.array([t[0] for t in top]), cost
-
-
-def group_kernel(qids, q, floor, also, k, ef, search_min, ub, entry, norm_prune, z, tables, bits, seed):
-    """``also``: for a group (chunk, shard) the ids that each query (its place) begins with besides its seeds."""
-    proj = projections(q.shape[1], tables, bits, seed)
-    hashes = pack(q, proj, tables, bits)
-    cos = None if z is None else np.array(cosine_table(tables * bits, z))
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        g, out = Group(pdf), []
-        linked = (also or {}).get((int(pdf["chunk"].iloc[0]), int(pdf["shard"].iloc[0])), {})
-        for i, qid in enumerate(qids):
-            if floor is not None and floor[i] > g.norm[0]:
-                continue
-            if len(g.ids) < search_min:
-                members, ips, cost = np.arange(len(g.ids)), g.x @ q[i], len(g.ids)
+@dataclass
+class Trace:
+    """Filled by :func:`search`: its waves, and (qid, chunk) of the groups of queries that each wave searched."""
+
+    waves: list[Wave] = field(default_factory=list)
+    entered: DataFrame | None = None
+
+
+def unit_queries(queries: DataFrame) -> DataFrame:
+    """(qid, qv, length): vectors of length 1 and their own lengths; a zero vector stays zero, a null one is left out."""
+    q = queries.select("qid", as_double(F.col("qv")).alias("__v")).where("__v is not null").withColumn("length", norm(F.col("__v")))
+    return q.select("qid", F.transform("__v", lambda x: x / (F.col("length") + F.lit(EPS))).alias("qv"), "length")
+
+
+def searcher(k, ef, search_min, ub, entry, norm_prune, z, step, p):
+    """The kernel of a wave: shards joined with the row of queries (qids, qvs, floors, starts)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                yield one(batch, i)
+
+    def one(batch: pa.RecordBatch, i: int) -> pa.RecordBatch:
+        g, asked = Shard.unpacked(batch, i), batch.column("asked")[i].values
+        qids, floors = (asked.field(f).to_numpy(zero_copy_only=False) for f in ("qid", "floor"))
+        q = asked.field("qv").flatten().to_numpy(zero_copy_only=False).reshape(len(qids), -1)
+        also = asked.field("starts")
+        words = pack(q, projections(q.shape[1], p.tables, p.bits, p.seed), p.tables, p.bits)
+        cos = None if z is None else np.array(cosine_table(p.tables * p.bits, z))
+        found, costs = [], []
+        for at in range(0, len(qids), g.block()):
+            on = slice(at, at + g.block())
+            if g.n < search_min:
+                f = g.scan(q[on], k)
             else:
-                start = np.zeros(1, np.int64) if entry == "top" else g.seeds(hashes[i], ub)
-                if i in linked:
-                    start = pd.unique(np.concatenate([start, g.at(linked[i])]))
+                starts = [np.zeros(1, np.int64)] * len(q[on]) if entry == "top" else g.seeds(words[on], ub)
+                for j in range(len(starts)):
+                    if also[at + j].is_valid and len(also[at + j].values):
+                        more = g.places(also[at + j].values.to_numpy())
+                        starts[j] = np.concatenate([starts[j], more[~np.isin(more, starts[j])]])
                 if entry == "lsh":
-                    members, ips, cost = start, g.x[start] @ q[i], len(start)
+                    f = g.walk(q[on], None, starts, k, max(map(len, starts)), step=0)
                 else:
-                    members, ips, cost = beam(g, q[i], hashes[i], start, k, ef, norm_prune, cos)
-            keep = best(ips, g.ids[members], k)
-            out.append(pd.DataFrame({"qid": qid, "vec_id": g.ids[members][keep], "ip": ips[keep], "cost": cost}))
-        return pd.concat(out) if out else pd.DataFrame({"qid": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64), "ip": np.zeros(0), "cost": np.zeros(0, np.int64)})
+                    f = g.walk(q[on], words[on], starts, k, ef, floors[on], norm_prune, cos, step)
+            f = g.best(f, k)
+            found.append((f.query + at, g.ids[f.member], f.ip))
+            costs.append(f.cost)
+        who, ids, ips = (np.concatenate(c) for c in zip(*found))
+        offsets = np.searchsorted(who, np.arange(len(qids) + 1)).astype(np.int32)
+        same = lambda name: pa.array(np.full(len(qids), batch.column(name)[i].as_py(), np.int32))
+        columns = [pa.array(qids), same("chunk"), same("shard"), pa.array(np.concatenate(costs).astype(np.int64)), pa.ListArray.from_arrays(offsets, pa.array(ids)), pa.ListArray.from_arrays(offsets, pa.array(ips))]
+        return pa.RecordBatch.from_arrays(columns, names=["qid", "chunk", "shard", "cost", "ids", "ips"])
 
     return run
 
 
-def linked_starts(records: DataFrame, found: DataFrame, qids: np.ndarray) -> dict:
-    """{(chunk, shard): {place of the query: ids}}: what (qid, vec_id) are linked with in chunks after the first."""
-    to = records.where("chunk = 0").join(found, "vec_id").select("qid", F.explode("nbrs").alias("vec_id")).distinct()
-    met = records.where("chunk > 0").select("chunk", "shard", "vec_id").join(to, "vec_id").toPandas()
-    place, out = {q: i for i, q in enumerate(qids.tolist())}, {}
-    for (chunk, shard, qid), ids in met.groupby(["chunk", "shard", "qid"])["vec_id"]:
-        out.setdefault((int(chunk), int(shard)), {})[place[qid]] = ids.to_numpy()
-    return out
+def alive(queries: DataFrame, best: DataFrame | None, k: int, max_norm: float | None) -> DataFrame:
+    """(qid, qv, floor): the queries that a chunk of this largest norm can still improve, with their k-th best product so far."""
+    if best is None:
+        return queries.select("qid", "qv", F.lit(float("-inf")).alias("floor"))
+    kth = best.where(F.col("rank") == k).select("qid", F.col("ip").alias("floor"))
+    out = queries.join(kth, "qid", "left").select("qid", "qv", F.coalesce("floor", F.lit(float("-inf"))).alias("floor"))
+    return out if max_norm is None else out.where(F.col("floor") <= F.lit(max_norm))
 
 
 def search(
-    graph: DataFrame,
+    index,
     queries: DataFrame,
     k: int,
     ef: int = 50,
@@ -146,46 +114,75 @@ def search(
     stop_by_norm: bool = True,
     with_cost: bool = False,
     normal_edges: bool = False,
-    tables: int = TABLES,
-    bits: int = BITS,
-    seed: int = SEED,
+    step: int = 1,
+    trace: Trace | None = None,
+    block_bytes: int = QUERY_BLOCK_BYTES,
 ) -> DataFrame:
-    """(qid, rank, vec_id, ip) of unit queries (qid, qv) over graph records.
-
-    Two waves: the chunk of the largest norms gives each query its k-th best
-    product so far; the other chunks are searched by the queries that their
-    largest norm can still improve.  ``entry`` is "srp" (hash seeds), "top"
-    (the largest norm of the chunk) or "lsh" (seeds only, no graph).  Chunks
+    """(qid, rank, vec_id, ip) of queries (qid, qv) of any length in an :class:`~innerscan.plans.index.Index`.
+
+    Queries are searched as unit vectors, for which bounds by norm hold, and
+    products are multiplied back.  Chunks are taken in order of their largest
+    norm, a wave each; a query is in a wave if the chunk's largest norm can
+    still reach its k-th best product, which every wave raises and which
+    prunes within the next.  ``entry`` is "srp" (hash seeds), "top" (the
+    largest norm of the shard) or "lsh" (seeds only, no graph).  Shards
     smaller than ``search_min`` are scanned.  With ``norm_prune=False`` and
     ``z=None`` nothing is pruned.  With ``normal_edges`` (and an index built
-    with them) the second wave also begins at the neighbours that a query's
-    results of the first have in the other chunks: at most k times the links
-    of a vertex for each query of a block.
+    with them) a wave also begins at what a query's results in earlier chunks
+    are linked with in this one.  ``with_cost`` adds the products computed for
+    a query and the shards entered; ``trace`` receives the waves.
+
+    The queries of a block, ``block_bytes`` of vectors at most, are one row,
+    which is broadcast.
     """
-    schema = f"{PARTIAL}, cost bigint"
-    records = graph.select("chunk", "shard", "vec_id", "norm", "h0", "h1", "h2", "h3", "nbrs", "embedding")
-    out = None
-    for qids, q in query_blocks(queries):
-        args = (k, ef, search_min, ub, entry, norm_prune, z, tables, bits, seed)
-        first = written(records.where("chunk = 0").groupBy("chunk", "shard").applyInPandas(group_kernel(qids, q, None, None, *args), schema))
-        best_of = rank_by_ip(first.select("qid", "vec_id", "ip"), k)
-        floor = also = None
-        if stop_by_norm:
-            kth = best_of.where(F.col("rank") == k).select("qid", "ip").toPandas()
-            known = dict(zip(kth["qid"], kth["ip"]))
-            floor = np.array([known.get(i, -np.inf) for i in qids])
-        if normal_edges:
-            also = linked_starts(records, best_of.select("qid", "vec_id"), qids)
-        rest = records.where("chunk > 0").groupBy("chunk", "shard").applyInPandas(group_kernel(qids, q, floor, also, *args), schema)
-        part = first.unionByName(rest)
-        out = part if out is None else out.unionByName(part)
-    if out is None:
-        return graph.sparkSession.createDataFrame([], "qid bigint, rank int, vec_id bigint, ip double")
-    ranked = rank_by_ip(out.select("qid", "vec_id", "ip"), k).select("qid", "rank", "vec_id", "ip")
+    spark = index.spark
+    units = written(unit_queries(queries))
+    size = units.agg(F.count("*").alias("n"), F.max(F.size("qv")).alias("dim")).first()
+    blocks = max(1, -(-size["n"] * 8 * (size["dim"] or 1) // block_bytes))
+    kernel = searcher(k, ef, search_min, ub, entry, norm_prune, z, step, index.params)
+    chunks = index.chunks() if size["n"] else []
+    ranked, costs, entered = [], [], []
+    for b in range(blocks):
+        mine = units.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == b) if blocks > 1 else units
+        best = None
+        for c in chunks:
+            if best is not None and stop_by_norm:
+                state = best.agg(F.countDistinct("qid").alias("known"), F.count(F.when(F.col("rank") == k, 1)).alias("full"), F.min(F.when(F.col("rank") == k, F.col("ip"))).alias("low")).first()
+                if state["full"] == state["known"] > 0 and state["low"] > c["max_norm"] and state["known"] == mine.count():
+                    break
+            seen = Observation()  # counts are taken as the wave is written
+            got = wave(index, alive(mine, best, k, c["max_norm"] if stop_by_norm else None), best, c["chunk"], kernel, normal_edges)
+            out = written(got.observe(seen, F.count("*").alias("groups"), F.sum("cost").alias("products")))
+            if trace is not None:
+                trace.waves.append(Wave(b, c["chunk"], seen.get["groups"] // max(1, c["shards"]), seen.get["groups"], seen.get["products"] or 0))
+            entered.append(out)
+            new = out.select("qid", F.explode(F.arrays_zip("ids", "ips")).alias("r")).select("qid", F.col("r.ids").alias("vec_id"), F.col("r.ips").alias("ip"))
+            best = written(rank_by_ip(new if best is None else best.select("qid", "vec_id", "ip").unionByName(new), k).select("qid", "rank", "vec_id", "ip"))
+        if best is not None:
+            ranked.append(best)
+    if not ranked:
+        return spark.createDataFrame([], RESULT + (", cost bigint, groups bigint" if with_cost else ""))
+    union = lambda tables: tables[0] if len(tables) == 1 else tables[0].unionByName(union(tables[1:]))
+    if trace is not None:
+        trace.entered = union(entered).select("qid", "chunk", "shard", "cost")
+    result = union(ranked).join(units.select("qid", "length"), "qid").select("qid", "rank", "vec_id", (F.col("ip") * F.col("length")).alias("ip"))
     if not with_cost:
-        return ranked
-    per_group = out.groupBy("qid", "cost").agg(F.count("*"))
-    return ranked.join(per_group.groupBy("qid").agg(F.sum("cost").alias("cost")), "qid")
+        return result
+    costs = union(entered).groupBy("qid").agg(F.sum("cost").alias("cost"), F.count("*").alias("groups"))
+    return result.join(costs, "qid")
+
+
+def wave(index, queries: DataFrame, best: DataFrame | None, chunk: int, kernel, normal_edges: bool) -> DataFrame:
+    """(qid, chunk, shard, cost, ids, ips) of the queries (qid, qv, floor) in one chunk; shards are read in place, only queries move."""
+    c = F.lit(chunk).cast("int")
+    if normal_edges and best is not None:
+        to = index.links.where((F.col("dst_chunk") == c)).join(best.select("qid", F.col("vec_id").alias("src")), "src")
+        queries = queries.join(to.groupBy("qid").agg(F.collect_set("dst").alias("starts")), "qid", "left")
+    else:
+        queries = queries.withColumn("starts", F.lit(None).cast("array<bigint>"))
+    asked = queries.agg(F.collect_list(F.struct("qid", "qv", "floor", "starts")).alias("asked")).where(F.size("asked") > 0).withColumn("chunk", c)
+    shards = index.shards.where(F.col("chunk") == c)
+    return shards.join(F.broadcast(asked), "chunk").mapInArrow(kernel, FOUND)
 
 
 def norm_pruned_topk(base: DataFrame, queries: DataFrame, k: int) -> DataFrame:

@@ -77,6 +77,88 @@ near AS (
 seeds AS (SELECT qid, chunk, vec_id FROM near QUALIFY row_number() OVER (PARTITION BY qid, chunk ORDER BY place) <= {ub + 1})"""
 
 
+#: Pool of a build's searches and how many members their rounds expand; what a search's pool has beyond k; sizes below which chunks are scanned and bands.
+EF_BUILD, STEP_BUILD, EF, SEARCH_MIN, BUILD_MIN = 80, 8, 50, 50, 32
+COSINES = lambda z: "[" + ", ".join(repr(x) + "::DOUBLE" for x in cosine_table(64, z)) + "]"
+UNIT = "uq AS (SELECT qid, list_transform(qv, lambda x: x / (sqrt(list_inner_product(qv, qv)) + 1e-30::DOUBLE)) AS u, sqrt(list_inner_product(qv, qv)) AS len FROM q)"
+WAVES = "waves AS (SELECT chunk, count(*) AS n, sqrt(max(sq_norm)) AS max_norm FROM chunks GROUP BY chunk)"
+
+#: A shard's graph: bands both ways, then each member searches it best first and keeps its best, and these both ways.
+BUILT = f"""
+sym AS (
+  SELECT * FROM (SELECT src, dst, max(ip) AS ip FROM (SELECT src, dst, ip FROM linked UNION ALL SELECT dst, src, ip FROM linked) GROUP BY src, dst)
+  QUALIFY row_number() OVER (PARTITION BY src ORDER BY ip DESC, dst) <= {MAX_DEGREE}),
+bw AS (
+  SELECT src, dst AS vec_id, ip, false AS done, 0 AS it FROM sym
+  UNION ALL (
+  WITH ranked AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY ip DESC, vec_id) AS r FROM bw) WHERE r <= {EF_BUILD}),
+  front AS (SELECT src, vec_id FROM ranked WHERE NOT done QUALIFY row_number() OVER (PARTITION BY src ORDER BY r) <= {STEP_BUILD}),
+  new AS (SELECT DISTINCT f.src, s.dst AS vec_id FROM front f JOIN sym s ON s.src = f.vec_id WHERE s.dst <> f.src)
+  SELECT k.src, k.vec_id, k.ip, k.done OR f.vec_id IS NOT NULL, k.it + 1 FROM ranked k LEFT JOIN front f USING (src, vec_id) WHERE k.src IN (SELECT src FROM front)
+  UNION ALL
+  SELECT n.src, n.vec_id, list_inner_product(a.e, b.e), false, (SELECT max(it) FROM bw) + 1
+  FROM (SELECT * FROM new ANTI JOIN ranked USING (src, vec_id)) n JOIN base a ON a.vec_id = n.src JOIN base b ON b.vec_id = n.vec_id)),
+chosen AS (
+  SELECT src, vec_id AS dst, ip FROM (SELECT * FROM bw QUALIFY it = max(it) OVER (PARTITION BY src))
+  QUALIFY row_number() OVER (PARTITION BY src ORDER BY ip DESC, vec_id) <= {DEGREE}),
+built AS (
+  SELECT * FROM (SELECT src, dst, max(ip) AS ip FROM (SELECT src, dst, ip FROM chosen UNION ALL SELECT dst, src, ip FROM chosen) GROUP BY src, dst)
+  QUALIFY row_number() OVER (PARTITION BY src ORDER BY ip DESC, dst) <= {MAX_DEGREE})"""
+
+
+def _search(edges: str = "built", ef: int = EF, norm_prune: bool = True, z: float | None = 3.0, step: int = 1, stop: bool = True) -> str:
+    """``st``: best-first searches, chunk after chunk, a round each time; ``last`` is what each query has met at its end.
+
+    ``start`` (qid, chunk, vec_id, done) is what a chunk begins with, ``member``
+    (vec_id, chunk, norm), ``waves`` (chunk, max_norm).  A product that bounds
+    ruled out is null.
+    """
+    keep = " AND ".join((["norm >= bound"] if norm_prune else []) + ([f"norm * ({COSINES(z)})[1 + d] >= bound"] if z is not None else [])) or "true"
+    diff = " + ".join(f"bit_count(CAST(xor(h.h{t}, g.h{t}) AS BIGINT))" for t in range(TABLES))
+    go_on = "kth.ip IS NULL OR kth.ip <= w.max_norm" if stop else "true"
+    return f"""
+st AS (
+  SELECT s.qid, 0 AS c, s.vec_id, 0 AS vc, list_inner_product(e, u) AS ip, s.done, 0 AS it FROM start s JOIN base USING (vec_id) JOIN uq USING (qid) WHERE s.chunk = 0
+  UNION ALL (
+  WITH ranked AS (
+    SELECT *, row_number() OVER (PARTITION BY qid, vc ORDER BY ip DESC NULLS LAST, vec_id) AS r, row_number() OVER (PARTITION BY qid ORDER BY ip DESC NULLS LAST, vec_id) AS ra FROM st),
+  front AS (
+    SELECT qid, c, vec_id FROM ranked WHERE vc = c AND NOT done AND ip IS NOT NULL AND r <= {K + ef}
+    QUALIFY row_number() OVER (PARTITION BY qid ORDER BY r) <= {step}),
+  prior AS (SELECT qid, ip FROM st WHERE vc < c QUALIFY row_number() OVER (PARTITION BY qid ORDER BY ip DESC NULLS LAST, vec_id) = {K}),
+  own AS (SELECT qid, ip FROM ranked WHERE vc = c AND r = {K}),
+  bounds2 AS (
+    SELECT f.qid, greatest(coalesce(prior.ip, '-inf'::DOUBLE), coalesce(own.ip, '-inf'::DOUBLE)) AS bound
+    FROM (SELECT DISTINCT qid FROM front) f LEFT JOIN prior USING (qid) LEFT JOIN own USING (qid)),
+  new AS (SELECT DISTINCT f.qid, f.c, x.dst AS vec_id FROM front f JOIN {edges} x ON x.src = f.vec_id),
+  judged AS (
+    SELECT n.qid, n.c, n.vec_id, m.norm, bound, {diff} AS d
+    FROM (SELECT * FROM new ANTI JOIN st USING (qid, vec_id)) n JOIN member m USING (vec_id) JOIN hashes h USING (vec_id) JOIN qhashes g USING (qid) JOIN bounds2 USING (qid)),
+  onward AS (
+    SELECT a.qid, a.c + 1 AS c FROM (SELECT DISTINCT qid, c FROM st) a ANTI JOIN front USING (qid)
+    JOIN waves w ON w.chunk = a.c + 1 LEFT JOIN (SELECT qid, ip FROM ranked WHERE ra = {K}) kth USING (qid) WHERE {go_on}),
+  now AS (SELECT max(it) + 1 AS it FROM st)
+  SELECT k.qid, k.c, k.vec_id, k.vc, k.ip, k.done OR f.vec_id IS NOT NULL, now.it FROM now, ranked k LEFT JOIN front f USING (qid, vec_id) WHERE k.qid IN (SELECT qid FROM front)
+  UNION ALL
+  SELECT qid, c, vec_id, c, CASE WHEN {keep} THEN list_inner_product(e, u) END, false, now.it FROM now, judged JOIN base USING (vec_id) JOIN uq USING (qid)
+  UNION ALL
+  SELECT k.qid, o.c, k.vec_id, k.vc, k.ip, true, now.it FROM now, ranked k JOIN onward o USING (qid)
+  UNION ALL
+  SELECT o.qid, o.c, s.vec_id, o.c, list_inner_product(e, u), s.done, now.it FROM now, onward o JOIN start s ON s.qid = o.qid AND s.chunk = o.c JOIN base USING (vec_id) JOIN uq ON uq.qid = o.qid)),
+last AS (SELECT * FROM st QUALIFY it = max(it) OVER (PARTITION BY qid))"""
+
+
+START = f"""
+member AS (SELECT vec_id, chunk, sqrt(sq_norm) AS norm FROM chunks),
+start AS (
+  SELECT qid, chunk, vec_id, n < {SEARCH_MIN} AS done FROM chunks JOIN waves USING (chunk), q WHERE n < {SEARCH_MIN}
+  UNION ALL SELECT qid, chunk, vec_id, false FROM seeds JOIN waves USING (chunk) WHERE n >= {SEARCH_MIN})"""
+#: As START, from the member of the largest norm of each chunk.
+TOPS = START.replace("FROM seeds JOIN waves USING (chunk) WHERE", "FROM chunks JOIN waves USING (chunk), q WHERE pos = 0 AND")
+FROM_LAST = f"""SELECT qid, CAST(r AS INT) AS rank, vec_id, round(ip * len, 6) AS ip FROM (
+  SELECT *, row_number() OVER (PARTITION BY qid ORDER BY ip DESC, vec_id) AS r FROM last WHERE ip IS NOT NULL) JOIN uq USING (qid) WHERE r <= {K}"""
+
+
 def _distance(expr: str) -> str:
     return _with(FIXTURE, select=f"SELECT qid, vec_id, round({expr}, 6) AS dist FROM base, q")
 
@@ -128,6 +210,14 @@ def oracle_sql() -> dict[str, str]:
         SELECT qid, vec_id, list_inner_product(e, qv) AS ip FROM reach JOIN base USING (vec_id) JOIN q USING (qid)
         QUALIFY row_number() OVER (PARTITION BY qid ORDER BY ip DESC, vec_id) <= {K})"""
     chain = (FIXTURE, SORTED, HASHES(), LONG)
+    walked = (*chain, band, linked, BUILT, QHASHES(), UNIT)
+    graph = (*walked, WAVES)
+    links = f"""crosslinks AS ({best(scored('(SELECT * FROM hops WHERE src <> dst)', ', block1, block2'), LINKS, 'src, block1, block2')}),
+      linked_all AS (SELECT src, dst FROM built UNION SELECT src, dst FROM crosslinks UNION SELECT dst, src FROM crosslinks),
+      waves AS (SELECT 0 AS chunk, 0::DOUBLE AS max_norm),
+      member AS (SELECT vec_id, sqrt(sq_norm) AS norm FROM sq),
+      start AS (SELECT qid, chunk, vec_id, false AS done FROM seeds WHERE chunk = 0)"""
+    crossing = (*walked, SEEDS(REACH), pairs, cross, crossed.replace("JOIN linked l", "JOIN built l"), links)
     return {
         "exact_topk_ip": _with(FIXTURE, TRUTH, select=topk),
         "exact_topk_sql": _with(FIXTURE, TRUTH, select=topk),
@@ -141,6 +231,17 @@ def oracle_sql() -> dict[str, str]:
             *chain, pairs, cross, band, linked, crossed,
             select=f"SELECT src, dst, block1, block2, round(ip, 6) AS ip FROM ({best(scored('(SELECT * FROM hops WHERE src <> dst)', ', block1, block2'), LINKS, 'src, block1, block2')})",
         ),
+        "built_graph": _with(*chain, band, linked, BUILT, select="SELECT src, dst, round(ip, 6) AS ip FROM built"),
+        "pruned_beam_topk": _with(*graph, SEEDS(), START, _search(), select=FROM_LAST),
+        "norm_pruned_beam_topk": _with(*graph, SEEDS(), START, _search(z=None), select=FROM_LAST),
+        "beam_topk": _with(*graph, TOPS, _search(norm_prune=False, z=None), select=FROM_LAST),
+        "wide_beam_topk": _with(*graph, SEEDS(REACH), START, _search(ef=0, step=4), select=FROM_LAST),
+        "search_cost": _with(*graph, SEEDS(REACH), START, _search(ef=0), select="SELECT qid, CAST(count(ip) AS BIGINT) AS cost, CAST(max(c) + 1 AS BIGINT) AS groups FROM last GROUP BY qid"),
+        "search_waves": _with(*graph, SEEDS(REACH), START, _search(ef=0), select="SELECT DISTINCT qid, CAST(c AS INT) AS chunk FROM st"),
+        "lsh_graphless_topk": _with(*chain, QHASHES(), SEEDS(), WAVES, UNIT, START, "last AS (SELECT qid, vec_id, list_inner_product(e, u) AS ip FROM start JOIN base USING (vec_id) JOIN uq USING (qid))", select=FROM_LAST),
+        "frontier_topk": _with(*crossing, _search("linked_all", step=10**6), select=FROM_LAST),
+        "frontier_fetched": _with(*crossing, _search("linked_all", step=10**6), select="SELECT qid, CAST(count(*) AS BIGINT) AS met, CAST(count(ip) AS BIGINT) AS fetched FROM last GROUP BY qid"),
+        "hash_words": _with(FIXTURE, HASHES(), select="SELECT vec_id, right(bin(h0 + 65536), 16) AS word, len(list_distinct([h0, h1, h2, h3])) = 4 AS all_differ FROM hashes"),
         "stream_topk": _with(FIXTURE, TRUTH, select=topk),
         "norms": _with(FIXTURE, select="SELECT vec_id, round(sq_norm, 6) AS sq_norm, round(sqrt(sq_norm), 6) AS norm FROM sq"),
         "norm_range": _with(FIXTURE, select="SELECT round(max(sq_norm), 6) AS max_sq_norm, round(min(sq_norm), 6) AS min_sq_norm, round(max(sq_norm) / min(sq_norm), 6) AS norm_range FROM sq"),

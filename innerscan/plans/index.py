@@ -1,16 +1,27 @@
-"""Building, saving and loading a search index."""
+"""Building, saving and opening a search index.
+
+An index is a folder: ``shards`` has one row and one file for each shard, a
+folder for each chunk, so a search reads a chunk's shards where they lie;
+``stats`` has a short row for each shard; ``links`` has the edges between
+chunks, by the chunk that they start in.
+"""
 
 from __future__ import annotations
 
 import time
-from dataclasses import dataclass
+from collections.abc import Sequence
+from dataclasses import asdict, dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.vectors import as_double, squared_norm
 from ..operators import graph, partition, srp
-from ..storage import written
+from ..operators.metrics import peak_memory
+from ..operators.topk import matrix
+from ..operators.walk import PACKED, GraphParams, build_shard
+from ..storage import hadoop, new_path, temporary, written
 
 
 @dataclass
@@ -22,6 +33,8 @@ class IndexParams:
     degree: int = 24
     max_degree: int = 48
     rounds: int = 1
+    ef_build: int = 80
+    step_build: int = 8
     links: int = 32
     normal_edges: bool = False
     tables: int = srp.TABLES
@@ -29,84 +42,173 @@ class IndexParams:
     seed: int = srp.SEED
     shard_rows: int = 50_000
 
+    def graph(self) -> GraphParams:
+        return GraphParams(self.build_min, self.width, self.degree, self.max_degree, self.rounds, self.ef_build, self.step_build)
 
-def table_exists(spark: SparkSession, path: str) -> bool:
-    p = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
 
+@dataclass
+class Index:
+    """An index at ``path``; ``stats`` (chunk, shard, n, max_norm) is short, the other tables are read when they are used."""
 
-def build_index(base: DataFrame, p: IndexParams = IndexParams(), dim: int | None = None) -> DataFrame:
-    """Graph records (chunk, shard, vec_id, norm, h0..h3, nbrs, embedding) of (vec_id, embedding).
+    spark: SparkSession
+    path: str
+    params: IndexParams
 
-    Chunks by norm; in chunks of at least ``build_min`` a hash-band graph,
-    refined; in smaller ones a norm-band graph; with ``normal_edges`` links
-    between chunks, both ways.  Chunks above ``shard_rows`` are cut into shards by a
-    hash of the id, which stand for chunks wherever order within one matters.
-    """
-    base = base.select("vec_id", as_double(F.col("embedding")).alias("embedding"))
+    @property
+    def shards(self) -> DataFrame:
+        return self.spark.read.schema(PACKED).parquet(f"{self.path}/shards")
+
+    @property
+    def stats(self) -> DataFrame:
+        return self.spark.read.schema("chunk int, shard int, n int, max_norm double").parquet(f"{self.path}/stats")
+
+    @property
+    def links(self) -> DataFrame:
+        """(src_chunk, src, dst_chunk, dst)."""
+        return self.spark.read.schema("src_chunk int, src bigint, dst_chunk int, dst bigint").parquet(f"{self.path}/links")
+
+    def chunks(self) -> list:
+        """(chunk, max_norm, n, shards) of each chunk in order; their number grows with the logarithm of the base."""
+        by = self.stats.groupBy("chunk").agg(F.max("max_norm").alias("max_norm"), F.sum("n").alias("n"), F.count("*").alias("shards"))
+        return by.orderBy("chunk").collect()
+
+    def records(self) -> DataFrame:
+        """(chunk, shard, pos, vec_id, norm, words, nbrs): a row for each member, without its vector."""
+        words = self.params.tables
+        at = F.col("pos")
+        one = self.shards.select("chunk", "shard", "ids", "norms", "words", "offsets", "nbrs", F.posexplode("ids").alias("pos", "vec_id"))
+        nbrs = F.transform(F.slice("nbrs", F.col("offsets")[at] + 1, F.col("offsets")[at + 1] - F.col("offsets")[at]), lambda j: F.col("ids")[j])
+        return one.select("chunk", "shard", "pos", "vec_id", F.col("norms")[at].alias("norm"), F.slice("words", at * words + 1, words).alias("words"), nbrs.alias("nbrs"))
+
+    def edges(self) -> DataFrame:
+        """(src, dst) within shards."""
+        return self.records().select(F.col("vec_id").alias("src"), F.explode("nbrs").alias("dst"))
+
+
+def table_exists(spark: SparkSession, path: str) -> bool:
+    fs, p = hadoop(spark, f"{path}/_SUCCESS")
+    return fs.exists(p)
+
+
+def checked(base: DataFrame, dim: int | None) -> tuple[DataFrame, int]:
+    """(vec_id, embedding) as doubles, null vectors left out, and their dimension."""
+    base = base.select("vec_id", as_double(F.col("embedding")).alias("embedding")).where("embedding is not null")
     if dim is None:
         first = base.select(F.size("embedding")).first()
         dim = first[0] if first else 0
-    bad = base.where(F.size("embedding") != dim).limit(1).count()
-    if bad:
+    if base.where(F.size("embedding") != dim).limit(1).count():
         raise ValueError(f"vectors of a dimension other than {dim}")
-    chunks = written(partition.norm_chunks(base, p.ratio, p.min_size))
-    sizes = chunks.groupBy("chunk").agg(F.count("*").alias("n"))
-    shards = F.ceil(F.col("n") / p.shard_rows).cast("int")
-    placed = chunks.join(sizes, "chunk").withColumn("shard", F.pmod(F.xxhash64("vec_id"), shards).cast("int"))
-    placed = written(placed)
-    hashes = srp.srp_hash(base, dim, tables=p.tables, bits=p.bits, seed=p.seed)
-    for i in range(p.tables, 4):
-        hashes = hashes.withColumn(f"h{i}", F.lit(0))
-    hashes = written(hashes)
-    local = placed.withColumn("chunk", F.col("chunk").cast("long") * 2**32 + F.col("shard"))
-    big, small = local.where(F.col("n") >= p.build_min), local.where(F.col("n") < p.build_min)
-    tables = srp.hash_tables(hashes, big.select("vec_id", "chunk", "pos"), p.tables)
-    edges = written(graph.hash_band_join(tables, base, p.width, p.max_degree))
-    if p.rounds:
-        edges = graph.refine(edges, base, p.degree, p.max_degree, p.rounds)
-    edges = edges.unionByName(graph.norm_band_join(small.select("vec_id", "chunk", "pos"), base, p.max_degree))
-    edges = written(edges)
-    if p.normal_edges:
-        all_tables = srp.hash_tables(hashes, placed.select("vec_id", "chunk", "pos"), p.tables)
-        pairs = partition.chunk_pairs(sizes, p.links)
-        cross = graph.cross_chunk_join(all_tables, pairs, base, p.width)
-        normal = written(graph.expand_cross_edges(cross, edges, chunks, base, p.links).select("src", "dst", "ip"))
-        # both ways: a search goes from the chunks of larger norms to the others
-        edges = edges.unionByName(normal).unionByName(normal.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "ip"))
-    nbrs = edges.groupBy(F.col("src").alias("vec_id")).agg(F.sort_array(F.collect_set("dst")).alias("nbrs"))
-    out = base.join(placed.select("vec_id", "chunk", "shard", "sq_norm"), "vec_id").join(hashes, "vec_id").join(nbrs, "vec_id", "left")
-    return out.select("chunk", "shard", "vec_id", F.sqrt("sq_norm").alias("norm"), "h0", "h1", "h2", "h3", "nbrs", "embedding")
-
-
-def save_index(index: DataFrame, path: str) -> None:
-    index.write.mode("overwrite").partitionBy("chunk").parquet(path)
-
-
-def load_index(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+    return base, dim
+
+
+def chunk_of(starts: Sequence, sq_norm, vec_id):
+    """A row's chunk, from the (sq_norm, vec_id) that each chunk begins with in descending order of norms."""
+    after = lambda s: (sq_norm < s["sq_norm"]) | ((sq_norm == s["sq_norm"]) & (vec_id >= s["vec_id"]))
+    return reduce(lambda out, s: F.when(after(s[1]), s[0]).otherwise(out), enumerate(starts), F.lit(0)).cast("int")
+
+
+def build_index(base: DataFrame, p: IndexParams = IndexParams(), path: str | None = None, dim: int | None = None) -> Index:
+    """Build an index of (vec_id, embedding) at ``path`` (a new folder if None).
+
+    Chunks by norm; chunks above ``shard_rows`` are cut into shards by a hash
+    of the id.  A chunk follows from a row's norm and id, so vectors are dealt
+    once, to their shards, and one kernel a shard hashes, scores and refines
+    with the vectors at hand.  ``normal_edges`` adds links between chunks,
+    both ways.
+    """
+    spark = base.sparkSession
+    path = path or new_path(spark, "index")
+    base, dim = checked(base, dim)
+    proj, tables, bits, params = srp.projections(dim, p.tables, p.bits, p.seed), p.tables, p.bits, p.graph()
+    with temporary(spark):
+        order = written(partition.by_norm(base))
+        bounds = partition.chunk_bounds(order, p.ratio, p.min_size)
+        starts = order.where(F.col("gpos").isin([s for s, _ in bounds])).orderBy("gpos").collect()
+        placed = base.withColumn("sq_norm", squared_norm(F.col("embedding")))
+        placed = placed.withColumn("chunk", chunk_of(starts, F.col("sq_norm"), F.col("vec_id")))
+        shards = F.array(*[F.lit(-(-(e - s) // p.shard_rows)) for s, e in bounds] or [F.lit(1)])
+        placed = placed.withColumn("shard", F.pmod(F.xxhash64("vec_id"), shards[F.col("chunk")]).cast("int"))
+
+        def kernel(key, rows):
+            x = matrix(rows.column("embedding").combine_chunks())
+            return build_shard(rows.column("vec_id").to_numpy(), x, proj, tables, bits, params).packed(key[0].as_py(), key[1].as_py())
+
+        packed = placed.select("chunk", "shard", "vec_id", "embedding").groupBy("chunk", "shard").applyInArrow(kernel, PACKED)
+        packed.write.mode("overwrite").option("maxRecordsPerFile", 1).partitionBy("chunk").parquet(f"{path}/shards")
+        out = Index(spark, path, p)
+        out.shards.select("chunk", "shard", "n", "max_norm").coalesce(1).write.mode("overwrite").parquet(f"{path}/stats")
+        if p.normal_edges:
+            chunk_links(out, base, dim).write.mode("overwrite").partitionBy("src_chunk").parquet(f"{path}/links")
+    spark.createDataFrame([(repr(sorted(asdict(p).items())),)], "params string").coalesce(1).write.mode("overwrite").parquet(f"{path}/params")
+    return out
+
+
+def chunk_links(index: Index, base: DataFrame, dim: int) -> DataFrame:
+    """Edges between chunks, both ways: candidates of near hashes and their neighbours, the best of each pair of chunks."""
+    p = index.params
+    records = written(index.records().select("chunk", "vec_id", "norm", "words"))
+    sizes = records.groupBy("chunk").agg(F.count("*").alias("n"))
+    order = [F.col("norm").desc(), F.col("vec_id").asc()]
+    chunks = partition.positions(records.select("chunk", "vec_id", "norm"), ["chunk"], order, "pos").withColumn("pos", F.col("pos").cast("int"))
+    hashes = records.select("vec_id", *[F.col("words")[t].alias(f"h{t}") for t in range(p.tables)])
+    tables = srp.hash_tables(hashes, chunks, p.tables)
+    cross = graph.cross_chunk_join(tables, partition.chunk_pairs(sizes, p.links), base, p.width)
+    edges = written(graph.expand_cross_edges(cross, index.edges(), chunks, base, p.links).select("src", "block2", "dst", "block1"))
+    there = edges.select(F.col("block2").alias("src_chunk"), "src", F.col("block1").alias("dst_chunk"), "dst")
+    back = edges.select(F.col("block1").alias("src_chunk"), F.col("dst").alias("src"), F.col("block2").alias("dst_chunk"), F.col("src").alias("dst"))
+    return there.union(back).distinct()
+
+
+def load_index(spark: SparkSession, path: str) -> Index:
+    """The index saved at ``path``, with the parameters that it was built with."""
+    import ast
+
+    return Index(spark, path, IndexParams(**dict(ast.literal_eval(spark.read.parquet(f"{path}/params").first()[0]))))
 
 
 def size_of(spark: SparkSession, path: str) -> int:
     """Bytes of the files below ``path``."""
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(p).getLength()
+    fs, p = hadoop(spark, path)
+    return fs.getContentSummary(p).getLength()
+
+
+def version(base: DataFrame) -> str:
+    """Names a table's state without reading it: its plan's files with their sizes and times.
+
+    Rows that are not from files, or go through code, have none: see :func:`fingerprint`.
+    """
+    spark, out = base.sparkSession, []
+    for name in sorted(base.inputFiles()):
+        fs, p = hadoop(spark, name)
+        status = fs.getFileStatus(p)
+        out.append(f"{name} {status.getLen()} {status.getModificationTime()}")
+    return f"{len(out)}-{hash_text(' '.join(out) + base._jdf.queryExecution().optimizedPlan().canonicalized().toString())}" if out else ""
+
+
+def hash_text(text: str) -> str:
+    import hashlib
+
+    return hashlib.sha256(text.encode()).hexdigest()
 
 
-def build_or_load(spark: SparkSession, base: DataFrame, path: str, p: IndexParams = IndexParams(), info: str | None = None) -> DataFrame:
+def build_or_load(spark: SparkSession, base: DataFrame, path: str, p: IndexParams = IndexParams(), info: str | None = None, by: str = "content") -> Index:
     """The index at ``path`` if it is complete there, of the same rows and parameters; else it is built and saved.
 
-    ``info`` is a table that gets a row (path, seconds, bytes) for each build.
-    What an index was made of is kept beside it, at ``path``.about.
+    ``by`` says how rows are recognised: "content" reads and hashes them all,
+    "files" compares the files that they come from and the plan, and reads
+    nothing.  ``info`` is a table that gets a row (path, seconds, bytes,
+    memory_mb) for each build.  What an index was made of is kept beside it,
+    at ``path``.about.
     """
-    of, about = f"{fingerprint(base)} {p}", f"{path}.about"
-    if not (table_exists(spark, path) and table_exists(spark, about) and spark.read.parquet(about).first()[0] == of):
+    mark = version(base) if by == "files" else ""
+    of, about = f"{mark or fingerprint(base)} {p}", f"{path}.about"
+    if not (table_exists(spark, f"{path}/shards") and table_exists(spark, about) and spark.read.parquet(about).first()[0] == of):
         began = time.perf_counter()
-        save_index(build_index(base, p), path)
+        build_index(base, p, path)
         spark.createDataFrame([(of,)], "made_of string").coalesce(1).write.mode("overwrite").parquet(about)
         if info:
-            row = [(path, time.perf_counter() - began, size_of(spark, path))]
-            spark.createDataFrame(row, "path string, seconds double, bytes long").write.mode("append").parquet(info)
+            row = [(path, time.perf_counter() - began, size_of(spark, path), peak_memory(spark))]
+            spark.createDataFrame(row, "path string, seconds double, bytes long, memory_mb double").write.mode("append").parquet(info)
     return load_index(spark, path)
 
 
@@ -127,4 +229,4 @@ def cached_truth(spark: SparkSession, base: DataFrame, queries: DataFrame, k: in
     return spark.read.parquet(path)
 
 
-__all__ = ["IndexParams", "build_index", "build_or_load", "cached_truth", "fingerprint", "load_index", "save_index", "squared_norm", "table_exists"]
+__all__ = ["Index", "IndexParams", "build_index", "build_or_load", "cached_truth", "fingerprint", "load_index", "table_exists", "version"]

@@ -8,13 +8,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from . import oracle
 from .functions import vectors as V
-from .operators import graph, metrics, partition, search, srp, topk
-from .oracle import DEGREE, K, LINKS, MAX_DEGREE, REACH, UB, WIDTH
+from .operators import frontier, graph, metrics, partition, search, srp, topk
+from .oracle import BUILD_MIN, DEGREE, EF, K, LINKS, MAX_DEGREE, REACH, SEARCH_MIN, UB, WIDTH
 from .plans import index
 from .sources import hold_out, prefix_sample as prefix
+from .storage import written
 
 DIM = 64
 
@@ -212,17 +214,70 @@ def recall_ratio(spark, d):
     return r6(metrics.recall_ratio(got, topk.exact_topk(base, q, K), K), "recall", "ratio", "k_ratio")
 
 
+def built(spark, d, **params) -> index.Index:
+    """The index with the engine's defaults, but for the size below which chunks are bands by norm: these tables' chunks are smaller."""
+    return index.build_index(fixture(spark, d)[0], index.IndexParams(**({"build_min": BUILD_MIN} | params)), dim=DIM)
+
+
 def searched(params: dict | None = None, **options):
-    """Search with the engine's defaults, but for the sizes below which chunks are scanned: these tables' chunks are smaller."""
+    """Search with the engine's defaults, but for the sizes below which chunks are scanned."""
 
     def run(spark, d):
-        base, q = fixture(spark, d)
-        built = index.build_index(base, index.IndexParams(**({"build_min": 32} | (params or {}))), DIM)
-        return r6(search.search(built, q, K, **({"search_min": 50} | options)), "ip")
+        return r6(search.search(built(spark, d, **(params or {})), fixture(spark, d)[1], K, **({"search_min": SEARCH_MIN, "ef": EF} | options)), "ip")
 
     return run
 
 
+def built_graph(spark, d):
+    """The edges of an index: bands, refined by a search from every vector."""
+    ix = built(spark, d)
+    base = fixture(spark, d)[0]
+    return r6(graph.score(ix.edges(), base).select("src", "dst", "ip"), "ip")
+
+
+def search_cost(spark, d):
+    """Products computed for each query and groups entered."""
+    found = search.search(built(spark, d), fixture(spark, d)[1], K, ub=REACH, ef=0, search_min=SEARCH_MIN, with_cost=True)
+    return found.groupBy("qid").agg(F.first("cost").alias("cost"), F.first("groups").alias("groups"))
+
+
+def search_waves(spark, d):
+    """The chunks that each query is still alive in."""
+    trace = search.Trace()
+    search.search(built(spark, d), fixture(spark, d)[1], K, ub=REACH, ef=0, search_min=SEARCH_MIN, trace=trace)
+    return trace.entered.select("qid", "chunk").distinct()
+
+
+def walked(spark, d):
+    """A walk by joins over the edges within and between chunks, from seeds of the first chunk only."""
+    base, q = fixture(spark, d)
+    ix = built(spark, d, normal_edges=True)
+    records = written(ix.records().select("chunk", "vec_id", "norm", "words", "nbrs"))
+    edges = records.select(F.col("vec_id").alias("src"), F.explode("nbrs").alias("dst")).union(ix.links.select("src", "dst")).distinct()
+    units = search.unit_queries(q)
+    words = query_hashes(q).select("qid", F.array("h0", "h1", "h2", "h3").alias("words"))
+    hashes = records.select("vec_id", *[F.col("words")[t].alias(f"h{t}") for t in range(4)])
+    first = records.where("chunk = 0").select("chunk", "vec_id", F.row_number().over(Window.partitionBy("chunk").orderBy(F.col("norm").desc(), "vec_id")).alias("pos"))
+    starts = srp.srp_seeds(srp.hash_tables(hashes, first), query_hashes(q), REACH)
+    return frontier.frontier_walk(written(edges), records, base, units.join(words, "qid"), starts, K, EF), units
+
+
+def frontier_topk(spark, d):
+    got, units = walked(spark, d)
+    found = got.pool.where(F.col("rank") <= K).join(units.select("qid", "length"), "qid")
+    return found.select("qid", "rank", "vec_id", F.round(F.col("ip") * F.col("length"), 6).alias("ip"))
+
+
+def frontier_fetched(spark, d):
+    """Vertices that each query meets, and of how many the vector is fetched."""
+    return walked(spark, d)[0].met.groupBy("qid").agg(F.count("*").alias("met"), F.sum(F.col("fetched").cast("long")).alias("fetched"))
+
+
+def hash_words(spark, d):
+    h = srp.srp_hash(fixture(spark, d)[0], DIM)
+    return h.select("vec_id", V.to_binary(F.col("h0")).alias("word"), V.same_elements(F.array("h0", "h1", "h2", "h3")).alias("all_differ"))
+
+
 def stream_topk(spark, d):
     """Queries that arrive as a stream, answered batch by batch."""
     import uuid
@@ -276,11 +331,18 @@ def queries() -> dict:
         "entry_point": entry_point,
         "lsh_only_topk": lsh_only_topk,
         "recall_ratio": recall_ratio,
+        "built_graph": built_graph,
         "beam_reach_topk": searched({"build_min": 1, "rounds": 0}, search_min=0, ub=REACH, ef=10**6, norm_prune=False, z=None, stop_by_norm=False),
         "pruned_beam_topk": searched(),
         "norm_pruned_beam_topk": searched(z=None),
         "beam_topk": searched(entry="top", norm_prune=False, z=None),
+        "wide_beam_topk": searched(ub=REACH, ef=0, step=4),
         "lsh_graphless_topk": searched(entry="lsh"),
+        "search_cost": search_cost,
+        "search_waves": search_waves,
+        "frontier_topk": frontier_topk,
+        "frontier_fetched": frontier_fetched,
+        "hash_words": hash_words,
         "stream_topk": stream_topk,
     }
 

@@ -1,7 +1,9 @@
 """Edge cases, invariants and recall of the search engine, and round trips of its files."""
 
 import math
+import re
 import struct
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -9,7 +11,7 @@ from pyspark.sql import functions as F
 
 from innerscan import queries as core
 from innerscan.functions import vectors as V
-from innerscan.operators import graph, metrics, partition, search, srp, topk
+from innerscan.operators import frontier, graph, metrics, partition, search, srp, topk
 from innerscan.plans import index
 from innerscan.sources import binary, read_truth, read_vectors, write_truth, write_vectors
 
@@ -29,13 +31,17 @@ def fixture(spark):
     return base, q, truth
 
 
+PARAMS = index.IndexParams(build_min=32, width=core.WIDTH, degree=8, max_degree=16)
+
+
 @pytest.fixture(scope="module")
 def built(spark, fixture, tmp_path_factory):
     path = str(tmp_path_factory.mktemp("index")) + "/i"
-    p = index.IndexParams(build_min=32, width=core.WIDTH, degree=8, max_degree=16)
-    first = index.build_or_load(spark, fixture[0], path, p, info=path + "-info").persist()
-    assert index.build_or_load(spark, fixture[0], path, p, info=path + "-info").count() == first.count() == 480
-    assert spark.read.parquet(path + "-info").count() == 1
+    first = index.build_or_load(spark, fixture[0], path, PARAMS, info=path + "-info")
+    again = index.build_or_load(spark, fixture[0], path, PARAMS, info=path + "-info")
+    assert again.params == PARAMS and again.records().count() == first.records().count() == 480
+    made = spark.read.parquet(path + "-info").collect()
+    assert len(made) == 1 and made[0]["bytes"] > 0 and made[0]["memory_mb"] > 0
     return first
 
 
@@ -124,13 +130,14 @@ def test_hash_parameters_are_checked():
     assert (srp.projections(4, 2, 3) == srp.projections(4, 2, 3)).all()
 
 
-def test_graph_invariants(built, fixture):
-    rows = built.collect()
+def test_graph_invariants(built):
+    rows = built.records().collect()
     chunk = {r["vec_id"]: (r["chunk"], r["shard"]) for r in rows}
     for r in rows:
-        nbrs = list(r["nbrs"] or [])
-        assert len(nbrs) <= 48 and r["vec_id"] not in nbrs and len(set(nbrs)) == len(nbrs)
+        nbrs = list(r["nbrs"])
+        assert len(nbrs) <= 16 and r["vec_id"] not in nbrs and len(set(nbrs)) == len(nbrs)
         assert all(chunk[v] == chunk[r["vec_id"]] for v in nbrs)
+    assert sum(s["n"] for s in built.stats.collect()) == 480
 
 
 def test_directed_bands_point_to_larger_norms(spark, fixture):
@@ -158,6 +165,10 @@ def recall(got, truth):
     return metrics.recall_ratio(got, truth, core.K).first()["recall"]
 
 
+def rows_of(df):
+    return sorted((r["qid"], r["rank"], r["vec_id"], round(r["ip"], 9)) for r in df.collect())
+
+
 def test_search_recall(built, fixture):
     _, q, truth = fixture
     options = dict(search_min=50, ub=core.UB)
@@ -166,35 +177,214 @@ def test_search_recall(built, fixture):
     r0, r50 = (recall(search.search(built, q, core.K, ef=ef, **options), truth) for ef in (0, 50))
     assert r50 >= r0 - 0.02 and r50 >= 0.9
     assert recall(search.search(built, q, core.K, ef=50, z=None, **options), truth) >= r50 - 0.02
-    cost = search.search(built, q, core.K, with_cost=True, **options).agg(F.max("cost")).first()[0]
-    assert 0 < cost <= 480
 
 
-def test_shards_and_normal_edges(spark, fixture):
+def plain_walk(x, norms, nbrs, q, start, k, ef, floor):
+    """The members of a best-first walk and the products computed, by sets."""
+    ips, done, met = {i: float(x[i] @ q) for i in start}, set(), set(start)
+    while True:
+        pool = sorted(ips, key=lambda i: (-ips[i], i))[: k + ef]
+        todo = [i for i in pool if i not in done]
+        if not todo:
+            return pool, len(ips)
+        done.add(todo[0])
+        bound = max(floor, ips[pool[k - 1]] if len(pool) >= k else -np.inf)
+        for j in nbrs[todo[0]]:
+            if j not in met:
+                met.add(j)
+                if norms[j] >= bound:
+                    ips[j] = float(x[j] @ q)
+
+
+def test_costs_are_the_products_of_all_groups(spark, tmp_path):
+    """Groups of one size and cost, counted by hand; scans, walks and groups that give no result."""
+    rng = np.random.default_rng(2)
+    base = table(spark, rng.normal(size=(90, 8)))
+    q = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rng.normal(size=(5, 8)))], QUERIES)
+    ix = index.build_index(base, index.IndexParams(build_min=10, min_size=90, shard_rows=30), str(tmp_path / "i"))
+    sizes = [s["n"] for s in ix.stats.collect()]
+    trace = search.Trace()
+    got = search.search(ix, q, 3, search_min=10**6, with_cost=True, trace=trace)
+    assert {(r["cost"], r["groups"]) for r in got.collect()} == {(90, len(sizes))} and len(sizes) > 1
+    assert [(w.queries, w.groups, w.products) for w in trace.waves] == [(5, 5 * len(sizes), 450)]
+    shards = ix.shards.collect()
+    options = dict(ef=2, search_min=0, entry="top", z=None, with_cost=True)
+    want = dict.fromkeys(range(5), 0)
+    for s in shards:
+        x = np.array(s["x"]).reshape(s["n"], s["dim"])
+        nbrs = [s["nbrs"][s["offsets"][i] : s["offsets"][i + 1]] for i in range(s["n"])]
+        for r in q.collect():
+            v = np.array(r["qv"])
+            want[r["qid"]] += plain_walk(x, s["norms"], nbrs, v / np.linalg.norm(v), [0], 3, 2, -np.inf)[1]
+    assert {r["qid"]: r["cost"] for r in search.search(ix, q, 3, **options).collect()} == want
+    again = search.search(ix, q, 3, block_bytes=64, **options).collect()
+    assert {r["qid"]: r["cost"] for r in again} == want
+
+
+@pytest.mark.parametrize("length", [0.0, 0.01, 10.0])
+def test_queries_of_any_length_find_the_same(built, fixture, spark, length):
+    base, q, _ = fixture
+    scaled = q.select("qid", F.transform("qv", lambda x: x * length).alias("qv"))
+    got = search.search(built, scaled, core.K, search_min=50)
+    assert recall(got, topk.exact_topk(base, scaled, core.K)) >= (0.9 if length else 0) and got.count() == 200
+    unit = rows_of(search.search(built, q, core.K, search_min=50))
+    if length:
+        assert [r[:3] for r in rows_of(got)] == [r[:3] for r in unit]
+        assert np.allclose([r[3] for r in rows_of(got)], [length * r[3] for r in unit], atol=1e-6)
+
+
+def test_a_wave_moves_queries_and_no_vectors_of_the_base(built, fixture):
+    units = search.unit_queries(fixture[1])
+    kernel = search.searcher(10, 50, 50, 200, "srp", True, 3.0, 1, built.params)
+    wave = search.wave(built, search.alive(units, None, 10, None), None, 1, kernel, False)
+    plan = wave._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("BroadcastExchange") == 1 and "hashpartitioning" not in plan and re.search(r"PartitionFilters: \[isnotnull\(chunk#\d+\), \(chunk#\d+ = 1\)\]", plan), plan
+    folders = built.spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(f"{built.path}/shards").where("path like '%.parquet'")
+    assert folders.count() == built.stats.count()  # a file a shard
+
+
+def test_waves_save_products_that_two_waves_compute(built, fixture, spark):
+    """Against floors of the first chunk only: the same results for no more products, in no more groups."""
+    _, q, truth = fixture
+    long = dict(search_min=50, ub=20, ef=0, z=None)
+    trace = search.Trace()
+    got = search.search(built, q, core.K, trace=trace, **long)
+    first, rest = trace.waves[0], trace.waves[1:]
+    units = search.unit_queries(q)
+    kernel = search.searcher(core.K, 0, 50, 20, "srp", True, None, 1, built.params)
+    one = search.wave(built, search.alive(units, None, core.K, None), None, 0, kernel, False)
+    pairs = lambda df: df.select("qid", F.explode(F.arrays_zip("ids", "ips")).alias("r")).select("qid", F.col("r.ids").alias("vec_id"), F.col("r.ips").alias("ip"))
+    best = topk.rank_by_ip(pairs(one), core.K)
+    cost = groups = 0
+    for s in built.chunks()[1:]:
+        row = search.wave(built, search.alive(units, best, core.K, s["max_norm"]), best, s["chunk"], kernel, False).agg(F.sum("cost").alias("c"), F.count("*").alias("g")).first()
+        cost, groups = cost + row["c"], groups + row["g"]
+    assert first.groups == 20 and sum(w.products for w in rest) <= cost and sum(w.groups for w in rest) <= groups
+    assert recall(got, truth) >= 0.85
+
+
+def test_a_query_leaves_when_no_later_chunk_can_reach_it(spark, tmp_path):
+    x = np.concatenate([np.eye(8)[np.arange(40) % 8] * 10, np.eye(8)[np.arange(80) % 8] * 5, np.eye(8)[np.arange(200) % 8]])
+    base = table(spark, x)
+    q = spark.createDataFrame([(0, [3.0] + [0.0] * 7), (1, [0.0] * 8), (2, [-1.0] + [0.0] * 7)], QUERIES)
+    trace = search.Trace()
+    ix = index.build_index(base, index.IndexParams(build_min=16), str(tmp_path / "i"))
+    got = search.search(ix, q, 3, search_min=16, trace=trace)
+    assert [(w.chunk, w.queries) for w in trace.waves][:1] == [(0, 3)] and trace.waves[-1].queries < 3
+    assert {(r["qid"], r["chunk"]) for r in trace.entered.collect()} >= {(1, 0), (1, 1), (1, 2)}
+    assert [r[3] for r in rows_of(got) if r[0] == 0] == [30.0] * 3
+    only = search.Trace()
+    search.search(ix, q.where("qid = 0"), 3, search_min=16, trace=only)
+    assert [w.chunk for w in only.waves] == [0]
+
+
+def test_shards_and_normal_edges(spark, fixture, tmp_path):
     base, q, truth = fixture
     p = index.IndexParams(build_min=32, shard_rows=100, normal_edges=True)
-    built = index.build_index(base, p).persist()
-    assert built.select("chunk", "shard").distinct().count() > 4
-    group = {r["vec_id"]: r["chunk"] for r in built.select("vec_id", "chunk").collect()}
-    crossing = {(r["vec_id"], v) for r in built.collect() for v in r["nbrs"] if group[v] != group[r["vec_id"]]}
-    assert crossing and {(b, a) for a, b in crossing} == crossing
+    built = index.build_index(base, p, str(tmp_path / "i"))
+    assert built.stats.count() > 4
+    chunk = {r["vec_id"]: r["chunk"] for r in built.records().collect()}
+    links = built.links.collect()
+    assert links and all(chunk[r["src"]] == r["src_chunk"] != r["dst_chunk"] == chunk[r["dst"]] for r in links)
+    assert {(r["dst"], r["src"]) for r in links} == {(r["src"], r["dst"]) for r in links}
     options = dict(search_min=20, ub=3, ef=0, z=None)
-    without, through = (search.search(built, q, core.K, normal_edges=n, with_cost=True, **options) for n in (False, True))
+    traces = search.Trace(), search.Trace()
+    without, through = (search.search(built, q, core.K, normal_edges=n, with_cost=True, trace=t, **options) for n, t in zip((False, True), traces))
     assert recall(through, truth) >= recall(without, truth)
     assert through.agg(F.sum("cost")).first()[0] > without.agg(F.sum("cost")).first()[0]
     assert recall(search.search(built, q, core.K, search_min=20, normal_edges=True), truth) >= 0.9
 
 
+def test_starts_come_from_links_of_every_chunk_before(spark, fixture, tmp_path):
+    """A chunk that hash seeds don't enter is entered through a link of the second chunk."""
+    base, q, _ = fixture
+    built = index.build_index(base, index.IndexParams(build_min=32, normal_edges=True), str(tmp_path / "i"))
+    units = search.unit_queries(q)
+    kernel = search.searcher(core.K, 0, 50, 1, "srp", True, None, 1, built.params)
+    second = built.records().where("chunk = 1").select("vec_id", "norm")
+    best = units.select("qid").join(second, F.lit(True)).select("qid", "vec_id", F.lit(0.0).alias("ip"), F.lit(1).alias("rank"))
+    to = {r["dst"] for r in built.links.where("src_chunk = 1 and dst_chunk = 2").collect()}
+    asked = search.alive(units, best.where("rank > 1"), core.K, None)
+    with_links, bare = (search.wave(built, asked, best, 2, kernel, n).agg(F.min("cost")).first()[0] for n in (True, False))
+    assert to and with_links >= len(to) > bare
+
+
+def test_an_index_does_not_depend_on_how_rows_are_dealt(spark, fixture, tmp_path):
+    edges = lambda df, name: sorted(map(tuple, index.build_index(df, PARAMS, str(tmp_path / name)).edges().collect()))
+    assert edges(fixture[0].repartition(7), "a") == edges(fixture[0].coalesce(1).orderBy(F.rand(3)), "b")
+
+
+def test_refining_by_search_finds_more_than_neighbours_of_neighbours(spark, fixture):
+    """At one degree: how much of each vector's true nearest in its chunk is linked."""
+    base, *_ = fixture
+    ix = index.build_index(base, index.IndexParams(build_min=32, degree=8, max_degree=8))
+    chunks = partition.norm_chunks(base).persist()
+    bands = graph.hash_band_join(srp.hash_tables(srp.srp_hash(base, core.DIM), chunks), base, 10, 8)
+    other = {(r["src"], r["dst"]) for r in graph.refine(bands, base, 8, 8).collect()}
+    mine = {(r["src"], r["dst"]) for r in ix.edges().collect()}
+    x, of = {r["vec_id"]: np.array(r["embedding"]) for r in base.collect()}, {r["vec_id"]: r["chunk"] for r in chunks.collect()}
+    true = {(a, b) for a in x for b in sorted((b for b in x if b != a and of[b] == of[a]), key=lambda b: -x[a] @ x[b])[:4]}
+    assert len(mine & true) > len(other & true) and len(mine) <= 8 * 480
+
+
 def test_an_index_of_other_rows_or_parameters_is_built_anew(spark, fixture, tmp_path):
     base, path, p = fixture[0], str(tmp_path / "index"), index.IndexParams(build_min=32)
-    assert index.build_or_load(spark, base, path, p, info=path + "-info").count() == 480
-    assert index.build_or_load(spark, base.where("vec_id < 300"), path, p, info=path + "-info").count() == 280
+    assert index.build_or_load(spark, base, path, p, info=path + "-info").records().count() == 480
+    assert index.build_or_load(spark, base.where("vec_id < 300"), path, p, info=path + "-info").records().count() == 280
     index.build_or_load(spark, base.where("vec_id < 300"), path, index.IndexParams(build_min=64), info=path + "-info")
     index.build_or_load(spark, base.where("vec_id < 300"), path, index.IndexParams(build_min=64), info=path + "-info")
     made = spark.read.parquet(path + "-info").collect()
     assert len(made) == 3 and all(r["bytes"] > 0 for r in made)
 
 
+def test_files_name_a_table_without_reading_it(spark, fixture, tmp_path):
+    path = str(tmp_path / "base")
+    fixture[0].write.parquet(path)
+    read = lambda: spark.read.parquet(path)
+    assert index.version(read()) == index.version(read()) != index.version(read().where("vec_id < 100"))
+    at = str(tmp_path / "index")
+    for _ in range(2):
+        index.build_or_load(spark, read(), at, PARAMS, info=at + "-info", by="files")
+    assert spark.read.parquet(at + "-info").count() == 1
+    before = index.version(read())
+    fixture[0].limit(3).write.mode("append").parquet(path)
+    assert index.version(read()) != before
+
+
+def test_an_empty_base_has_an_index(spark, fixture, tmp_path):
+    ix = index.build_index(fixture[0].where("false"), PARAMS, str(tmp_path / "i"), dim=core.DIM)
+    assert search.search(ix, fixture[1], 3).count() == 0 and ix.stats.count() == 0
+
+
+def test_tables_of_a_build_are_deleted(spark, fixture):
+    from innerscan import storage
+
+    with storage.temporary(spark):
+        t = storage.written(fixture[0])
+        path = t.inputFiles()[0].removeprefix("file://")
+        assert Path(path).exists()
+    assert not Path(path).exists()
+
+
+def test_frontier_and_kernel_find_the_same(spark, fixture):
+    """A walk by joins and one in a kernel, all of the pool a round, over one chunk."""
+    base, q, _ = fixture
+    ix = index.build_index(base, index.IndexParams(build_min=32, min_size=480))
+    records = ix.records().persist()
+    units = search.unit_queries(q)
+    words = srp.srp_hash(q, core.DIM, "qid", "qv").select("qid", F.array("h0", "h1", "h2", "h3").alias("words"))
+    top = records.where("pos = 0").select("vec_id").join(units.select("qid"), F.lit(True))
+    edges = records.select(F.col("vec_id").alias("src"), F.explode("nbrs").alias("dst"))
+    for z in (3.0, None):
+        got = frontier.frontier_walk(edges, records, base, units.join(words, "qid"), top, 5, 5, z=z)
+        want = search.search(ix, q, 5, ef=5, entry="top", z=z, step=10**6, search_min=0, with_cost=True).collect()
+        mine = got.pool.where("rank <= 5").collect()
+        assert sorted((r["qid"], r["rank"], r["vec_id"]) for r in mine) == sorted((r["qid"], r["rank"], r["vec_id"]) for r in want)
+        fetched = got.met.where("fetched").groupBy("qid").count().collect()
+        assert {(r["qid"], r["count"]) for r in fetched} == {(r["qid"], r["cost"]) for r in want}
+        assert sum(r.fetched for r in got.rounds) == sum(r["count"] for r in fetched)
+
+
 def test_saved_projections_and_tables_come_back(spark, fixture, tmp_path):
     proj = srp.projections(core.DIM)
     srp.save_projections(spark, proj, str(tmp_path / "p"))
