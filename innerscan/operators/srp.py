@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..storage import written
 from .partition import positions
 from .topk import matrix
 
@@ -86,17 +87,20 @@ def windows(query_hashes: DataFrame) -> DataFrame:
     return q.withColumns({"low": low, "high": high})
 
 
-def window_counts(tables: DataFrame, query_hashes: DataFrame) -> DataFrame:
+def block_counts(tables: DataFrame) -> DataFrame:
+    """(chunk, tbl, size, low, n): entries in each aligned block of 2^size hash values that has one, of which a table has 2^17 at most."""
+    by_hash = tables.groupBy("chunk", "tbl", "h").agg(F.count("*").alias("n"))
+    levels = by_hash.withColumn("size", F.explode(F.sequence(F.lit(0), F.lit(LEVELS - 1))))
+    return levels.groupBy("chunk", "tbl", "size", low_end(F.col("h"), F.col("size")).alias("low")).agg(F.sum("n").alias("n"))
+
+
+def window_counts(blocks: DataFrame, query_hashes: DataFrame) -> DataFrame:
     """(qid, chunk, level, upto): how many entries of all tables each window holds, where it holds more than the one before.
 
-    Windows are aligned blocks of hash values and the value after.  Entries
-    are counted by hash, then for each block of each size, of which a table
-    has 2^17; a query's windows meet these counts by equality.  So neither
-    the work nor the result is queries times entries.
+    Windows are aligned blocks of hash values and the value after; they meet
+    the counts of :func:`block_counts` by equality, so neither the work nor
+    the result is queries times entries.
     """
-    by_hash = tables.groupBy("chunk", "tbl", "h").agg(F.count("*").alias("n"))
-    levels = by_hash.withColumn("size", F.explode(F.sequence(F.lit(0), F.lit(LEVELS - 1))))
-    blocks = levels.groupBy("chunk", "tbl", "size", low_end(F.col("h"), F.col("size")).alias("low")).agg(F.sum("n").alias("n"))
     asked = windows(query_hashes)
     parts = asked.select("qid", "tbl", "level", F.explode(F.array(
         F.struct(F.greatest("level", F.lit(0)).alias("size"), F.col("low").alias("low")),
@@ -107,19 +111,29 @@ def window_counts(tables: DataFrame, query_hashes: DataFrame) -> DataFrame:
     return upto.withColumn("__b", F.coalesce(before, F.lit(0))).where(F.col("upto") > F.col("__b")).drop("__b")
 
 
-def srp_seeds(tables: DataFrame, query_hashes: DataFrame, ub: int) -> DataFrame:
+def srp_seeds(tables: DataFrame, query_hashes: DataFrame, ub: int, blocks: DataFrame | None = None) -> DataFrame:
     """(qid, chunk, vec_id): candidates by hash, in each chunk from the smallest window that has ``ub`` entries.
 
+    With ``blocks``, counts that were saved with the tables, entries are read
+    only where a window is: the stretches asked for, of which there are at
+    most 256, are a literal filter that skips row groups of sorted tables.
+
     At most ub + 1 entries are kept, in the order of (table, hash, position);
     an entry in several tables counts in each for the window's size, once for
     the candidates.  Only entries near a query's window meet it: windows are
     cut into stretches of ``STRETCH`` hash values, and those are joined.
     """
-    counts = window_counts(tables, query_hashes)
+    counts = window_counts(block_counts(tables) if blocks is None else blocks, query_hashes)
     stop = counts.groupBy("qid", "chunk").agg(F.coalesce(F.min(F.when(F.col("upto") >= ub, F.col("level"))), F.max("level")).alias("level"))
     asked = windows(query_hashes).join(stop, ["qid", "level"]).select("qid", "chunk", "tbl", "low", "high")
     asked = asked.withColumn("part", F.explode(F.sequence(F.floor(F.col("low") / STRETCH), F.floor(F.col("high") / STRETCH))))
-    near = tables.withColumn("part", F.floor(F.col("h") / STRETCH)).join(asked, ["chunk", "tbl", "part"]).where(F.col("h").between(F.col("low"), F.col("high")))
+    if blocks is not None:
+        asked = written(asked)
+        parts = [r[0] for r in asked.select("part").distinct().collect()]
+        tables = tables.where(F.col("part").isin(parts))
+    else:
+        tables = tables.withColumn("part", F.floor(F.col("h") / STRETCH))
+    near = tables.join(asked, ["chunk", "tbl", "part"]).where(F.col("h").between(F.col("low"), F.col("high")))
     near = near.groupBy("qid", "chunk", "vec_id").agg(F.min(F.struct("tbl", "h", "pos")).alias("at"))
     order = Window.partitionBy("qid", "chunk").orderBy("at.tbl", "at.h", "at.pos")
     return near.withColumn("__r", F.row_number().over(order)).where(F.col("__r") <= ub + 1).select("qid", "chunk", "vec_id")
@@ -150,10 +164,15 @@ def load_projections(spark: SparkSession, path: str) -> np.ndarray:
     return np.array([r["a"] for r in spark.read.parquet(path).orderBy("proj").collect()], np.float64)
 
 
-def save_tables(tables: DataFrame, path: str) -> None:
-    """Hash tables, a folder for each chunk."""
-    tables.write.mode("overwrite").partitionBy("chunk").parquet(path)
+def save_tables(tables: DataFrame, path: str, group_bytes: int = 8 << 20) -> None:
+    """Hash tables, a folder for each chunk and table, in order of hashes and in row groups of ``group_bytes``; and their block counts."""
+    kept = tables.select("chunk", "tbl", "h", "pos", "vec_id", "slot", F.floor(F.col("h") / STRETCH).alias("part"))
+    ordered = kept.repartitionByRange(F.col("chunk"), F.col("tbl"), F.col("h"), F.col("pos")).sortWithinPartitions("chunk", "tbl", "h", "pos")
+    ordered.write.mode("overwrite").option("parquet.block.size", group_bytes).partitionBy("chunk", "tbl").parquet(f"{path}/tables")
+    block_counts(tables).write.mode("overwrite").parquet(f"{path}/blocks")
 
 
-def load_tables(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path).select("chunk", "tbl", "h", "pos", "vec_id", "slot")
+def load_tables(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(tables, blocks): what :func:`srp_seeds` takes; vectors are neither read nor hashed."""
+    tables = spark.read.schema("h int, pos int, vec_id bigint, slot int, part bigint, chunk int, tbl int").parquet(f"{path}/tables")
+    return tables, spark.read.parquet(f"{path}/blocks")

@@ -222,6 +222,7 @@ def oracle_sql() -> dict[str, str]:
         "exact_topk_ip": _with(FIXTURE, TRUTH, select=topk),
         "exact_topk_sql": _with(FIXTURE, TRUTH, select=topk),
         "norm_pruned_topk": _with(FIXTURE, TRUTH, select=topk),
+        "sorted_scan_topk": _with(FIXTURE, TRUTH, select=topk),
         "beam_reach_topk": _with(
             *chain, band, linked, QHASHES(), SEEDS(REACH), reach,
             select="SELECT qid, CAST(row_number() OVER (PARTITION BY qid ORDER BY ip DESC, vec_id) AS INT) AS rank, vec_id, round(ip, 6) AS ip FROM got",
@@ -282,6 +283,7 @@ def oracle_sql() -> dict[str, str]:
               QUALIFY row_number() OVER (PARTITION BY src, block1, block2 ORDER BY ip DESC, dst) <= s""",
         ),
         "srp_seeds": _with(*chain, QHASHES(), SEEDS(), select="SELECT qid, chunk, vec_id FROM seeds"),
+        "srp_seeds_saved": _with(*chain, QHASHES(), SEEDS(), select="SELECT qid, chunk, vec_id FROM seeds"),
         "seed_levels": _with(*chain, QHASHES(), SEEDS(), select="SELECT qid, chunk, CAST(level AS INT) AS level, CAST(upto AS BIGINT) AS upto FROM cum"),
         "entry_point": _with(*chain, QHASHES(), select="SELECT qid, coalesce(arg_max(vec_id, slot) FILTER (h <= h0), arg_min(vec_id, slot)) AS vec_id FROM qhashes, tables WHERE chunk = 0 AND tbl = 0 GROUP BY qid"),
         "lsh_only_topk": _with(*chain, QHASHES(), SEEDS(), lsh, select="SELECT qid, CAST(rank AS INT) AS rank, vec_id, round(ip, 6) AS ip FROM got"),

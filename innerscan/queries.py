@@ -14,9 +14,9 @@ from . import oracle
 from .functions import vectors as V
 from .operators import frontier, graph, metrics, partition, search, srp, topk
 from .oracle import BUILD_MIN, DEGREE, EF, K, LINKS, MAX_DEGREE, REACH, SEARCH_MIN, UB, WIDTH
-from .plans import index
+from .plans import by_norm, index
 from .sources import hold_out, prefix_sample as prefix
-from .storage import written
+from .storage import new_path, written
 
 DIM = 64
 
@@ -193,9 +193,26 @@ def srp_seeds(spark, d):
     return srp.srp_seeds(tables, query_hashes(q), UB)
 
 
+def srp_seeds_saved(spark, d):
+    """The same from hash tables that were saved."""
+    _, q, _, _, tables = hashed(spark, d)
+    path = new_path(spark, "hashes")
+    srp.save_tables(tables, path)
+    saved, blocks = srp.load_tables(spark, path)
+    return srp.srp_seeds(saved, query_hashes(q), UB, blocks)
+
+
+def sorted_scan_topk(spark, d):
+    """Exact, from files in order of norms, of which only those are read that can matter."""
+    base, q = fixture(spark, d)
+    path = new_path(spark, "by_norm")
+    by_norm.save_by_norm(base, path)
+    return r6(by_norm.sorted_topk(spark, path, q, K), "ip")
+
+
 def seed_levels(spark, d):
     _, q, _, _, tables = hashed(spark, d)
-    return srp.window_counts(tables, query_hashes(q)).select("qid", "chunk", "level", "upto")
+    return srp.window_counts(srp.block_counts(tables), query_hashes(q)).select("qid", "chunk", "level", "upto")
 
 
 def entry_point(spark, d):
@@ -300,6 +317,7 @@ def queries() -> dict:
         "exact_topk_ip": exact_topk_ip,
         "exact_topk_sql": exact_topk_sql,
         "norm_pruned_topk": norm_pruned_topk,
+        "sorted_scan_topk": sorted_scan_topk,
         "norms": norms,
         "norm_range": norm_range,
         "query_normalize": query_normalize,
@@ -327,6 +345,7 @@ def queries() -> dict:
         "cross_chunk_edges": cross_chunk_edges,
         "graph_refine": graph_refine,
         "srp_seeds": srp_seeds,
+        "srp_seeds_saved": srp_seeds_saved,
         "seed_levels": seed_levels,
         "entry_point": entry_point,
         "lsh_only_topk": lsh_only_topk,

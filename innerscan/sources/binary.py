@@ -6,20 +6,30 @@ float32 rows.  ``fbin``: a header (rows, dimension) and float32 rows.
 (queries, k), ids, then inner products.  Records of fixed length are split
 into byte ranges, so a file of any size is read by many tasks.
 
-Files are opened through pyarrow's file systems when a path names a scheme,
-else as local files of the shared mount.
+Writing never passes vectors through the driver: rows get their place from a
+range sort and prefix counts and are packed into blocks; on a mount that all
+share, each task writes its blocks at their offsets in one file.  Where a path
+names another scheme, a folder with a file for each block takes the place of
+the file; it is written and read by Spark, so any store of Hadoop's will do.
+
+Single files are opened through pyarrow's file systems when a path names a
+scheme, else as local files of the shared mount.
 """
 
 from __future__ import annotations
 
 import os
 import struct
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+
+from ..operators.partition import positions
+from ..storage import hadoop, temporary
 
 PART_BYTES = 64 << 20
 HEADERS = {"dense": 12, "fbin": 8, "vecs": 0}
@@ -77,7 +87,7 @@ class VectorReader(DataSourceReader):
 
     def partitions(self) -> list[Rows]:
         step = max(1, PART_BYTES // max(1, self.row))
-        return [Rows(i, min(self.n, i + step)) for i in range(0, self.n, step)]
+        return [Rows(i, min(self.n, i + step)) for i in range(0, self.n, step)] or [Rows(0, 0)]
 
     def read(self, partition: Rows) -> Iterator:
         import pyarrow as pa
@@ -112,57 +122,31 @@ class RaggedReader(DataSourceReader):
                 i += 1
 
 
-class Part(WriterCommitMessage):
-    def __init__(self, path: str, n: int, dim: int):
-        self.path, self.n, self.dim = path, n, dim
+class TruthReader(DataSourceReader):
+    """Stretches of a ground truth file: ids and products lie in two sections."""
 
+    def __init__(self, path: str):
+        self.path = path
+        with open_in(path) as f:
+            self.nq, self.k = struct.unpack("<2i", f.read(8))
+        if file_size(path) < 8 + 8 * self.nq * self.k:
+            raise ValueError(f"{path}: shorter than its header says")
 
-class VectorWriter(DataSourceWriter):
-    """Each task writes a part beside the target; the commit joins them in order of their first id."""
+    def partitions(self) -> list[Rows]:
+        n, step = self.nq * self.k, PART_BYTES // 8
+        return [Rows(i, min(n, i + step)) for i in range(0, n, step)] or [Rows(0, 0)]
 
-    def __init__(self, path: str, kind: str, element: str):
-        self.path, self.kind, self.element = path, kind, element
+    def read(self, partition: Rows) -> Iterator:
+        import pyarrow as pa
 
-    def write(self, rows: Iterator) -> Part:
-        from pyspark import TaskContext
-
-        ctx = TaskContext.get()
-        part, n, dim, first = f"{self.path}.part-{ctx.partitionId():05d}-{ctx.taskAttemptId()}", 0, 0, -1
-        code = "f" if self.element == "float" else "i"
-        with open(part, "wb") as f:
-            for row in rows:
-                v = row["embedding"]
-                if self.kind != "vecs" and n and len(v) != dim:
-                    raise ValueError("rows of different lengths")
-                dim, n, first = len(v), n + 1, row["vec_id"] if first < 0 else first
-                if self.kind == "vecs":
-                    f.write(struct.pack("<I", dim))
-                f.write(struct.pack(f"<{dim}{code}", *v))
-        out = Part(part, n, dim)
-        out.first = first
-        return out
-
-    def commit(self, messages) -> None:
-        parts = sorted((m for m in messages if m is not None and m.n), key=lambda m: m.first)
-        n, dim = sum(m.n for m in parts), parts[0].dim if parts else 0
-        with open(self.path, "wb") as out:
-            if self.kind == "dense":
-                out.write(struct.pack("<3I", 4, n, dim))
-            elif self.kind == "fbin":
-                out.write(struct.pack("<2I", n, dim))
-            for m in parts:
-                with open(m.path, "rb") as f:
-                    while block := f.read(1 << 20):
-                        out.write(block)
-        self._clean(messages)
-
-    def abort(self, messages) -> None:
-        self._clean(messages)
-
-    def _clean(self, messages) -> None:
-        for m in messages:
-            if m is not None and os.path.exists(m.path):
-                os.remove(m.path)
+        n, m = self.nq * self.k, partition.stop - partition.start
+        with open_in(self.path) as f:
+            f.seek(8 + 4 * partition.start)
+            ids = np.frombuffer(f.read(4 * m), "<i4").astype(np.int64)
+            f.seek(8 + 4 * n + 4 * partition.start)
+            ips = np.frombuffer(f.read(4 * m), "<f4").astype(np.float64)
+        at = np.arange(partition.start, partition.stop)
+        yield pa.RecordBatch.from_arrays([pa.array(at // self.k), pa.array((at % self.k + 1).astype(np.int32)), pa.array(ids), pa.array(ips)], names=["qid", "rank", "vec_id", "ip"])
 
 
 class VectorFile(DataSource):
@@ -173,31 +157,125 @@ class VectorFile(DataSource):
         return "vectorfile"
 
     def schema(self) -> str:
+        if self.options.get("kind") == "truth":
+            return "qid bigint, rank int, vec_id bigint, ip double"
         return f"vec_id bigint, embedding array<{self.options.get('element', 'float')}>"
 
     def reader(self, schema):
         kind, element = self.options.get("kind", "dense"), self.options.get("element", "float")
+        if kind == "truth":
+            return TruthReader(self.options["path"])
         if kind == "ragged":
             return RaggedReader(self.options["path"], element)
         limit = self.options.get("limit")
         return VectorReader(self.options["path"], kind, element, int(limit) if limit else None)
 
-    def writer(self, schema, overwrite: bool):
-        kind = self.options.get("kind", "dense")
-        return VectorWriter(self.options["path"], "vecs" if kind == "ragged" else kind, self.options.get("element", "float"))
+
+def is_mount(path: str) -> bool:
+    return "://" not in path and (":" not in path.split("/")[0] or path.startswith("file:"))
+
+
+def local(path: str) -> str:
+    return path.removeprefix("file://").removeprefix("file:")
 
 
 def read_vectors(spark: SparkSession, path: str, kind: str = "dense", **options) -> DataFrame:
-    """Vectors of a binary file as (vec_id, embedding); ``kind`` is dense, fbin, vecs or ragged."""
+    """Vectors of a binary file, or of a folder of blocks, as (vec_id, embedding); ``kind`` is dense, fbin, vecs or ragged."""
+    fs, p = hadoop(spark, f"{path}/header")
+    if fs.exists(p):
+        return read_blocks(spark, path, options.get("limit"))
     spark.dataSource.register(VectorFile)
     return spark.read.format("vectorfile").option("kind", kind).options(**options).load(path)
 
 
-def write_vectors(df: DataFrame, path: str, kind: str = "dense", element: str = "float") -> None:
-    """Write (vec_id, embedding) in order of vec_id to one binary file of a shared mount."""
-    df.sparkSession.dataSource.register(VectorFile)
-    ordered = df.select("vec_id", "embedding").orderBy("vec_id")
-    ordered.write.format("vectorfile").mode("overwrite").option("kind", kind).option("element", element).save(path)
+def read_blocks(spark: SparkSession, path: str, limit=None) -> DataFrame:
+    """A folder of :func:`write_vectors`: each file is one block, whose number is in its folder's name."""
+    import pyarrow as pa
+
+    head = spark.read.parquet(f"{path}/header").first()
+    step, dim, element, prefix = head["block_rows"], head["dim"], head["element"], head["kind"] == "vecs"
+    dtype = "<f4" if element == "float" else "<i4"
+
+    def run(batches):
+        for batch in batches:
+            for block, content in zip(batch.column(0).to_pylist(), batch.column(1)):
+                raw = np.frombuffer(content.as_buffer(), dtype, (content.as_buffer().size - 1) // 4)
+                raw = raw.reshape(-1, dim + prefix)[:, int(prefix) :]
+                at = block * step
+                lists = pa.ListArray.from_arrays(np.arange(0, raw.size + 1, dim, dtype=np.int32) if dim else np.zeros(len(raw) + 1, np.int32), pa.array(raw.ravel()))
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(at, at + len(raw), dtype=np.int64)), lists], names=["vec_id", "embedding"])
+
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").option("recursiveFileLookup", "true").load(f"{path}/blocks")
+    numbered = files.select(F.regexp_extract("path", r"block=(\d+)", 1).cast("long").alias("block"), "content")
+    out = numbered.mapInArrow(run, f"vec_id bigint, embedding array<{element}>")
+    return out if limit is None else out.where(F.col("vec_id") < int(limit))
+
+
+def write_vectors(df: DataFrame, path: str, kind: str = "dense", element: str = "float", block_bytes: int = PART_BYTES) -> None:
+    """Write (vec_id, embedding) in order of vec_id: to one file of a shared mount, or elsewhere to a folder of blocks.
+
+    A block is ``block_bytes`` at most and is all that a task holds; the
+    driver learns how many rows and bytes each has.  Rows of different lengths
+    are allowed for "ragged" on a mount; null vectors are left out.
+    """
+    spark = df.sparkSession
+    code, prefix = np.dtype("<f4" if element == "float" else "<i4"), kind in ("vecs", "ragged")
+    rows = df.select("vec_id", "embedding").where("embedding is not null")
+    dims = rows.agg(F.count("*").alias("n"), F.min(F.size("embedding")).alias("low"), F.max(F.size("embedding")).alias("high")).first()
+    n, dim = dims["n"], dims["high"] or 0
+    if kind != "ragged" and n and dims["low"] != dim:
+        raise ValueError("rows of different lengths")
+    step = max(1, block_bytes // max(1, 4 * dim + 4 * prefix))
+    with temporary(spark):
+        placed = positions(rows, [], [F.col("vec_id")], "pos").withColumn("block", F.floor(F.col("pos") / step))
+
+        def pack(key, table):
+            import pyarrow as pa
+
+            table = table.sort_by("pos")
+            values = table.column("embedding").combine_chunks()
+            flat = values.flatten().to_numpy(zero_copy_only=False).astype(code)
+            if prefix:
+                lengths = values.value_lengths().to_numpy().astype("<u4")
+                at = np.cumsum(lengths.astype(np.int64)) - lengths
+                flat = np.insert(flat.view("<u4"), at, lengths)
+            return pa.table({"block": pa.array([key[0].as_py()]), "data": pa.array([flat.tobytes()], pa.binary())})
+
+        blocks = placed.select("block", "pos", "embedding").groupBy("block").applyInArrow(pack, "block bigint, data binary")
+        if is_mount(path):
+            sizes = placed.groupBy("block").agg(F.sum(F.size("embedding") * 4 + (4 if prefix else 0)).alias("bytes")).orderBy("block").collect()
+            head = struct.pack("<3I", 4, n, dim) if kind == "dense" else struct.pack("<2I", n, dim) if kind == "fbin" else b""
+            write_at(blocks, local(path), head, [r["bytes"] for r in sizes])
+        elif kind == "ragged":
+            raise ValueError("rows of different lengths are written to mounts only")
+        else:
+            # raw bytes as text; the line end that text files have is left off when they are read
+            blocks.select("block", F.col("data").cast("string").alias("value")).write.mode("overwrite").partitionBy("block").text(f"{path}/blocks")
+            spark.createDataFrame([(kind, element, n, dim, step)], "kind string, element string, n bigint, dim int, block_rows bigint").coalesce(1).write.mode("overwrite").parquet(f"{path}/header")
+
+
+def write_at(blocks: DataFrame, path: str, head: bytes, sizes: list[int]) -> None:
+    """Write (block, data) at their offsets in a new file of a shared mount; a task that is repeated writes the same bytes to the same place."""
+    offsets = np.concatenate([[len(head)], len(head) + np.cumsum(sizes, dtype=np.int64)]) if sizes else np.array([len(head)])
+    new = f"{path}.{uuid.uuid4().hex}"
+
+    def put(batches):
+        with open(new, "r+b") as f:
+            for batch in batches:
+                for block, data in zip(batch.column(0).to_pylist(), batch.column(1)):
+                    f.seek(int(offsets[block]))
+                    f.write(data.as_buffer())
+                yield batch.select([0])
+
+    with open(new, "wb") as f:
+        f.write(head)
+        f.truncate(int(offsets[-1]))
+    try:
+        blocks.mapInArrow(put, "block bigint").agg(F.count("*")).collect()
+        os.replace(new, path)
+    finally:
+        if os.path.exists(new):
+            os.remove(new)
 
 
 def detect_kind(path: str) -> str:
@@ -218,17 +296,29 @@ def hold_out(df: DataFrame, queries: int) -> tuple[DataFrame, DataFrame]:
     return df.where(F.col("vec_id") < queries), df.where(F.col("vec_id") >= queries)
 
 
-def write_truth(truth: DataFrame, path: str, k: int) -> None:
-    """Write (qid, rank, vec_id, ip) as a ground truth file; its size is queries times k, known beforehand."""
-    rows = truth.orderBy("qid", "rank").select("vec_id", "ip").collect()
-    ids, ips = np.array([r[0] for r in rows], "<i4"), np.array([r[1] for r in rows], "<f4")
-    with open(path, "wb") as f:
-        f.write(struct.pack("<2i", len(rows) // k, k) + ids.tobytes() + ips.tobytes())
+def write_truth(truth: DataFrame, path: str, k: int, block_rows: int = PART_BYTES // 8) -> None:
+    """Write (qid, rank, vec_id, ip), ``k`` rows a query, as a ground truth file of a shared mount: a section of ids, one of products."""
+    import pyarrow as pa
+
+    with temporary(truth.sparkSession):
+        placed = positions(truth.select("qid", "rank", "vec_id", "ip"), [], [F.col("qid"), F.col("rank")], "pos").withColumn("block", F.floor(F.col("pos") / block_rows))
+        n = placed.count()
+        if n % k:
+            raise ValueError(f"not {k} rows for each query")
+
+        def pack(key, table):
+            table = table.sort_by("pos")
+            ids, ips = table.column("vec_id").to_numpy().astype("<i4").tobytes(), table.column("ip").to_numpy().astype("<f4").tobytes()
+            return pa.table({"block": pa.array([2 * key[0].as_py(), 2 * key[0].as_py() + 1]), "data": pa.array([ids, ips], pa.binary())})
+
+        # blocks 0, 2, ... are the ids and 1, 3, ... the products; the file has all ids first
+        blocks = placed.select("block", "pos", "vec_id", "ip").groupBy("block").applyInArrow(pack, "block bigint, data binary")
+        parts = -(-n // block_rows)
+        blocks = blocks.select(F.when(F.col("block") % 2 == 0, F.col("block") / 2).otherwise((F.col("block") - 1) / 2 + parts).cast("long").alias("block"), "data")
+        rows = [min(block_rows, n - i * block_rows) for i in range(parts)]
+        write_at(blocks, local(path), struct.pack("<2i", n // k, k), [4 * r for r in rows + rows])
 
 
 def read_truth(spark: SparkSession, path: str) -> DataFrame:
-    with open_in(path) as f:
-        nq, k = struct.unpack("<2i", f.read(8))
-        ids, ips = np.frombuffer(f.read(4 * nq * k), "<i4"), np.frombuffer(f.read(4 * nq * k), "<f4")
-    rows = [(i // k, i % k + 1, int(ids[i]), float(ips[i])) for i in range(nq * k)]
-    return spark.createDataFrame(rows, "qid bigint, rank int, vec_id bigint, ip double")
+    spark.dataSource.register(VectorFile)
+    return spark.read.format("vectorfile").option("kind", "truth").load(path)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from innerscan import queries as core
 from innerscan.functions import vectors as V
 from innerscan.operators import frontier, graph, metrics, partition, search, srp, topk
-from innerscan.plans import index
+from innerscan.plans import by_norm, index
 from innerscan.sources import binary, read_truth, read_vectors, write_truth, write_vectors
 
 SF = "/root/testdata/sf0.001"
@@ -391,7 +391,41 @@ def test_saved_projections_and_tables_come_back(spark, fixture, tmp_path):
     assert (srp.load_projections(spark, str(tmp_path / "p")) == proj).all()
     tables = srp.hash_tables(srp.srp_hash(fixture[0], core.DIM), partition.norm_chunks(fixture[0])).select("chunk", "tbl", "h", "pos", "vec_id", "slot").persist()
     srp.save_tables(tables, str(tmp_path / "t"))
-    assert sorted(map(tuple, srp.load_tables(spark, str(tmp_path / "t")).collect())) == sorted(map(tuple, tables.collect()))
+    saved, blocks = srp.load_tables(spark, str(tmp_path / "t"))
+    assert sorted(map(tuple, saved.select(*tables.columns).collect())) == sorted(map(tuple, tables.collect()))
+    hashes = core.query_hashes(fixture[1])
+    seeds = srp.srp_seeds(saved, hashes, 5, blocks)
+    assert sorted(map(tuple, seeds.collect())) == sorted(map(tuple, srp.srp_seeds(tables, hashes, 5).collect()))
+    plan = seeds._jdf.queryExecution().optimizedPlan().toString()
+    assert "embedding" not in plan and "IN (" in seeds._jdf.queryExecution().executedPlan().toString().replace("INSET", "IN (")
+
+
+def scanned(df):
+    """Rows that a plan's scans gave after it was run."""
+    df.collect()
+    leaves = df._jdf.queryExecution().executedPlan().collectLeaves()
+    return sum(leaves.apply(i).metrics().get("numOutputRows").get().value() for i in range(leaves.size()))
+
+
+@pytest.mark.parametrize("length", [1.0, 30.0])
+def test_files_in_order_of_norms_are_read_only_where_they_matter(spark, tmp_path, length):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(3000, 4)) * rng.exponential(size=(3000, 1))
+    x[2000:2010] = x[7]
+    base, path = table(spark, x).repartition(5), str(tmp_path / "v")
+    by_norm.save_by_norm(base, path, file_rows=200, group_bytes=2000)
+    q = spark.createDataFrame([(i, (v * length).tolist()) for i, v in enumerate(np.abs(rng.normal(size=(3, 4))))], QUERIES)
+    trace = []
+    got = by_norm.sorted_topk(spark, path, q, 5, first_rows=100, trace=trace)
+    key = lambda df: sorted((r["qid"], r["rank"], r["vec_id"]) for r in df.collect())
+    assert key(got) == key(topk.exact_topk(base, q, 5))
+    assert sum(t.rows for t in trace) < 3000 and trace[-1].low > 0
+    rows = by_norm.open_by_norm(spark, path)
+    assert scanned(by_norm.between(rows, trace[0].low, trace[0].high)) < 1500 < scanned(rows) == 3000
+    # what can't be bounded reads everything: a zero query, one whose products are all negative
+    odd = spark.createDataFrame([(0, [0.0] * 4), (1, [-1e-3] * 4)], QUERIES)
+    assert key(by_norm.sorted_topk(spark, path, odd, 3000, first_rows=100)) == key(topk.exact_topk(base, odd, 3000))
+    assert by_norm.sorted_topk(spark, path, q.where("false"), 5).count() == 0
 
 
 def test_bands_reach_over_buckets(spark):
@@ -445,6 +479,30 @@ def test_binary_round_trip(spark, tmp_path, kind, monkeypatch):
         assert len(binary.VectorReader(path, kind, "float", None).partitions()) == 1
 
 
+@pytest.mark.parametrize("kind", ["dense", "fbin", "vecs"])
+def test_blocks_are_written_at_their_offsets_and_to_any_store(spark, tmp_path, kind, monkeypatch):
+    """Small blocks: the bytes of the one file are those of the format; a store that only Hadoop opens gets a folder."""
+    x = np.random.default_rng(1).normal(size=(53, 3)).astype(np.float32)
+    df = table(spark, x).repartition(4)
+    path = str(tmp_path / "v")
+    write_vectors(df, path, kind, block_bytes=100)
+    head = {"dense": struct.pack("<3I", 4, 53, 3), "fbin": struct.pack("<2I", 53, 3), "vecs": b""}[kind]
+    rows = b"".join((struct.pack("<I", 3) if kind == "vecs" else b"") + r.astype("<f4").tobytes() for r in x)
+    assert Path(path).read_bytes() == head + rows and [p.name for p in tmp_path.iterdir()] == ["v"]
+    monkeypatch.setattr(binary, "is_mount", lambda p: False)
+    store = f"file://{tmp_path}/store"
+    write_vectors(df, store, kind, block_bytes=100)
+    assert len(list((tmp_path / "store" / "blocks").glob("block=*/part-*"))) > 3
+    got = sorted(map(tuple, read_vectors(spark, store, kind).collect()))
+    assert [g[0] for g in got] == list(range(53)) and np.array_equal(np.array([g[1] for g in got], np.float32), x)
+    assert read_vectors(spark, store, kind, limit="10").count() == 10
+
+
+def test_no_rows_are_a_file_with_its_header(spark, tmp_path):
+    write_vectors(table(spark, np.zeros((0, 2))), str(tmp_path / "e.fbin"), "fbin")
+    assert (tmp_path / "e.fbin").read_bytes() == struct.pack("<2I", 0, 0) and read_vectors(spark, str(tmp_path / "e.fbin"), "fbin").count() == 0
+
+
 def test_a_short_file_is_refused(spark, tmp_path):
     path = tmp_path / "short.bin"
     path.write_bytes(struct.pack("<3I", 4, 100, 8) + b"\0" * 64)
