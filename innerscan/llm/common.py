@@ -3,50 +3,29 @@
 from __future__ import annotations
 
 import ctypes
-import gc
 import math
-import tempfile
-import time
-import uuid
 import weakref
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..storage import delete, new_path
+
 #: ASCII white space, as used by every word and line rule here.
 WS_CHARS = " \t\n\x0b\f\r"
 WS_REGEX = r"[\x20\x09-\x0D]+"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 MIN_LONG = -(2**63)
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Where the tables of :func:`materialize` are.
 WRITTEN: weakref.WeakKeyDictionary = weakref.WeakKeyDictionary()
 #: Rows that are broadcast at most; beyond it tables are joined by a shuffle.
 FEW_ROWS = 200_000
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    Only where the session names none (tests on one machine) a temporary
-    folder is made and set as the checkpoint folder.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    jsc = spark.sparkContext._jsc.sc()
-    if jsc.getCheckpointDir().isDefined():
-        return jsc.getCheckpointDir().get().rstrip("/")
-    made = tempfile.mkdtemp(prefix="innerscan-")
-    spark.sparkContext.setCheckpointDir(f"file://{made}")
-    return jsc.getCheckpointDir().get().rstrip("/")
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/innerscan/{uuid.uuid4().hex}/{name}"
-
-
 def materialize(df: DataFrame, name: str = "t", partition_by: Sequence[str] = ()) -> DataFrame:
     """Write ``df`` to the shared folder once and read it back.
 
@@ -71,12 +50,6 @@ def steady_heap() -> None:
         mallopt(option, 16 << 20)
 
 
-def delete(spark: SparkSession, path: str) -> None:
-    """Remove a folder that was written here, by whatever file system it is on."""
-    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-
-
 def forget(*tables: DataFrame) -> None:
     """Delete tables of :func:`materialize` that only written results still stem from."""
     for df in tables:
@@ -89,12 +62,18 @@ def few(df: DataFrame, rows: int = FEW_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
-def release(spark: SparkSession) -> None:
-    """Let go of what is no longer referred to, so that the files of finished shuffles are deleted now, not some time later."""
-    for wait in (0.5, 0.5, 2):  # the driver's Python lets go of the JVM's objects in the first round; then executors delete
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(wait)
+@contextmanager
+def shuffles_deleted(spark: SparkSession) -> Iterator[None]:
+    """Inside, the files of a query's shuffles are deleted when it ends, not when the driver's garbage is collected.
+
+    For steps that write tables: a query that is run again would compute its shuffles anew.
+    """
+    before = spark.conf.get(SHUFFLE_CLEANUP, None)
+    spark.conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(SHUFFLE_CLEANUP, before or "false")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -7,7 +7,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import MIN_LONG, ascii_lower, bucket_of, delete, few, materialize, range_bounds, shared_dir, shuffle_partitions, table, unwrapped, whole_rows, ws_strip
+from ..storage import session_dir
+from .common import MIN_LONG, ascii_lower, bucket_of, delete, few, materialize, range_bounds, shuffle_partitions, table, unwrapped, whole_rows, ws_strip
 
 SEED = 0x5EED
 
@@ -30,7 +31,7 @@ class LineRuns:
 
     def __init__(self, spark: SparkSession, buckets: int, fanout: int = 2):
         self.spark, self.buckets, self.fanout = spark, buckets, fanout
-        self.folder, self.levels, self.written = f"{shared_dir(spark)}/innerscan/{uuid.uuid4().hex}", [], []
+        self.folder, self.levels, self.written = f"{session_dir(spark)}/{uuid.uuid4().hex}", [], []
 
     def _write(self, df: DataFrame) -> str:
         name = f"run_{uuid.uuid4().hex}"

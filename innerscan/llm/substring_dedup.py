@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import MIN_LONG, few, forget, materialize, new_path, release, shuffle_partitions, steady_heap, table
+from .common import MIN_LONG, few, forget, materialize, new_path, shuffle_partitions, shuffles_deleted, steady_heap, table
 from .near_dedup import U, mix64
 
 LENGTH = 50
@@ -215,8 +215,10 @@ def repeated_filter(base: DataFrame, buckets: int, bits: int, known=None) -> np.
     sent = base.select("text", "later").mapInArrow(emit, "bucket int, keys binary, marks binary")
     out = np.zeros((1 << bits) // 8, np.uint8)
     part = len(out) // buckets
-    for row in sent.groupBy("bucket").applyInPandas(meet, "bucket int, bits binary").toLocalIterator():
+    filters = materialize(sent.groupBy("bucket").applyInPandas(meet, "bucket int, bits binary"), "filter")
+    for row in filters.toLocalIterator():
         out[row["bucket"] * part : (row["bucket"] + 1) * part] = np.frombuffer(row["bits"], np.uint8)
+    forget(filters)
     return out
 
 
@@ -379,15 +381,34 @@ def alike_windows(texts: list[bytes], left: np.ndarray, owners: np.ndarray) -> n
     return out
 
 
+def sides(contexts: DataFrame) -> DataFrame:
+    """Add ``group``: the contexts to compare with each other share one.
+
+    For most that is their key.  Keys with more than INDEX_CONTEXTS rows are
+    cut before they are dealt: by the key with the HALF bytes before it, and
+    again by the key with the HALF + 1 after it, as any string of LENGTH bytes
+    around a key holds one of these whole.
+    """
+    hot = materialize(contexts.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > INDEX_CONTEXTS).select("key", F.lit(True).alias("hot")), "hot")
+    length = F.octet_length("context")
+    before = F.when(F.col("left") >= HALF, F.xxhash64(F.lit(0), F.substring("context", F.col("left") - HALF + 1, F.lit(HALF + KEY))))
+    after = F.when(length >= F.col("left") + KEY + HALF + 1, F.xxhash64(F.lit(1), F.substring("context", F.col("left") + 1, F.lit(KEY + HALF + 1))))
+    groups = F.when(F.col("hot"), F.array_compact(F.array(before, after))).otherwise(F.array(F.xxhash64("key")))
+    return contexts.join(few(hot), "key", "left").withColumn("group", F.explode(groups)).drop("hot")
+
+
 def judged(contexts: DataFrame) -> DataFrame:
-    """(key, h, d0, starts, ends): of each context the spans, in its first document, that an earlier document holds.
+    """(key, h, d0, lo, hi): of each context the span, in its first document, that earlier documents hold; null if there is none.
 
-    Contexts without such a span that one document only has are left out.
+    ``contexts`` (key, h, d0, last, left, context, group, bucket) are compared
+    within a group.  Strings of LENGTH bytes around one key overlap, so what
+    is held is one span.  Contexts without one that one document only has are
+    left out.
     """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.groupby(["key", "h"], sort=True).agg(d0=("d0", "min"), last=("last", "max"), left=("left", "first"), context=("context", "first")).reset_index()
-        texts, left, d0, keys = pdf["context"].tolist(), pdf["left"].to_numpy(), pdf["d0"].to_numpy(), pdf["key"].tolist()
+        pdf = pdf.groupby(["group", "key", "h"], sort=True).agg(d0=("d0", "min"), last=("last", "max"), left=("left", "first"), context=("context", "first")).reset_index()
+        texts, left, d0, keys = pdf["context"].tolist(), pdf["left"].to_numpy(), pdf["d0"].to_numpy(), pdf["group"].tolist()
         sides = [
             [t[i - HALF : i + KEY] if i >= HALF else None for t, i in zip(texts, left)],
             [t[i : i + KEY + HALF + 1] if len(t) >= i + KEY + HALF + 1 else None for t, i in zip(texts, left)],
@@ -415,23 +436,13 @@ def judged(contexts: DataFrame) -> DataFrame:
                 at = np.array(chunk)
                 some = [texts[i] for i in chunk]
                 masks[at] |= earlier_windows(some, d0[at]) if len(chunk) <= 2 * INDEX_CONTEXTS else alike_windows(some, left[at], d0[at])
-        starts, ends = [], []
-        for m in masks.tolist():
-            s, e = [], []
-            while m:
-                o = (m & -m).bit_length() - 1
-                m &= m - 1
-                if e and o <= e[-1]:
-                    e[-1] = o + LENGTH
-                else:
-                    s.append(o)
-                    e.append(o + LENGTH)
-            starts.append(s)
-            ends.append(e)
-        out = pdf[["key", "h", "d0"]].assign(starts=starts, ends=ends)
+        lo = [(m & -m).bit_length() - 1 if m else None for m in masks.tolist()]
+        hi = [m.bit_length() - 1 + LENGTH if m else None for m in masks.tolist()]
+        out = pdf[["key", "h", "d0"]].assign(lo=pd.array(lo, "Int32"), hi=pd.array(hi, "Int32"))
         return out[(pdf["last"] > pdf["d0"]) | (masks != 0)]
 
-    return contexts.groupBy("bucket").applyInPandas(run, "key bigint, h bigint, d0 bigint, starts array<int>, ends array<int>")
+    found = contexts.groupBy("bucket").applyInPandas(run, "key bigint, h bigint, d0 bigint, lo int, hi int")
+    return found.groupBy("key", "h").agg(F.min("d0").alias("d0"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
 
 
 def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -454,51 +465,45 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     result.
     """
     spark = docs.sparkSession
-    base = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(MIN_LONG)).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    base = base.withColumn("th", F.xxhash64("text"))
-    parts = materialize(unit_rows(base), "parts")
-    # written, so that the join is planned for itself: a unit that very many documents have is split or broadcast
-    first = materialize(parts.groupBy("unit").agg(F.min("doc_id").alias("d0"), F.max("doc_id").alias("last")).where("d0 < last").select("unit", "d0"), "first")
-    later = parts.join(few(first), "unit").where("doc_id > d0").groupBy("doc_id", "th").agg(F.collect_set("no").alias("later"))
-    later = materialize(later, "later")
-    forget(parts, first)
-    release(spark)
-    # the texts lie in buckets by document from here on, so they are not shuffled again
-    n, name = shuffle_partitions(spark), f"texts_{uuid.uuid4().hex}"
-    joined = base.repartition(n, "doc_id", "th").join(later, ["doc_id", "th"], "left")
-    joined.write.bucketBy(n, "doc_id", "th").format("parquet").option("path", new_path(spark, "texts")).saveAsTable(name)
-    base = spark.table(name)
-    forget(later)
-    del joined, first, later, parts
-    release(spark)
-    total = (base.agg(F.sum(F.octet_length("text"))).first()[0] or 0) * 2 // (WINDOW + 1)
-    buckets = 16
-    while buckets * BUCKET_KEYS < total and buckets < 1 << 20:
-        buckets *= 2
-    bits = 20
-    while bits < FILTER_BITS and (1 << bits) < 16 * total:
-        bits += 1
-    by_key = repeated_filter(base, buckets, bits)
-    release(spark)
-    by_side = repeated_filter(base, buckets, bits, spark.sparkContext.broadcast(by_key.tobytes()))
-    release(spark)
-    sent = spark.sparkContext.broadcast((by_key.tobytes(), by_side.tobytes()))
-    rows = materialize(occurrences(base, sent, bits), "occurrences")
-    occ, contexts = rows.where("context is null"), rows.where("context is not null")
-    contexts = contexts.select("key", "h", F.col("doc_id").alias("d0"), F.col("th").alias("last"), "left", "context")
-    if np.unpackbits(by_side).mean() > FULL:
-        many = contexts.groupBy("key").agg(F.min("d0").alias("a"), F.max("last").alias("b")).where("a < b").select("key")
-        contexts = contexts.join(many, "key", "left_semi")
-    nb = max(64, contexts.count() // INDEX_CONTEXTS)
-    found = materialize(judged(contexts.withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(nb)).cast("int"))), "found")
-    release(spark)
-    whole = F.array(F.struct(F.lit(0).alias("s"), F.col("n").alias("e")))
-    own = F.transform(F.arrays_zip(F.col("starts").alias("s"), F.col("ends").alias("e")), lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e")))
-    hit = occ.select("key", "h", "doc_id", "th", "at", "n").join(found, ["key", "h"]).withColumn("x", F.explode(F.when(F.col("doc_id") > F.col("d0"), whole).otherwise(own)))
-    spans = hit.groupBy("doc_id", "th").agg(F.collect_list(F.col("at") + F.col("x.s")).alias("starts"), F.collect_list(F.col("at") + F.col("x.e")).alias("ends"))
-    spans = materialize(spans, "spans")
-    forget(rows, found)
-    release(spark)
+    with shuffles_deleted(spark):
+        base = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(MIN_LONG)).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+        base = base.withColumn("th", F.xxhash64("text"))
+        parts = materialize(unit_rows(base), "parts")
+        # written, so that the join is planned for itself: a unit that very many documents have is split or broadcast
+        first = materialize(parts.groupBy("unit").agg(F.min("doc_id").alias("d0"), F.max("doc_id").alias("last")).where("d0 < last").select("unit", "d0"), "first")
+        later = parts.join(few(first), "unit").where("doc_id > d0").groupBy("doc_id", "th").agg(F.collect_set("no").alias("later"))
+        later = materialize(later, "later")
+        forget(parts, first)
+        # the texts lie in buckets by document from here on, so they are not shuffled again
+        n, name = shuffle_partitions(spark), f"texts_{uuid.uuid4().hex}"
+        joined = base.repartition(n, "doc_id", "th").join(later, ["doc_id", "th"], "left")
+        joined.write.bucketBy(n, "doc_id", "th").format("parquet").option("path", new_path(spark, "texts")).saveAsTable(name)
+        base = spark.table(name)
+        forget(later)
+        total = (base.agg(F.sum(F.octet_length("text"))).first()[0] or 0) * 2 // (WINDOW + 1)
+        buckets = 16
+        while buckets * BUCKET_KEYS < total and buckets < 1 << 20:
+            buckets *= 2
+        bits = 20
+        while bits < FILTER_BITS and (1 << bits) < 16 * total:
+            bits += 1
+        by_key = repeated_filter(base, buckets, bits)
+        by_side = repeated_filter(base, buckets, bits, spark.sparkContext.broadcast(by_key.tobytes()))
+        sent = spark.sparkContext.broadcast((by_key.tobytes(), by_side.tobytes()))
+        rows = materialize(occurrences(base, sent, bits), "occurrences")
+        occ, contexts = rows.where("context is null"), rows.where("context is not null")
+        contexts = contexts.select("key", "h", F.col("doc_id").alias("d0"), F.col("th").alias("last"), "left", "context")
+        if np.unpackbits(by_side).mean() > FULL:
+            many = contexts.groupBy("key").agg(F.min("d0").alias("a"), F.max("last").alias("b")).where("a < b").select("key")
+            contexts = contexts.join(many, "key", "left_semi")
+        nb = max(64, contexts.count() // INDEX_CONTEXTS)
+        found = materialize(judged(sides(contexts).withColumn("bucket", F.pmod("group", F.lit(nb)).cast("int"))), "found")
+        later_one = F.col("doc_id") > F.col("d0")
+        hit = occ.select("key", "h", "doc_id", "th", "at", "n").join(found, ["key", "h"]).where(later_one | F.col("lo").isNotNull())
+        start, end = F.when(later_one, F.col("at")).otherwise(F.col("at") + F.col("lo")), F.when(later_one, F.col("at") + F.col("n")).otherwise(F.col("at") + F.col("hi"))
+        spans = hit.groupBy("doc_id", "th").agg(F.collect_list(start).alias("starts"), F.collect_list(end).alias("ends"))
+        spans = materialize(spans, "spans")
+        forget(rows, found)
     return base.join(spans, ["doc_id", "th"], "left").select("doc_id", "th", "text", "later", "starts", "ends")
 
 
