@@ -161,3 +161,29 @@ def linked(rows):
             at, depth = parents[at], depth + 1
         row[6:] = [*shown(row[6]), *shown(row[7]), *shown(at), depth]
     return [tuple(r) for r in out]
+
+
+def mixed(rows, weights=(1, 2, 3), epochs=3, seed=7):
+    """The texts that a mix of rows (doc_id, text, source) takes, with their ids, in order: whole ones by epoch, and the beginning of the one at the cut."""
+    size = {i: len(WORD.findall(t or "")) for i, t, _ in rows}
+    order = sorted({s for *_, s in rows}, key=lambda s: (s is None, s))
+    total = {s: sum(size[i] for i, _, x in rows if x == s) for s in order}
+    weight = {s: weights[n % len(weights)] for n, s in enumerate(order)}
+    level = 0.0
+    for _ in order:
+        full = [s for s in order if weight[s] * level > epochs * total[s]]
+        if rest := sum(weight[s] for s in order if s not in full):
+            level = (sum(total.values()) - sum(epochs * total[s] for s in full)) / rest
+    out = []
+    for s in order:
+        budget = min(epochs * total[s], round(min(epochs * total[s], weight[s] * level)))
+        whole, left = divmod(budget, total[s]) if total[s] else (0, 0)
+        mine = sorted((hashlib.md5(f"{seed}:{i}".encode()).hexdigest(), i, t) for i, t, x in rows if x == s)
+        for _, i, t in mine:
+            out += [(i, t)] * (whole if size[i] else 1)
+            if size[i] and 0 < left < size[i]:
+                out.append((i, WORD.findall(t)[:left]))
+            elif size[i] and left > 0:
+                out.append((i, t))
+            left -= size[i]
+    return out

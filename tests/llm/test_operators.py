@@ -398,6 +398,72 @@ def test_toxicity(spark):
     assert toxicity.drop_toxic(docs, none).count() == docs.count()
 
 
+def plain_ordinal(rows, grades, n_features, levels, rounds, rate=0.1, l2=1e-4):
+    """Adam on the mean log loss of the threshold questions, toxic and clean rows of one weight in all: one row, question and feature at a time."""
+    import math
+
+    share = sum(g > 0 for g in grades) / len(rows)
+    p = [0.0] * n_features + [1.0] + [0.0] * (levels - 2)
+    m, v = [0.0] * len(p), [0.0] * len(p)
+    for step in range(1, rounds + 1):
+        thetas = [p[n_features] + sum(math.exp(g) for g in p[n_features + 1 : n_features + 1 + k]) for k in range(levels - 1)]
+        g = [l2 * x for x in p[:n_features]] + [0.0] * (levels - 1)
+        for row, grade in zip(rows, grades):
+            s = sum(p[i] * math.log1p(n) for i, n in row.items())
+            for k, theta in enumerate(thetas):
+                e = (1 / (1 + math.exp(theta - s)) - (grade > k)) * 0.5 / (share if grade > 0 else 1 - share) / len(rows) / (levels - 1)
+                for i, n in row.items():
+                    g[i] += e * math.log1p(n)
+                g[n_features] -= e
+                for j in range(k):
+                    g[n_features + 1 + j] -= e * math.exp(p[n_features + 1 + j])
+        for i, x in enumerate(g):
+            m[i], v[i] = 0.9 * m[i] + 0.1 * x, 0.999 * v[i] + 0.001 * x * x
+            p[i] -= rate * (m[i] / (1 - 0.9**step)) / (math.sqrt(v[i] / (1 - 0.999**step)) + 1e-9)
+    return p[:n_features], [p[n_features] + sum(math.exp(g) for g in p[n_features + 1 : n_features + 1 + k]) for k in range(levels - 1)]
+
+
+@pytest.mark.parametrize("levels", [2, 3, 4])
+def test_ordinal_fit_by_brute_force(levels):
+    import random
+
+    rnd = random.Random(levels)
+    rows = [{i: rnd.randint(1, 4) for i in rnd.sample(range(6), rnd.randint(0, 4))} for _ in range(60)]
+    grades = [rnd.randrange(levels) for _ in rows]
+    w, thetas = toxicity.fit_ordinal(rows, __import__("numpy").array(grades), 6, levels, rounds=25)
+    want_w, want_thetas = plain_ordinal(rows, grades, 6, levels, 25)
+    assert w.tolist() == pytest.approx(want_w, rel=1e-6, abs=1e-8) and thetas.tolist() == pytest.approx(want_thetas, rel=1e-6)
+
+
+def test_toxicity_scores_and_features_by_brute_force(spark):
+    """The model's features from plain counts of the labelled texts, and every score from its weights and thresholds."""
+    import math
+
+    sf = "/root/testdata/sf0.001"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    model = toxicity.train(docs, labels)
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    known = {}
+    for r in labels.collect():
+        if texts.get(r["doc_id"]) is not None:
+            known[texts[r["doc_id"]]] = max(known.get(texts[r["doc_id"]], 0), r["toxic"])
+    sides = collections.defaultdict(lambda: [0, 0])
+    for t, bad in known.items():
+        for f in {f for w in t.lower().split() for f in toxicity.features(w)}:
+            sides[f][bad] += 1
+    n = [sum(b == side for b in known.values()) for side in (0, 1)]
+    odds = lambda g, b: math.log((b + 0.5) / (n[1] + 1)) - math.log((g + 0.5) / (n[0] + 1))
+    want = {f for f, (g, b) in sides.items() if odds(g, b) > max(toxicity.MIN_ODDS, toxicity.MIN_Z * math.sqrt(1 / (b + 0.5) + 1 / (g + 0.5)))}
+    assert set(model.index) == want
+    for r in toxicity.score(docs, model).collect():
+        count = collections.Counter(f for w in (texts[r["doc_id"]] or "").lower().split() for f in toxicity.features(w) if f in model.index)
+        s = sum(model.weights[model.index[f]] * math.log1p(c) for f, c in count.items())
+        above = [1 / (1 + math.exp(theta - s)) for theta in model.thetas]
+        each = [a - b for a, b in zip([1, *above], [*above, 0])]
+        assert r["evidence"] == sum(count.values()) and r["p_toxic"] == pytest.approx(above[0]) and r["severity"] == pytest.approx(sum(above))
+        assert each[r["grade"]] == pytest.approx(max(each))
+
+
 def test_toxicity_on_held_out_rows(spark):
     """Fitted on half of the labelled rows of the larger table; the others tell its accuracy."""
     sf = "/root/testdata/sf0.1"

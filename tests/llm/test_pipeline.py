@@ -35,14 +35,44 @@ def test_each_stage_on_its_own_input(stages):
     want = brute.near(list(lines.items()), percent=80)
     assert set(near) == {i for i, (_, c) in want.items() if i == c}
     assert all(near[i] == lines[i] for i in near)
-    mixed = table["mixing"].collect()
-    assert {r["doc_id"] for r in mixed} <= set(near)
-    words = sum(len(brute.WORD.findall(r["text"] or "")) for r in mixed)
-    total = sum(len(brute.WORD.findall(t or "")) for t in near.values())
-    assert words == pytest.approx(total, rel=0.01)
+
+
+def test_the_mixing_stage_by_brute_force(stages):
+    table = {n: df for n, df in stages}
+    key = lambda rows: sorted((i, " ".join(t if isinstance(t, list) else brute.WORD.findall(t or ""))) for i, t in rows)
+    want = brute.mixed([(r["doc_id"], r["text"], r["source"]) for r in table["near_dedup"].collect()])
+    got = table["mixing"].collect()
+    assert key((r["doc_id"], r["text"]) for r in got) == key(want)
+    near = {r["doc_id"]: r["text"] for r in table["near_dedup"].collect()}
+    assert all((near[r["doc_id"]] or "").startswith(r["text"] or "") for r in got)
+    assert all(r["n_chars"] == len(r["text"] or "") for r in got)
+
+
+def test_the_packing_stage_by_brute_force(stages):
+    """Every row of the mix, cut into the tokenizer's ids by plain slices, and sequences without gaps near the bound."""
+    import collections
+    import zlib
+
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    table = {n: df for n, df in stages}
     packed = table["packing"].collect()
-    assert {r["doc_id"] for r in packed} == {r["doc_id"] for r in mixed}
-    assert sum(r["piece"] == 0 for r in packed) == len(mixed)
+    pieces = collections.Counter((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in packed)
+    want = collections.Counter()
+    for r in table["mixing"].collect():
+        ids = [*tok.encode(r["text"] or "", add_special_tokens=False).ids, 0]
+        first = next(x for x in packed if x["doc_id"] == r["doc_id"] and x["piece"] == 0 and (len(ids) - x["length"]) % 2048 == 0)["length"] if len(ids) > 2048 else len(ids)
+        cuts = [0, *range(first, len(ids) + 1, 2048)]
+        want.update((r["doc_id"], n, a, b - a, zlib.crc32(b"".join(x.to_bytes(4, "little") for x in ids[a:b]))) for n, (a, b) in enumerate(zip(cuts, cuts[1:])))
+    assert pieces == want
+    at = collections.defaultdict(list)
+    for r in packed:
+        at[r["sequence_id"]].append((r["offset"], r["length"]))
+    for parts in at.values():
+        assert all(a[0] + a[1] == b[0] for a, b in zip(sorted(parts), sorted(parts)[1:])) and min(parts)[0] == 0 and sum(n for _, n in parts) <= 2048
+    assert len(at) <= 1.02 * -(-sum(r["length"] for r in packed) // 2048) + 1
 
 
 def test_the_toxicity_stage_drops_what_the_model_finds(spark, stages):
