@@ -99,20 +99,26 @@ FROM documents d JOIN reach ON reach.x = d.doc_id LEFT JOIN n ON n.doc_id = d.do
 SUBSTRINGS = r"""
 WITH hx AS (
   SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents
-), bytes AS (
-  SELECT doc_id, p, substr(h, 2 * p - 1, 2) AS b, CASE WHEN 2 * p + 98 <= length(h) THEN substr(h, 2 * p - 1, 100) END AS g
-  FROM (SELECT doc_id, h, unnest(range(1, length(h) // 2 + 1)) AS p FROM hx)
+), grams AS (
+  SELECT doc_id, p, md5_number(substr(h, 2 * p - 1, 100)) AS g FROM (SELECT doc_id, h, unnest(range(1, length(h) // 2 - 48)) AS p FROM hx)
 ), firsts AS (
-  SELECT g, min(doc_id) AS d0 FROM bytes WHERE g IS NOT NULL GROUP BY g
-), judged AS (
-  SELECT doc_id, p, b, max(CASE WHEN d0 < doc_id THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY p ROWS BETWEEN 49 PRECEDING AND CURRENT ROW) AS gone
-  FROM bytes LEFT JOIN firsts USING (g)
+  SELECT g, min(doc_id) AS d0 FROM grams GROUP BY g HAVING min(doc_id) < max(doc_id)
+), hits AS (
+  SELECT doc_id, p, lag(p) OVER (PARTITION BY doc_id ORDER BY p) AS q FROM grams JOIN firsts USING (g) WHERE d0 < doc_id
 ), runs AS (
-  SELECT *, CASE WHEN gone = 1 AND coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY p), 0) = 0 THEN 1 ELSE 0 END AS begins FROM judged
+  SELECT doc_id, p, sum(CASE WHEN q IS NULL OR p > q + 50 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY p) AS r FROM hits
+), spans AS (
+  SELECT doc_id, min(p) - 1 AS a, max(p) + 49 AS b FROM runs GROUP BY doc_id, r
+), lists AS (
+  SELECT doc_id, list(a ORDER BY a) AS s, list(b ORDER BY a) AS e, sum(b - a) AS n_removed FROM spans GROUP BY doc_id
+), kept AS (
+  SELECT doc_id, h, coalesce(n_removed, 0) AS n_removed, coalesce(len(s), 0) AS n_spans,
+         CASE WHEN s IS NULL THEN h ELSE array_to_string(list_transform(range(0, len(s) + 1), lambda i:
+           substr(h, CAST(2 * CASE WHEN i = 0 THEN 0 ELSE e[i] END + 1 AS BIGINT), CAST(2 * (CASE WHEN i = len(s) THEN length(h) // 2 ELSE s[i + 1] END - CASE WHEN i = 0 THEN 0 ELSE e[i] END) AS BIGINT))), '') END AS k
+  FROM hx LEFT JOIN lists USING (doc_id)
 )
-SELECT doc_id, count(b) AS n_bytes, CAST(coalesce(sum(gone), 0) AS BIGINT) AS n_removed, CAST(coalesce(sum(begins), 0) AS BIGINT) AS n_spans,
-       sha256(unhex(coalesce(string_agg(b, '' ORDER BY p) FILTER (gone = 0), ''))) AS kept_sha256
-FROM (SELECT doc_id FROM documents) LEFT JOIN runs USING (doc_id) GROUP BY doc_id
+SELECT doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, CAST(n_removed AS BIGINT) AS n_removed, CAST(n_spans AS BIGINT) AS n_spans, sha256(unhex(k)) AS kept_sha256
+FROM kept
 """
 
 FILTER_AUDIT = r"""

@@ -25,6 +25,7 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op3_substring_dedup": oracle.SUBSTRINGS,
         "op4_bm25": oracle.BM25,
         "op5_line_dedup": oracle.LINE_DEDUP,
         "op6_minhash": oracle.MINHASH,
