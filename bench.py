@@ -14,6 +14,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from innerscan import queries as core
+from innerscan.functions.vectors import norm
 from innerscan.operators import metrics, search, topk
 from innerscan.plans import index
 from innerscan.storage import shared_dir
@@ -45,11 +46,15 @@ def measured(ix, q, truth, k: int, **options) -> tuple[float, dict]:
     return took, {"recall": round(row["recall"], 4), "ratio": round(row["ratio"], 4), "cost": cost["cost"], "groups": cost["groups"]}
 
 
-def grown(base, copies: int, by: float = 0.05):
-    """``base`` ``copies`` times over, each copy with its own noise: for sizes at which a graph decides something."""
-    copied = base.withColumn("c", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))))
-    noise = lambda x, i: x + by * (F.pmod(F.xxhash64("vec_id", "c", i), F.lit(2001)) / 1000.0 - 1.0)
-    return copied.select((F.col("vec_id") * copies + F.col("c")).alias("vec_id"), F.transform("embedding", noise).alias("embedding"))
+def grown(base, copies: int):
+    """Sums of each vector and ``copies`` others, chosen by a hash, at the first one's length: for sizes at which a graph decides something."""
+    rows = base.select("vec_id", "embedding")
+    low, n = rows.agg(F.min("vec_id"), F.count("*")).first()
+    pairs = rows.withColumn("c", F.explode(F.sequence(F.lit(0), F.lit(copies - 1)))).withColumn("other", low + F.pmod(F.xxhash64("vec_id", "c"), F.lit(n)))
+    met = pairs.join(rows.select(F.col("vec_id").alias("other"), F.col("embedding").alias("e2")), "other")
+    total = F.zip_with("embedding", "e2", lambda a, b: a + b)
+    met = met.withColumn("by", norm(F.col("embedding")) / norm(total)).withColumn("embedding", F.transform(total, lambda x: x * F.col("by")))
+    return met.select((F.col("vec_id") * copies + F.col("c")).alias("vec_id"), "embedding")
 
 
 def searches(spark: SparkSession) -> tuple[dict, dict, dict]:
@@ -87,7 +92,7 @@ def searches(spark: SparkSession) -> tuple[dict, dict, dict]:
     times["large_exact_topk"] = seconds(lambda: topk.exact_topk(more, q, core.K))
     times["large_norm_pruned_topk"] = seconds(lambda: topk.exact_topk(more, q, core.K, prune=True))
     truth = topk.exact_topk(more, q, core.K).persist()
-    for name, options in (("large_pruned_beam_ef50", dict(ef=50)), ("large_norm_pruned_beam_ef50", dict(ef=50, z=None)), ("large_pruned_beam_few_seeds", dict(ef=50, ub=20))):
+    for name, options in (("large_pruned_beam_ef50", dict(ef=50)), ("large_norm_pruned_beam_ef50", dict(ef=50, z=None)), ("large_pruned_beam_ef200", dict(ef=200)), ("large_pruned_beam_few_seeds", dict(ef=50, ub=20))):
         times[name], quality[name] = measured(ix, q, truth, core.K, **options)
     return times, quality, sweep
 

@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions.vectors import EPS, as_double, cosine_table, norm
 from ..storage import written
@@ -22,6 +23,7 @@ from .topk import QUERY_BLOCK_BYTES, exact_topk, rank_by_ip
 from .walk import Shard
 
 FOUND = "qid bigint, chunk int, shard int, cost bigint, ids array<bigint>, ips array<double>"
+SHARDS_AT_ONCE = 64
 RESULT = "qid bigint, rank int, vec_id bigint, ip double"
 
 
@@ -141,23 +143,28 @@ def search(
     blocks = max(1, -(-size["n"] * 8 * (size["dim"] or 1) // block_bytes))
     kernel = searcher(k, ef, search_min, ub, entry, norm_prune, z, step, index.params)
     chunks = index.chunks() if size["n"] else []
-    ranked, costs, entered = [], [], []
+    ranked, entered = [], []
     for b in range(blocks):
         mine = units.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == b) if blocks > 1 else units
-        best = None
+        n = size["n"] if blocks == 1 else mine.count()
+        best = state = None
         for c in chunks:
-            if best is not None and stop_by_norm:
-                state = best.agg(F.countDistinct("qid").alias("known"), F.count(F.when(F.col("rank") == k, 1)).alias("full"), F.min(F.when(F.col("rank") == k, F.col("ip"))).alias("low")).first()
-                if state["full"] == state["known"] > 0 and state["low"] > c["max_norm"] and state["known"] == mine.count():
-                    break
-            seen = Observation()  # counts are taken as the wave is written
+            if state and stop_by_norm and state["full"] == n and state["low"] > c["max_norm"]:
+                break
+            counts = Observation()  # taken as the wave is written
             got = wave(index, alive(mine, best, k, c["max_norm"] if stop_by_norm else None), best, c["chunk"], kernel, normal_edges)
-            out = written(got.observe(seen, F.count("*").alias("groups"), F.sum("cost").alias("products")))
+            out = written(got.observe(counts, F.count("*").alias("groups"), F.sum("cost").alias("products")))
             if trace is not None:
-                trace.waves.append(Wave(b, c["chunk"], seen.get["groups"] // max(1, c["shards"]), seen.get["groups"], seen.get["products"] or 0))
+                trace.waves.append(Wave(b, c["chunk"], counts.get["groups"] // max(1, c["shards"]), counts.get["groups"], counts.get["products"] or 0))
             entered.append(out)
             new = out.select("qid", F.explode(F.arrays_zip("ids", "ips")).alias("r")).select("qid", F.col("r.ids").alias("vec_id"), F.col("r.ips").alias("ip"))
-            best = written(rank_by_ip(new if best is None else best.select("qid", "vec_id", "ip").unionByName(new), k).select("qid", "rank", "vec_id", "ip"))
+            both = new if best is None else best.select("qid", "vec_id", "ip").unionByName(new)
+            # a few shards give a query few candidates, which one level ranks
+            kept = rank_by_ip(both, k) if c["shards"] > SHARDS_AT_ONCE else both.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(F.col("ip").desc(), "vec_id"))).where(F.col("rank") <= k)
+            full = F.col("rank") == k
+            seen = Observation()
+            best = written(kept.select("qid", "rank", "vec_id", "ip").observe(seen, F.count(F.when(full, 1)).alias("full"), F.min(F.when(full, F.col("ip"))).alias("low")))
+            state = seen.get
         if best is not None:
             ranked.append(best)
     if not ranked:
