@@ -17,7 +17,7 @@ from innerscan import queries as core
 from innerscan.functions.vectors import norm
 from innerscan.operators import metrics, search, topk
 from innerscan.plans import index
-from innerscan.storage import shared_dir
+from innerscan.storage import clear, session_dir
 
 SF = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 CPUS = os.environ.get("BENCH_CPUS", "8")
@@ -61,7 +61,7 @@ def searches(spark: SparkSession) -> tuple[dict, dict, dict]:
     """Build time, search times and quality on one saved index; the sweep of ef at k = 50 with and without cross-chunk edges; larger tables."""
     base, q = core.fixture(spark, SF)
     truth = topk.exact_topk(base, q, SWEEP_K).persist()
-    path = f"{shared_dir(spark)}/bench-{os.getpid()}"
+    path = f"{session_dir(spark)}/bench"
     times, quality, sweep, indexes = {}, {}, {}, {}
     for name, normal in (("build_index", False), ("build_index_normal_edges", True)):
         began = time.perf_counter()
@@ -112,6 +112,7 @@ def main() -> None:
     queries["exact_topk_ip"](spark, SF).count()  # starts the JVM code and the Python workers
     times = {name: seconds(lambda n=name: queries[n](spark, SF)) for name in CORE}
     more, quality, sweep = searches(spark)
+    clear(spark)
     times |= more
     print(json.dumps({"metric": "inner product search, total", "value": round(sum(times.values()), 3), "unit": "sec", "queries": times, "quality": quality, "sweep_k50": sweep, "sf": os.path.basename(SF.rstrip("/"))}), flush=True)
 

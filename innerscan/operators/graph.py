@@ -15,6 +15,8 @@ from .partition import with_earlier
 from .topk import trim
 
 MAX_DEGREE, DEGREE, WIDTH = 48, 24, 10
+#: Members of a chunk that bands of norms join at most.
+LARGEST_BAND = 250_000
 
 
 def score(pairs: DataFrame, base: DataFrame) -> DataFrame:
@@ -45,10 +47,16 @@ def hash_band_join(tables: DataFrame, base: DataFrame, width: int = WIDTH, degre
     return trim(score(hash_band_pairs(tables, width, directed), base), degree).select("src", "dst", "ip")
 
 
-def norm_band_pairs(chunks: DataFrame) -> DataFrame:
-    """(src, dst), both ways: in each chunk of n members every one with the floor(sqrt(n)) before it in norm order."""
+def norm_band_pairs(chunks: DataFrame, largest: int = LARGEST_BAND) -> DataFrame:
+    """(src, dst), both ways: in each chunk of n members every one with the floor(sqrt(n)) before it in norm order.
+
+    The band widens with the chunk, so this is for small chunks: one of more
+    than ``largest`` members is refused; bands in hash order are for those.
+    """
     n = chunks.groupBy("chunk").agg(F.floor(F.sqrt(F.count("*"))).cast("int").alias("band"))
     most = n.agg(F.max("band")).first()[0] or 1
+    if most * most > largest:
+        raise ValueError(f"a chunk of more than {largest} members: use hash_band_pairs")
     near = with_earlier(chunks.join(n, "chunk"), ["chunk"], "pos", most, F.col("vec_id"), "__n")
     near = near.withColumn("__n", F.slice("__n", F.greatest(F.size("__n") - F.col("band") + 1, F.lit(1)), F.col("band")))
     one = near.select(F.col("vec_id").alias("src"), F.explode("__n").alias("dst"))

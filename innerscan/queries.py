@@ -33,6 +33,13 @@ def fixture(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return base.select("vec_id", V.scale(F.col("embedding"), by).alias("embedding")), queries
 
 
+def meeting(q: DataFrame, limit: int = 1_000) -> DataFrame:
+    """The held-out queries, marked for broadcasting once their number is checked; a larger set goes out in blocks, see ``exact_topk``."""
+    if q.limit(limit + 1).count() > limit:
+        raise ValueError(f"more than {limit} queries to meet every row")
+    return F.broadcast(q)
+
+
 def r6(df: DataFrame, *cols: str) -> DataFrame:
     return df.withColumns({c: F.round(c, 6) for c in cols})
 
@@ -56,7 +63,7 @@ def exact_topk_ip(spark, d):
 def exact_topk_sql(spark, d):
     """The same by DataFrame functions only: a nested-loop join with the queries, then a limited rank."""
     base, q = fixture(spark, d)
-    scored = base.join(q, F.lit(True)).select("qid", "vec_id", V.inner_product(F.col("embedding"), F.col("qv")).alias("ip"))
+    scored = base.join(meeting(q), F.lit(True)).select("qid", "vec_id", V.inner_product(F.col("embedding"), F.col("qv")).alias("ip"))
     return r6(topk.rank_by_ip(scored, K).select("qid", "rank", "vec_id", "ip"), "ip")
 
 
@@ -83,7 +90,7 @@ def query_normalize(spark, d):
 def distance(f):
     def run(spark, d):
         base, q = fixture(spark, d)
-        met = base.join(F.broadcast(q), F.lit(True))  # the 20 held-out queries
+        met = base.join(meeting(q), F.lit(True))
         return met.select("qid", "vec_id", F.round(f(F.col("embedding"), F.col("qv")), 6).alias("dist"))
 
     return run
@@ -128,7 +135,7 @@ def met_hashes(spark, d):
     """(a_id, a, b_id, b): the words of the held-out queries and of every base row."""
     base, q = fixture(spark, d)
     words = lambda df, key, p: df.select(F.col(key).alias(f"{p}_id"), F.array("h0", "h1", "h2", "h3").alias(p))
-    return words(srp.srp_hash(base, DIM), "vec_id", "b").join(F.broadcast(words(query_hashes(q), "qid", "a")), F.lit(True))
+    return words(srp.srp_hash(base, DIM), "vec_id", "b").join(meeting(words(query_hashes(q), "qid", "a")), F.lit(True))
 
 
 def hamming(spark, d):
@@ -149,7 +156,7 @@ def est_ip(spark, d):
     base, q = fixture(spark, d)
     words = lambda p: F.array(*[F.col(f"h{i}") for i in range(4)]).alias(p)
     h = srp.srp_hash(base, DIM).select("vec_id", words("b")).join(partition.with_norms(base).select("vec_id", "norm"), "vec_id")
-    met = h.join(query_hashes(q).select("qid", words("a")), F.lit(True))
+    met = h.join(meeting(query_hashes(q).select("qid", words("a"))), F.lit(True))
     return met.select("qid", "vec_id", F.round(V.estimated_ip(V.hamming(F.col("a"), F.col("b")), F.col("norm")), 6).alias("est"))
 
 
@@ -157,7 +164,7 @@ def norm_predicate(spark, d):
     """Rows that the norm bound of each query's k-th best product leaves."""
     base, q = fixture(spark, d)
     kth = topk.exact_topk(base, q, K).where(F.col("rank") == K).select("qid", F.col("ip").alias("kth"))
-    return partition.with_norms(base).select("norm").join(kth, V.may_reach(F.col("norm"), F.col("kth"))).groupBy("qid").agg(F.count("*").alias("kept"))
+    return partition.with_norms(base).select("norm").join(meeting(kth), V.may_reach(F.col("norm"), F.col("kth"))).groupBy("qid").agg(F.count("*").alias("kept"))
 
 
 def lsh_window_graph(spark, d, directed=True):

@@ -148,6 +148,13 @@ def test_directed_bands_point_to_larger_norms(spark, fixture):
     assert all(pos[r["src"]] > pos[r["dst"]] for r in graph.hash_band_pairs(tables, 3).collect())
 
 
+def test_bands_of_norms_refuse_large_chunks(spark, fixture):
+    chunks = partition.norm_chunks(fixture[0])
+    assert graph.norm_band_pairs(chunks).count() > 0
+    with pytest.raises(ValueError):
+        graph.norm_band_pairs(chunks, largest=100)
+
+
 def test_refinement_keeps_or_raises_products(spark, fixture):
     base, *_ = fixture
     chunks = partition.norm_chunks(base)
