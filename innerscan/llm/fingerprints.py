@@ -78,6 +78,11 @@ def edited_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     follows the last.  Ids are cut into ranges of about equal numbers; a
     range's first document is copied to the range before, so one shuffle and
     one sort within ranges find every next document.
+
+    Null text is empty; an empty text stays as it is, and so does one of fewer
+    than four characters.  Repeated rows are documents each, and follow each
+    other.  A single document follows itself.  An empty table gives an empty
+    result; columns other than id and text are ignored, whatever their names.
     """
     spark = docs.sparkSession
     base = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))

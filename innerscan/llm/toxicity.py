@@ -102,8 +102,12 @@ def fit_ordinal(rows: list[dict[int, int]], grades: np.ndarray, n_features: int,
 def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, id_col: str = "doc_id", text_col: str = "text") -> Model:
     """Fit a model on at most ``max_labelled`` labelled documents, equal texts once.
 
-    Features are all that the labels show to stand for toxic texts, tested by
-    their log odds; their number is bounded by the sample alone.
+    ``labels`` has columns doc_id and toxic.  Features are all that the labels
+    show to stand for toxic texts, tested by their log odds.  The bound is on
+    rows, not on bytes: what the driver gathers, the features picked and each
+    labelled text's counts of them, is at most the distinct words and word
+    beginnings of ``max_labelled`` texts, so very long labelled texts call for
+    a smaller number.
 
     Labels know toxic and clean, no grades.  Grade 0 is a document labelled
     clean.  Toxic ones get grade 2 if they hold at least as many features as
