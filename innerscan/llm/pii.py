@@ -25,6 +25,8 @@ CANDIDATE = (
     r"(?<![^\x20\x09-\x0D])(?:\+[0-9][\x20().0-9-]+[0-9]|[0-9](?:[\x20-]?[0-9]){11,18}(?![0-9])"
     r"|[^\x20\x09-\x0D0-9@]*+[0-9@][^\x20\x09-\x0D]*+)"
 )
+#: Two words after a candidate.
+AFTER = r"^[\x20\x09-\x0D]*([^\x20\x09-\x0D]+)[\x20\x09-\x0D]+([^\x20\x09-\x0D]+)"
 LEFT_JUNK, RIGHT_JUNK = "([{<\"'`*_", ")]}>\"'`*_.,;:!?"
 ROUNDS, MIN_SUPPORT, MIN_PATTERN, MIN_INSTANCE = 4, 3.0, 0.6, 0.6
 
@@ -109,22 +111,51 @@ def context(before: Column) -> Column:
     return ascii_lower(two[0])
 
 
+def slotted(words: Column) -> Column:
+    """The words of a context, every number in them the same."""
+    return F.regexp_replace(words, "[0-9]+", "0")
+
+
+def following(after: Column) -> Column:
+    """The two words after, else null; only these are read."""
+    word = lambda t, i: F.regexp_extract(t, AFTER, i)
+    two = F.transform(F.array(after), lambda t: F.when(F.rlike(t, F.lit(AFTER)), F.concat_ws(" ", word(t, 1), word(t, 2))))
+    return ascii_lower(two[0])
+
+
+def between(left: Column, right: Column) -> Column:
+    """The last word of the left context and the first of the right one, where there are both."""
+    return F.when(left.isNotNull() & right.isNotNull(), F.concat_ws(" _ ", F.substring_index(left, " ", -1), F.substring_index(right, " ", 1)))
+
+
 def with_candidates(docs: DataFrame, text: str = "__text") -> DataFrame:
-    """Add ``candidates`` (start, end, value, pattern): tokens that may be identifiers; one without a context has no pattern."""
+    """Add ``candidates`` (start, end, value, pattern, others): tokens that may be identifiers.
+
+    ``pattern`` is the left context, null without one; ``others`` are, with
+    numbers as slots, the left and the right context and the words on either
+    side.
+    """
     hits = docs.withColumn("__c", F.when(F.rlike(text, F.lit("[0-9@]")), F.regexp_extract_all(text, F.lit(CANDIDATE), 0)).otherwise(F.array().cast("array<string>")))
     hits = with_starts(hits.withColumn("__g", gaps(text, "__c", CANDIDATE)), "__c", "__g", "__s")
     none = F.array(F.lit(""))
     # The gap and match before, and one match more, hold two words at least; a match begins a word.
-    near = F.arrays_zip(F.concat(none, none, "__c").alias("a"), F.concat(none, "__g").alias("b"), F.concat(none, "__c").alias("c"), F.col("__g").alias("d"))
-    patterns = F.transform(F.slice(near, F.lit(1), F.size("__c")), lambda x: context(F.concat(x["a"], x["b"], x["c"], x["d"])))
+    later = lambda c, i: F.slice(F.concat(c, none, none), F.lit(1 + i), F.size(c))
+    near = F.arrays_zip(
+        F.concat(none, none, "__c").alias("a"), F.concat(none, "__g").alias("b"), F.concat(none, "__c").alias("c"), F.col("__g").alias("d"),
+        later(F.col("__g"), 1).alias("e"), later(F.col("__c"), 1).alias("f"), later(F.col("__g"), 2).alias("g"),
+    )
+    sides = F.transform(F.slice(near, F.lit(1), F.size("__c")), lambda x: F.struct(context(F.concat(x["a"], x["b"], x["c"], x["d"])).alias("l"), following(F.concat(x["e"], x["f"], x["g"])).alias("r")))
+    tagged = lambda tag, c: F.when(c.isNotNull(), F.concat(F.lit(tag), c))
+    others = lambda x: F.array_compact(F.array(tagged("< ", slotted(x["l"])), tagged("> ", slotted(x["r"])), tagged("| ", slotted(between(x["l"], x["r"])))))
+    patterns = F.transform(sides, lambda x: F.struct(x["l"].alias("l"), others(x).alias("o")))
 
     def build(x):
         right = F.ltrim(x["v"], F.lit(LEFT_JUNK))
         core, at = F.rtrim(right, F.lit(RIGHT_JUNK)), x["s"] + F.length(x["v"]) - F.length(right)
-        return F.struct(at.cast("int").alias("start"), (at + F.length(core)).cast("int").alias("end"), core.alias("value"), x["p"].alias("pattern"))
+        return F.struct(at.cast("int").alias("start"), (at + F.length(core)).cast("int").alias("end"), core.alias("value"), x["p"]["l"].alias("pattern"), x["p"]["o"].alias("others"))
 
     found = F.transform(F.arrays_zip(F.col("__s").alias("s"), F.col("__c").alias("v"), patterns.alias("p")), build)
-    kind = "array<struct<start:int,end:int,value:string,pattern:string>>"
+    kind = "array<struct<start:int,end:int,value:string,pattern:string,others:array<string>>>"
     found = F.when(F.size("__c") > 0, F.filter(found, lambda x: x["value"] != "")).otherwise(F.array()).cast(kind)
     return hits.withColumn("candidates", found).drop("__c", "__g", "__s")
 
@@ -186,7 +217,7 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ro
     read = with_candidates(with_base(rows)).drop("__text").withColumn("row", F.monotonically_increasing_id())
     read = materialize(read, "pii")
     seen = read.select("row", F.explode("candidates").alias("c")).select("row", "c.*")
-    found = bootstrap(seen.where("pattern is not null").select("pattern", "value").distinct(), rounds)
+    found = bootstrap(seen.select(F.explode(F.array_compact(F.concat(F.array("pattern"), "others"))).alias("pattern"), "value").distinct(), rounds)
     extra = seen.join(few(found).withColumnRenamed("kind", "__kind"), "value")
     kind_no = F.array_position(F.array(*map(F.lit, KINDS)), F.col("__kind")).cast("int") - 1
     extra = extra.select("row", F.struct("start", kind_no.alias("k"), "end", F.col("__kind").alias("kind"), "value").alias("s"))

@@ -178,6 +178,36 @@ def test_bootstrapping_finds_unseen_identifiers(spark):
     assert rows[12][1][out[50]["spans"][0]["start"] : out[50]["spans"][0]["end"]] == "user77(at)mail"
 
 
+def test_right_contexts_and_number_slots_find_identifiers_too(spark):
+    rows = [(i, f"w{chr(97 + i)}x q{chr(97 + i)}y user{i}@mail.example.com wrote on Monday") for i in range(12)]
+    rows += [(20 + i, f"ticket {i} from: user{i}@post.example.com x{i}") for i in range(12)]
+    rows += [(50, "zz yy user77(at)mail wrote on Monday"), (51, "ticket 4711 from: user99(at)mail"), (52, "room 12a has walls"), (53, "on 5th of may")]
+    out = {r["doc_id"]: r["spans"] for r in pii.find_pii(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert [[s["value"] for s in out[i]] for i in range(50, 54)] == [["user77(at)mail"], ["user99(at)mail"], [], []]
+
+
+def test_planted_identifiers_are_found_and_others_left(spark):
+    """Recall and precision on a corpus with planted identifiers of unseen forms in contexts to the left, to the right and around."""
+    import random
+
+    rnd = random.Random(11)
+    word = lambda: "".join(rnd.choice("abcdefghij") for _ in range(rnd.randint(2, 8)))
+    frames = ["please mail to {} {}", "{} {} replied to us", "account holder: {} {}", "sender {} signed {}"]
+    rows, planted, others = [], {}, {}
+    for i in range(800):
+        frame, noise = rnd.choice(frames), [word() for _ in range(12)]
+        if i % 4:
+            value = f"{word()}{i}@{word()}.example.org"
+        else:
+            value = planted[i] = f"{word()}{i}[at]{word()}"
+        others[i] = f"{word()}{rnd.randint(1, 999)}"
+        said = frame.format(*((value, word()) if frame[0] != "{" else (value, ""))).replace("  ", " ")
+        rows.append((i, " ".join([*noise[:6], said, *noise[6:9], others[i], *noise[9:]])))
+    out = {r["doc_id"]: {s["value"] for s in r["spans"]} for r in pii.find_pii(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    found, wrong = sum(v in out[i] for i, v in planted.items()), sum(others[i] in out[i] for i in others)
+    assert found >= 0.9 * len(planted) and wrong <= 0.01 * len(others)
+
+
 def test_found_identifiers_are_marked_wherever_they_occur(spark):
     new, other = "user77(at)mail", "user88(at)mail"
     rows = [(i, f"please contact: user{i}@mail.example.com today") for i in range(12)]
