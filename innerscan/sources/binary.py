@@ -22,6 +22,7 @@ import os
 import struct
 import uuid
 from collections.abc import Iterator
+from urllib.parse import urlsplit
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -172,7 +173,8 @@ class VectorFile(DataSource):
 
 
 def is_mount(path: str) -> bool:
-    return "://" not in path and (":" not in path.split("/")[0] or path.startswith("file:"))
+    """Whether a path names a file of a mount that all share, not another store."""
+    return urlsplit(path).scheme in ("", "file")
 
 
 def local(path: str) -> str:
