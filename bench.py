@@ -22,7 +22,7 @@ from innerscan.storage import clear, session_dir
 SF = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 CPUS = os.environ.get("BENCH_CPUS", "8")
 #: Rows of the table that is grown from the vectors at hand.
-LARGE = 100_000
+LARGE = 20_000
 # The configuration of the published measurements.
 SWEEP_K, SWEEP_EF = 50, (0, 10, 20, 30, 40, 50, 75, 100, 150, 200, 250, 300)
 CORE = ["exact_topk_ip", "exact_topk_sql", "norm_pruned_topk", "norm_chunks", "srp_tables", "srp_seeds", "lsh_only_topk", "lsh_window_graph", "norm_band_graph", "cross_chunk_join"]
