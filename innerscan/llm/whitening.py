@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, table
+from .common import forget, materialize, table
 
 GRID, OFFSET, COMPONENTS = 64, 1_000_000, 16
 #: Entries beyond this leave the range in which a batch's sums are exact 64-bit integers.
@@ -173,9 +173,11 @@ def whitened(embeddings: DataFrame, id_col: str = "vec_id", vec_col: str = "embe
     distinct = materialize(rows.select("x").distinct(), "distinct")
     w = fit(distinct, components)
     schema = "vec_id {}, component int, n bigint, deviation bigint, whitened double, explained double, identity_error double".format(rows.schema["vec_id"].dataType.simpleString())
+    error = identity_error(distinct, w) if w is not None and len(w.values) else 0.0
+    forget(distinct)
     if w is None or not len(w.values):
         return spark.createDataFrame([], schema)
-    error, k = identity_error(distinct, w), len(w.values)
+    k = len(w.values)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
