@@ -58,23 +58,27 @@ def anchors(texts: list[bytes], out: list[list[tuple[int, int]]] | None = None)
     if len(b) < LENGTH:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, U), np.zeros((0, 2), U)
     ends = np.cumsum(lengths)
-    starts, owner = ends - lengths, np.repeat(np.arange(len(texts)), lengths)
+    starts = ends - lengths
     base, h = 0x9E3779B97F4A7C15, {1: b.astype(U) + U(1)}
     power = lambda k: U(pow(base, k, 2**64))
     for k in (1, 2, 4, 8):
         h[2 * k] = h[k][:-k] * power(k) + h[k][k:]
     n = len(b) - KEY + 1
-    key = (h[16][:n] * power(8) + h[8][16 : 16 + n]) * power(2) + h[2][24 : 24 + n]
+    key = h[16][:n] * power(8)
+    key += h[8][16 : 16 + n]
+    key *= power(2)
+    key += h[2][24 : 24 + n]
     key = mix64(key)
     order = (key >> U(32)).astype(np.uint32)  # equal upper halves are anchors all of them
     least = slide(order, WINDOW, np.minimum)
-    least[owner[: len(least)] != owner[LENGTH - 1 :]] = 0
+    across = (ends[:-1, None] - np.arange(1, LENGTH)).ravel()
+    least[across[(across >= 0) & (across < len(least))]] = 0
     for i, known in enumerate(out or ()):
         for start, stop in known:
             least[starts[i] + start : starts[i] + stop] = 0
     pad = np.zeros(WINDOW - 1, np.uint32)
     at = np.flatnonzero(slide(np.concatenate([pad, least, pad]), WINDOW, np.maximum) == order)
-    own, near, sides = owner[at], key[at], np.zeros((len(at), 2), U)
+    own, near, sides = np.searchsorted(ends, at, "right"), key[at], np.zeros((len(at), 2), U)
     left, right = at - starts[own] >= HALF, at + KEY + HALF + 1 <= ends[own]
     a = at[left] - HALF
     sides[left, 0] = mix64((near[left] ^ h[8][a]) * U(base) + h[4][a + 8])
@@ -499,7 +503,8 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         nb = max(64, contexts.count() // INDEX_CONTEXTS)
         found = materialize(judged(sides(contexts).withColumn("bucket", F.pmod("group", F.lit(nb)).cast("int"))), "found")
         later_one = F.col("doc_id") > F.col("d0")
-        hit = occ.select("key", "h", "doc_id", "th", "at", "n").join(found, ["key", "h"]).where(later_one | F.col("lo").isNotNull())
+        # a row of a few numbers for each context is the hashed side, so neither side is sorted
+        hit = occ.select("key", "h", "doc_id", "th", "at", "n").join(found.hint("shuffle_hash"), ["key", "h"]).where(later_one | F.col("lo").isNotNull())
         start, end = F.when(later_one, F.col("at")).otherwise(F.col("at") + F.col("lo")), F.when(later_one, F.col("at") + F.col("n")).otherwise(F.col("at") + F.col("hi"))
         spans = hit.groupBy("doc_id", "th").agg(F.collect_list(start).alias("starts"), F.collect_list(end).alias("ends"))
         spans = materialize(spans, "spans")
