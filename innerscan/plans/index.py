@@ -9,10 +9,12 @@ chunks, by the chunk that they start in.
 from __future__ import annotations
 
 import time
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import asdict, dataclass
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,9 +22,13 @@ from ..functions.vectors import as_double, squared_norm
 from ..operators import graph, partition, srp
 from ..operators.metrics import peak_memory
 from ..operators.topk import matrix
-from ..operators.walk import PACKED, GraphParams, build_shard
+from ..operators.walk import PACKED, GraphParams, Shard, build_shard, products
 from ..storage import hadoop, new_path, temporary, written
 
+RECORD = "chunk int, shard int, pos int, vec_id bigint, norm double, words array<int>, nbrs array<bigint>"
+#: Members of a shard that are taken apart together.
+RECORDS = 4_096
+
 
 @dataclass
 class IndexParams:
@@ -73,17 +79,47 @@ class Index:
         return by.orderBy("chunk").collect()
 
     def records(self) -> DataFrame:
-        """(chunk, shard, pos, vec_id, norm, words, nbrs): a row for each member, without its vector."""
-        words = self.params.tables
-        at = F.col("pos")
-        one = self.shards.select("chunk", "shard", "ids", "norms", "words", "offsets", "nbrs", F.posexplode("ids").alias("pos", "vec_id"))
-        nbrs = F.transform(F.slice("nbrs", F.col("offsets")[at] + 1, F.col("offsets")[at + 1] - F.col("offsets")[at]), lambda j: F.col("ids")[j])
-        return one.select("chunk", "shard", "pos", "vec_id", F.col("norms")[at].alias("norm"), F.slice("words", at * words + 1, words).alias("words"), nbrs.alias("nbrs"))
+        """(chunk, shard, pos, vec_id, norm, words, nbrs): a row for each member, without its vector.
+
+        A kernel takes a shard's row apart: exploding it would carry the
+        shard's arrays along with each member.
+        """
+        tables = self.params.tables
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for i in range(batch.num_rows):
+                    get = lambda name: batch.column(name)[i].values.to_numpy(zero_copy_only=False)  # noqa: E731, B023
+                    ids, norms, words, offsets, nbrs = map(get, ("ids", "norms", "words", "offsets", "nbrs"))
+                    for at in range(0, len(ids), RECORDS):
+                        on, n = slice(at, at + RECORDS), len(ids[at : at + RECORDS])
+                        own = offsets[at : at + n + 1]
+                        same = lambda name: pa.array(np.full(n, batch.column(name)[i].as_py(), np.int32))  # noqa: E731, B023
+                        lists = pa.ListArray.from_arrays((own - own[0]).astype(np.int32), pa.array(ids[nbrs[own[0] : own[-1]]]))
+                        w = pa.ListArray.from_arrays(np.arange(0, (n + 1) * tables, tables, dtype=np.int32), pa.array(words[at * tables : (at + n) * tables]))
+                        columns = [same("chunk"), same("shard"), pa.array(np.arange(at, at + n, dtype=np.int32)), pa.array(ids[on]), pa.array(norms[on]), w, lists]
+                        yield pa.RecordBatch.from_arrays(columns, names=["chunk", "shard", "pos", "vec_id", "norm", "words", "nbrs"])
+
+        return self.shards.select("chunk", "shard", "ids", "norms", "words", "offsets", "nbrs").mapInArrow(run, RECORD)
 
     def edges(self) -> DataFrame:
         """(src, dst) within shards."""
         return self.records().select(F.col("vec_id").alias("src"), F.explode("nbrs").alias("dst"))
 
+    def scored_edges(self) -> DataFrame:
+        """(src, dst, ip) within shards, scored where the vectors lie."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for i in range(batch.num_rows):
+                    g = Shard.unpacked(batch, i)
+                    for at in range(0, g.n, RECORDS):
+                        own = g.offsets[at : at + RECORDS + 1]
+                        src, dst = at + np.repeat(np.arange(len(own) - 1), np.diff(own)), g.nbrs[own[0] : own[-1]]
+                        yield pa.RecordBatch.from_arrays([pa.array(g.ids[src]), pa.array(g.ids[dst]), pa.array(products(g.x, src, g.x, dst))], names=["src", "dst", "ip"])
+
+        return self.shards.mapInArrow(run, "src bigint, dst bigint, ip double")
+
 
 def table_exists(spark: SparkSession, path: str) -> bool:
     fs, p = hadoop(spark, f"{path}/_SUCCESS")

@@ -254,9 +254,7 @@ def searched(params: dict | None = None, **options):
 
 def built_graph(spark, d):
     """The edges of an index: bands, refined by a search from every vector."""
-    ix = built(spark, d)
-    base = fixture(spark, d)[0]
-    return r6(graph.score(ix.edges(), base).select("src", "dst", "ip"), "ip")
+    return r6(built(spark, d).scored_edges(), "ip")
 
 
 def search_cost(spark, d):

@@ -530,3 +530,15 @@ def test_truth_round_trip(spark, fixture, tmp_path):
     got = sorted(map(tuple, read_truth(spark, str(tmp_path / "t")).collect()))
     want = sorted(map(tuple, truth.collect()))
     assert [g[:3] for g in got] == [w[:3] for w in want] and np.allclose([g[3] for g in got], [w[3] for w in want])
+
+
+def test_records_are_taken_apart_by_a_kernel_and_edges_scored_in_their_shards(built, fixture, monkeypatch):
+    """No row of a member carries its shard's arrays, and no vector is joined to score an edge."""
+    base = fixture[0]
+    assert "Generate" not in built.records()._jdf.queryExecution().optimizedPlan().toString()
+    plan = built.scored_edges()._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "Generate" not in plan
+    want = sorted(map(tuple, graph.score(built.edges(), base).select("src", "dst", "ip").collect()))
+    monkeypatch.setattr(index, "RECORDS", 7)
+    assert sorted(map(tuple, built.scored_edges().collect())) == want and len(want) > 480
+    assert sorted(map(tuple, built.edges().collect())) == [w[:2] for w in want]
