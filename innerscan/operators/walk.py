@@ -123,6 +123,9 @@ class Shard:
         k-th best product that is known: of the walk, or ``floor``.  Only this
         bound is safe; ``floor`` and norms are those of unit queries.
         ``skip``: for each query a member that it never meets.
+
+        Where a pool holds the whole shard and nothing prunes, all that can
+        be reached is found in any order, so a round expands all at once.
         """
         b, pool = len(q), k + ef
         seen = np.zeros((b, self.n), bool)
@@ -137,6 +140,9 @@ class Shard:
         ip = np.einsum("ij,ij->i", self.x[member], q[who])
         done = np.zeros(len(who), bool)
         cost = np.bincount(who, minlength=b)
+        if step and pool >= self.n and not norm_prune and cos is None:
+            who, member = self.reached(who, member, seen)
+            return self.best(Found(who, member, products(self.x, member, q, who), np.bincount(who, minlength=b)), pool)
         while True:
             order = np.lexsort((self.ids[member], -ip, who))
             order = order[first_of(who[order], pool)]
@@ -166,6 +172,19 @@ class Shard:
             who, member = np.concatenate([who, of]), np.concatenate([member, near])
             ip, done = np.concatenate([ip, np.einsum("ij,ij->i", self.x[near], q[of])]), np.concatenate([done, np.zeros(len(of), bool)])
 
+    def reached(self, who: np.ndarray, member: np.ndarray, seen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(query, member) of all that edges lead to from the members that queries begin with; ``seen`` is kept up."""
+        out = [(who, member)]
+        while len(who):
+            counts = self.offsets[member + 1] - self.offsets[member]
+            near, of = self.nbrs[spread(self.offsets[member], counts)], np.repeat(who, counts)
+            fresh = ~seen[of, near]
+            both = np.unique(of[fresh].astype(np.int64) * self.n + near[fresh])
+            who, member = both // self.n, both % self.n
+            seen[who, member] = True
+            out.append((who, member))
+        return tuple(np.concatenate(c) for c in zip(*out))
+
     def scan(self, q: np.ndarray, k: int) -> Found:
         """Every product; the k best of each query."""
         ips = q @ self.x.T

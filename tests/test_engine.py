@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from innerscan import queries as core
 from innerscan.functions import vectors as V
-from innerscan.operators import frontier, graph, metrics, partition, search, srp, topk
+from innerscan.operators import frontier, graph, metrics, partition, search, srp, topk, walk
 from innerscan.plans import by_norm, index
 from innerscan.sources import binary, read_truth, read_vectors, write_truth, write_vectors
 
@@ -542,3 +542,20 @@ def test_records_are_taken_apart_by_a_kernel_and_edges_scored_in_their_shards(bu
     monkeypatch.setattr(index, "RECORDS", 7)
     assert sorted(map(tuple, built.scored_edges().collect())) == want and len(want) > 480
     assert sorted(map(tuple, built.edges().collect())) == [w[:2] for w in want]
+
+
+def test_a_pool_of_everything_is_expanded_at_once(monkeypatch):
+    """Rounds follow the graph's depth, not its size, and what is found is the same as by single steps."""
+    rng = np.random.default_rng(5)
+    x, proj = rng.standard_normal((600, 8)), srp.projections(8)
+    g = walk.build_shard(np.arange(600), x, proj, 4, 16, walk.GraphParams(rounds=0, width=2, max_degree=6))
+    q, starts = x[:3] / 2, [np.array([500]), np.array([500, 10]), np.array([599])]
+    rounds, spread = [], walk.spread
+    monkeypatch.setattr(walk, "spread", lambda *a: rounds.append(1) or spread(*a))
+    found = g.walk(q, None, starts, 10, 10**6)
+    assert len(rounds) < 60
+    one = g.walk(q, None, starts, 10, 580)  # a pool of 590: what is reached is fewer
+    assert len(one.member) < 3 * 590 and len(rounds) > 200
+    for name in ("query", "member", "cost"):
+        assert getattr(found, name).tolist() == getattr(one, name).tolist()
+    assert np.allclose(found.ip, one.ip, rtol=1e-12)
