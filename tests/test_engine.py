@@ -559,3 +559,31 @@ def test_a_pool_of_everything_is_expanded_at_once(monkeypatch):
     for name in ("query", "member", "cost"):
         assert getattr(found, name).tolist() == getattr(one, name).tolist()
     assert np.allclose(found.ip, one.ip, rtol=1e-12)
+
+
+def test_bands_are_scored_where_vectors_meet_and_match_pairs_joined_with_vectors(spark, fixture, monkeypatch):
+    """What is shuffled follows the rows: no vector is joined to a pair."""
+    base, q, _ = fixture
+    chunks = partition.norm_chunks(base)
+    tables = srp.hash_tables(srp.srp_hash(base, core.DIM), chunks)
+    monkeypatch.setattr(graph, "BUCKET", 16)
+    monkeypatch.setattr(graph, "ROWS", 7)
+    rows = lambda df: sorted(map(tuple, df.select("src", "dst", "ip").collect()))
+    for directed in (True, False):
+        got = graph.hash_band_join(tables, base, 3, 8, directed)
+        assert rows(got) == rows(topk.trim(graph.score(graph.hash_band_pairs(tables, 3, directed), base), 8))
+        assert got._jdf.queryExecution().optimizedPlan().toString().count("Join") == 2  # positions, vectors
+    got = graph.norm_band_join(chunks, base, 8)
+    assert rows(got) == rows(topk.trim(graph.score(graph.norm_band_pairs(chunks), base), 8))
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate [src" not in plan and "Window" not in plan
+
+
+def test_products_with_null_and_uneven_vectors_are_null():
+    import pyarrow as pa
+
+    v = graph.Vectors(pa.array([[1.0, 2.0], None, [1.0, None], [3.0], [0.5, 4.0]], pa.list_(pa.float64())))
+    every = np.arange(5)
+    assert v.products(np.zeros(5, int), v, every).tolist() == [5.0, -np.inf, -np.inf, -np.inf, 8.5]
+    assert v.products(every[1:4], v, every[1:4]).tolist()[2] == 9.0
+    assert graph.edges_of(every, every, v.products(np.zeros(5, int), v, every)).column("ip").null_count == 3
