@@ -191,8 +191,8 @@ def cross_chunk_edges(spark, d):
 
 
 def graph_refine(spark, d):
-    base, _, _, _, tables = hashed(spark, d)
-    return r6(graph.refine(graph.hash_band_join(tables, base, WIDTH, MAX_DEGREE), base, DEGREE, MAX_DEGREE), "ip")
+    base, _, _, chunks, tables = hashed(spark, d)
+    return r6(graph.refine(graph.hash_band_join(tables, base, WIDTH, MAX_DEGREE), base, DEGREE, MAX_DEGREE, chunks=chunks), "ip")
 
 
 def srp_seeds(spark, d):
