@@ -587,3 +587,31 @@ def test_products_with_null_and_uneven_vectors_are_null():
     assert v.products(np.zeros(5, int), v, every).tolist() == [5.0, -np.inf, -np.inf, -np.inf, 8.5]
     assert v.products(every[1:4], v, every[1:4]).tolist()[2] == 9.0
     assert graph.edges_of(every, every, v.products(np.zeros(5, int), v, every)).column("ip").null_count == 3
+
+
+def test_crossing_edges_and_refinement_over_buckets_match_joined_pairs(spark, fixture, monkeypatch):
+    """Parts and buckets lose nothing, and no pair is joined with vectors."""
+    base = fixture[0].where("vec_id < 260").persist()
+    chunks = partition.norm_chunks(base)
+    tables = srp.hash_tables(srp.srp_hash(base, core.DIM), chunks)
+    pairs = partition.chunk_pairs(partition.chunk_stats(chunks), 4)
+    for name, n in (("BUCKET", 8), ("ROWS", 5), ("PART", 16), ("TARGETS", 24), ("SOURCES", 5)):
+        monkeypatch.setattr(graph, name, n)
+    rows = lambda df: sorted(map(tuple, df.select("src", "dst", "block1", "block2", "ip").collect()))
+    best = lambda got, n: sorted(x[:2] + x[2:] for g in {(x[0], x[2], x[3]) for x in got} for x in sorted((y for y in got if (y[0], y[2], y[3]) == g), key=lambda y: (-y[4], y[1]))[:n])
+    joined = graph.score(graph.cross_chunk_pairs(tables, pairs, 2), base).select("src", "dst", "block1", "block2", "ip", "s").collect()
+    want = sorted(x for s in {r["s"] for r in joined} for x in best([tuple(r)[:5] for r in joined if r["s"] == s], s))
+    cross = graph.cross_chunk_join(tables, pairs, base, 2).persist()
+    assert rows(cross) == want
+    edges = graph.hash_band_join(tables, base, 2, 6).persist()
+    near = {}
+    for r in edges.collect():
+        near.setdefault(r["src"], set()).add(r["dst"])
+    x = {r["vec_id"]: r["embedding"] for r in base.collect()}
+    hops = {(a, d, i, j) for a, b, i, j, _ in want for d in {b, *near.get(b, ())} if d != a}
+    ip = lambda a, b: sum(p * q for p, q in zip(x[a], x[b]))
+    exact = best([(a, d, i, j, ip(a, d)) for a, d, i, j in hops], 3)
+    got = graph.expand_cross_edges(cross, edges, chunks, base, 3)
+    assert [g[:4] for g in rows(got)] == [e[:4] for e in exact]
+    refined = lambda **more: sorted(map(tuple, graph.refine(edges, base, 4, 8, **more).collect()))
+    assert refined(chunks=chunks) == refined() and len(refined()) > 260
