@@ -648,3 +648,28 @@ def test_pruning_skips_blocks_and_loses_nothing():
         assert set(np.flatnonzero(every >= floors[i]).tolist()) <= set(got[i][0])
         assert np.array_equal(got[i][1], every[got[i][0]])
     assert shard.entered < 0.6 * shard.blocks
+
+
+def test_a_task_returns_no_ties_that_an_earlier_wave_has_beaten():
+    import numpy as np
+    import pyarrow as pa
+
+    known = bm25.TermCodes()
+    texts = ["same words", "same words", "other words", "same words and more of them"]
+    codes, counts = zip(*map(known.count, texts))
+    ids = [11, 12, 13, None]
+    row = bm25.shard_row(ids, list(codes), list(counts))
+    schema = pa.schema([(f.split()[0], pa.binary() if f.endswith("binary") else pa.int64()) for f in bm25.INDEX.split(", ")])
+    batch = pa.RecordBatch.from_pylist([row], schema)
+    asked = bm25.Asked(pa.table({"query_id": [11], "term": [codes[0].view(np.int64).tolist()], "idf": [[1.0] * len(codes[0])]}))
+
+    class Sent:
+        value = asked
+
+    run = lambda: [tuple(r.values()) for b in bm25.answering(Sent, 2, 3.0)([batch]) for r in b.to_pylist()]
+    first = run()
+    assert [d for _, d, _ in first] == [11, 12]
+    best = round(first[1][2], bm25.DECIMALS)
+    for last, want in ((5, []), (11, [11]), (12, [11, 12]), (bm25.LATER, [11, 12])):
+        asked.floors, asked.last = np.array([best]), np.array([last])
+        assert [d for _, d, _ in run()] == want
