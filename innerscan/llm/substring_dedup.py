@@ -244,45 +244,57 @@ def occurrences(base: DataFrame, sent, bits: int) -> DataFrame:
         steady_heap()
         by_key, by_side = (np.frombuffer(x, np.uint8) for x in sent.value)
         rows: list = []
-        met: dict[tuple[int, int], list] = {}
-
-        def flush(rows):
-            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
-
-        def contexts():
-            out = [(d0, last, -1, k, h, len(c), left, c) for (k, h), (d0, last, left, c) in met.items()]
-            for i in range(0, len(out), FLUSH_ROWS):
-                yield flush(out[i : i + FLUSH_ROWS])
+        met: list = []
+        n_rows, n_met, n_once = 0, 0, 0
+
+        def flush(*columns):
+            return pa.RecordBatch.from_arrays([pa.nulls(len(columns[0]), f.type) if c is None else pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
+
+        def once(met):
+            """The contexts (smallest id, largest, key, h, left, bytes) once each, as they come: those of neighbours overlap and are written smaller together."""
+            d0, last, k, h, left, c = (np.concatenate(x) for x in zip(*met))
+            order = np.lexsort((h, k))
+            first = np.flatnonzero(np.concatenate([[True], (np.diff(k[order]) != 0) | (np.diff(h[order]) != 0)]))
+            by = np.argsort(order[first])
+            at = order[first][by]
+            return np.minimum.reduceat(d0[order], first)[by], np.maximum.reduceat(last[order], first)[by], k[at], h[at], left[at], c[at]
+
+        def contexts(met):
+            for i in range(0, len(met[0]), FLUSH_ROWS):
+                d0, last, k, h, left, c = (x[i : i + FLUSH_ROWS] for x in met)
+                yield flush(d0, last, np.full(len(k), -1), k, h, np.fromiter(map(len, c), np.int32, len(c)), left, c.tolist())
 
         for batch in batches:
-            ids, ths, texts, later = (batch.column(i).to_pylist() for i in range(4))
-            texts = [octets(t) for t in texts]
+            ids, ths = (batch.column(i).to_numpy() for i in range(2))
+            texts, later = [octets(t) for t in batch.column(2).to_pylist()], batch.column(3).to_pylist()
             for part in portions(texts):
                 some = [texts[i] for i in part]
                 own, at, keys, sides = anchors(some, [known_parts(t, later[i])[1] for t, i in zip(some, part)])
                 both = [passes(by_side, s, bits) & (s > 0) for s in sides.T]
                 pick = np.flatnonzero(passes(by_key, keys, bits) & (both[0] | both[1]))
-                for i, p, k in zip((own[pick] + part.start).tolist(), at[pick].tolist(), keys[pick].view(np.int64).tolist()):
-                    doc_id, start = ids[i], max(0, p - WINDOW + 1)
-                    c = texts[i][start : p + LENGTH]
-                    h = xxhash.xxh64_intdigest(c, p - start) - (1 << 63)
-                    old = met.get((k, h))
-                    if old is None:
-                        met[k, h] = [doc_id, doc_id, p - start, c]
-                    elif doc_id < old[0]:
-                        old[0] = doc_id
-                    elif doc_id > old[1]:
-                        old[1] = doc_id
-                    rows.append((doc_id, ths[i], start, k, h, len(c), None, None))
-                if len(rows) >= FLUSH_ROWS:
-                    yield flush(rows)
-                    rows = []
-                if len(met) >= KNOWN_CONTEXTS:
-                    yield from contexts()
-                    met = {}
+                if not len(pick):
+                    continue
+                own, p, k = own[pick] + part.start, at[pick], keys[pick].view(np.int64)
+                start = np.maximum(0, p - WINDOW + 1)
+                left, c = p - start, np.empty(len(pick), object)
+                c[:] = [texts[i][a:b] for i, a, b in zip(own.tolist(), start.tolist(), (p + LENGTH).tolist())]
+                h = (np.fromiter(map(xxhash.xxh64_intdigest, c, left.tolist()), U, len(c)) ^ U(1 << 63)).view(np.int64)
+                rows.append((ids[own], ths[own], start, k, h, np.fromiter(map(len, c), np.int64, len(c))))
+                met.append((ids[own], ids[own], k, h, left, c))
+                n_rows, n_met = n_rows + len(k), n_met + len(k)
+                if n_rows >= FLUSH_ROWS:
+                    yield flush(*map(np.concatenate, zip(*rows)), None, None)
+                    rows, n_rows = [], 0
+                if n_met >= n_once + KNOWN_CONTEXTS // 2:
+                    met = [once(met)]
+                    n_once = n_met = len(met[0][0])
+                    if n_met >= KNOWN_CONTEXTS:
+                        yield from contexts(met[0])
+                        met, n_once, n_met = [], 0, 0
         if rows:
-            yield flush(rows)
-        yield from contexts()
+            yield flush(*map(np.concatenate, zip(*rows)), None, None)
+        if met:
+            yield from contexts(once(met))
 
     return base.select("doc_id", "th", "text", "later").mapInArrow(run, OCCURRENCE)
 
@@ -292,7 +304,7 @@ class RunLengthIndex:
 
     Symbols are bytes plus one, 0 ends a string.  ``starts``, ``chars`` and
     ``lf_base`` describe the runs; ``samples`` are the text positions at run
-    starts.  Rows are steps of the sorted suffixes.
+    starts.  Rows are steps of the sorted suffixes; ``run`` tells each row's run.
     """
 
     def __init__(self, texts: list[bytes], depth: int = LENGTH):
@@ -322,6 +334,7 @@ class RunLengthIndex:
         self.chars = bwt[self.starts]
         self.samples = sa[self.starts]
         size = np.diff(np.append(self.starts, n))
+        self.run = np.repeat(np.arange(len(size), dtype=np.int32), size)
         order = np.argsort(self.chars, kind="stable")
         self.lf_base = np.empty(len(order), np.int64)
         self.lf_base[order] = np.cumsum(size[order]) - size[order]
@@ -334,11 +347,11 @@ class RunLengthIndex:
             padded = np.append(half, np.full(depth, -1))
             a, b = half[sa], padded[sa + depth - 28]
             self.groups = np.concatenate([[0], np.cumsum((a[1:] != a[:-1]) | (b[1:] != b[:-1]))])
-        self.owner = np.searchsorted(self.ends, sa)
+        self.owner = np.repeat(np.arange(len(texts), dtype=np.int32), lengths + 1)[sa]
 
     def lf(self, rows: np.ndarray) -> np.ndarray:
         """Rows of the suffixes one symbol longer to the left."""
-        run = np.searchsorted(self.starts, rows, "right") - 1
+        run = self.run[rows]
         return self.lf_base[run] + rows - self.starts[run]
 
     def least(self, values: np.ndarray) -> np.ndarray:

@@ -673,3 +673,24 @@ def test_a_task_returns_no_ties_that_an_earlier_wave_has_beaten():
     for last, want in ((5, []), (11, [11]), (12, [11, 12]), (bm25.LATER, [11, 12])):
         asked.floors, asked.last = np.array([best]), np.array([last])
         assert [d for _, d, _ in run()] == want
+
+
+def test_rows_know_their_runs_and_contexts_are_kept_once(spark, monkeypatch):
+    import numpy as np
+
+    index = substring_dedup.RunLengthIndex([b"abcabcabc", b"abcab", b"", b"xabcabcx"])
+    rows = np.arange(index.rows)
+    assert index.run.tolist() == (np.searchsorted(index.starts, rows, "right") - 1).tolist()
+    assert np.diff(np.sort(index.lf(rows))).tolist() == [1] * (index.rows - 1)
+    # a passage that 40 documents hold has one row of its bytes for each task, however few contexts a task keeps
+    rng = np.random.default_rng(1)
+    passage = bytes(rng.integers(97, 123, 120, np.uint8)).decode()
+    rows = [(i, i, passage, []) for i in range(40)]
+    base = spark.createDataFrame(rows, "doc_id bigint, th bigint, text string, later array<int>").coalesce(1)
+    everything = np.full((1 << 20) // 8, 255, np.uint8).tobytes()
+    monkeypatch.setattr(substring_dedup, "KNOWN_CONTEXTS", 60)
+    got = substring_dedup.occurrences(base, spark.sparkContext.broadcast((everything, everything)), 20).toPandas()
+    kept, met = got[got["context"].notna()], got[got["context"].isna()]
+    assert len(met) == 40 * len(kept) and not kept.duplicated(["key", "h"]).any()
+    assert set(kept["doc_id"]) == {0} and set(kept["th"]) == {39} and (kept["context"].map(len) == kept["n"]).all()
+    assert all(passage.encode()[a : a + n] in set(kept["context"]) for a, n in zip(met["at"], met["n"]))
