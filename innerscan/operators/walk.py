@@ -154,11 +154,11 @@ class Shard:
             done[todo] = True
             counts = self.offsets[member[todo] + 1] - self.offsets[member[todo]]
             near, of = self.nbrs[spread(self.offsets[member[todo]], counts)], np.repeat(who[todo], counts)
+            fresh = ~seen[of, near]
+            of, near = of[fresh], near[fresh]
             if step > 1:
                 both = np.unique(of.astype(np.int64) * self.n + near)
                 of, near = both // self.n, both % self.n
-            fresh = ~seen[of, near]
-            of, near = of[fresh], near[fresh]
             seen[of, near] = True
             if norm_prune or cos is not None:
                 bound, kth = floor.copy(), first_of(who, k) & ~first_of(who, k - 1)
@@ -169,8 +169,12 @@ class Shard:
                 keep = reach >= bound[of]
                 of, near = of[keep], near[keep]
             cost += np.bincount(of, minlength=b)
+            new, size, last = np.einsum("ij,ij->i", self.x[near], q[of]), np.bincount(who, minlength=b), np.full(b, -np.inf)
+            last[size == pool] = ip[np.cumsum(size)[size == pool] - 1]
+            keep = ~(new < last[of])  # the others would be cut from a full pool: most, once a walk is near its end
+            of, near, new = of[keep], near[keep], new[keep]
             who, member = np.concatenate([who, of]), np.concatenate([member, near])
-            ip, done = np.concatenate([ip, np.einsum("ij,ij->i", self.x[near], q[of])]), np.concatenate([done, np.zeros(len(of), bool)])
+            ip, done = np.concatenate([ip, new]), np.concatenate([done, np.zeros(len(of), bool)])
 
     def reached(self, who: np.ndarray, member: np.ndarray, seen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(query, member) of all that edges lead to from the members that queries begin with; ``seen`` is kept up."""

@@ -615,3 +615,37 @@ def test_crossing_edges_and_refinement_over_buckets_match_joined_pairs(spark, fi
     assert [g[:4] for g in rows(got)] == [e[:4] for e in exact]
     refined = lambda **more: sorted(map(tuple, graph.refine(edges, base, 4, 8, **more).collect()))
     assert refined(chunks=chunks) == refined() and len(refined()) > 260
+
+
+def test_a_walk_sorts_only_what_a_full_pool_can_take(monkeypatch):
+    from innerscan.operators import walk
+
+    rng = np.random.default_rng(5)
+    n, b, k, ef, step = 400, 6, 4, 6, 4
+    x, q = rng.standard_normal((n, 8)), rng.standard_normal((b, 8))
+    nbrs = np.concatenate([rng.choice(n, 12, replace=False) for _ in range(n)])
+    g = walk.Shard(np.arange(n) * 7, np.linalg.norm(x, axis=1), np.zeros((n, 0), np.int64), np.arange(0, 12 * n + 1, 12), nbrs, x)
+    starts = [rng.choice(n, k + ef, replace=False) for _ in range(b)]
+    sizes, lexsort = [], np.lexsort
+
+    def counted(keys):
+        sizes.append(len(keys[0]))
+        return lexsort(keys)
+
+    monkeypatch.setattr(walk.np, "lexsort", counted)
+    found = g.walk(q, None, starts, k, ef, step=step)
+    monkeypatch.undo()
+    for i in range(b):
+        ips, seen, pool, done = x @ q[i], set(starts[i].tolist()), starts[i].tolist(), set()
+        while True:
+            pool = sorted(pool, key=lambda m: (-ips[m], m))[: k + ef]
+            todo = [m for m in pool if m not in done][:step]
+            if not todo:
+                break
+            done |= set(todo)
+            new = {int(m) for t in todo for m in nbrs[12 * t : 12 * t + 12]} - seen
+            seen |= new
+            pool += sorted(new)
+        assert found.member[found.query == i].tolist() == pool
+        assert found.cost[i] == len(seen)
+    assert sum(sizes) - (len(sizes) - 1) * b * (k + ef) < 0.8 * found.cost.sum()
